@@ -1,3 +1,4 @@
 """Imports every query module so that each registers its queries."""
 
 from railyard.plans import q_search  # noqa: F401
+from railyard.plans import q_text  # noqa: F401
