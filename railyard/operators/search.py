@@ -180,15 +180,20 @@ def vector_topk_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, *,
             .filter(F.col("rank") <= k))
 
 
-def join_payload(hits: DataFrame, corpus: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
+def join_payload(hits: DataFrame, corpus: DataFrame, id_col: str, cols: list, how: str = "left") -> DataFrame:
     """Attach corpus columns to top-k hits.
 
     The hits frame is bounded (queries-per-block x k rows, checked before the
-    search), so it is the broadcast side and the corpus is scanned, not
-    shuffled.
+    search), so it is the broadcast side and the corpus is scanned, never
+    shuffled.  ``how='left'`` keeps hits whose id has no corpus row (payload
+    null): those are found with an anti-join between two small frames.
     """
     payload = corpus.select(F.col(id_col).alias("id"), *cols)
-    return payload.join(F.broadcast(hits), "id", "inner")
+    matched = payload.join(F.broadcast(hits), "id", "inner")
+    if how == "inner":
+        return matched
+    missing = hits.join(matched.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    return matched.unionByName(missing, allowMissingColumns=True)
 
 
 def vector_topk_filtered(corpus: DataFrame, queries: DataFrame, k: int = 5, *,
@@ -203,6 +208,6 @@ def search_result_frame(hits: DataFrame, corpus: DataFrame, id_col: str,
                         content_col: str, metadata: dict[str, str]) -> DataFrame:
     """``id (string), content, distance`` plus metadata as flat columns."""
     cols = [F.col(content_col).alias("content")] + [F.col(v).alias(k) for k, v in metadata.items()]
-    out = join_payload(hits, corpus, id_col, cols)
+    out = join_payload(hits, corpus, id_col, cols, how="inner")
     return out.select(F.col("query_id"), F.col("id").cast("string").alias("id"), "content",
                       "distance", "rank", *metadata.keys())
