@@ -4,3 +4,4 @@ from railyard.plans import q_search  # noqa: F401
 from railyard.plans import q_text  # noqa: F401
 from railyard.plans import q_retrieval  # noqa: F401
 from railyard.plans import q_tables  # noqa: F401
+from railyard.plans import q_chunking  # noqa: F401
