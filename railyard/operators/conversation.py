@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from railyard.functions.text import approx_tokens, is_blank
+from railyard.functions.text import approx_tokens, is_blank, ustrip
 from railyard.policy import DEFAULT_POLICY, WS_CLASS, Policy
 
 
@@ -48,3 +48,235 @@ def validate_turns(df: DataFrame, session_col: str = "session_id", msg_col: str
     reason = (F.when(~ok_sid, F.lit("session_id must be a valid UUID"))
               .when(blank, F.lit("message must not be empty or whitespace-only")))
     return df.withColumn("valid", ok_sid & ~blank).withColumn("reject_reason", reason)
+
+
+# ----------------------------------------------------------------- J1 - J4
+def _session_window(session_col: str, order_col: str, desc: bool = False):
+    o = F.col(order_col).desc() if desc else F.col(order_col).asc()
+    return Window.partitionBy(session_col).orderBy(o)
+
+
+def load_history(messages: DataFrame, now: str, policy: Policy = DEFAULT_POLICY, session_col: str = "session_id",
+                 turn_col: str = "turn", ts_col: str = "ts") -> DataFrame:
+    """Per session, the stored history visible at ``now``: writes after
+    ``now`` are not yet there, a session idle for the TTL since its last
+    write is gone, and at most ``history_cap`` newest messages are kept.
+    The cap is applied with ``row_number`` before anything is collected."""
+    now_c = F.lit(now).cast("timestamp_ntz")
+    m = messages.filter(F.col(ts_col) <= now_c)
+    w = Window.partitionBy(session_col)
+    m = (m.withColumn("__last", F.max(ts_col).over(w))
+         .filter(F.col("__last") + F.make_interval(secs=F.lit(policy.session_ttl_seconds)) > now_c)
+         .withColumn("__rn", F.row_number().over(_session_window(session_col, turn_col, desc=True)))
+         .filter(F.col("__rn") <= policy.history_cap))
+    return m.groupBy(session_col).agg(
+        F.max("__last").alias("last_write"),
+        F.count("*").alias("n_messages"),
+        F.array_sort(F.collect_list(F.struct(turn_col, "role", "text"))).alias("history"))
+
+
+def append_history(current: DataFrame, new: DataFrame, cap: int, session_col: str = "session_id",
+                   turn_col: str = "turn") -> DataFrame:
+    """Concatenate and keep the ``cap`` most recent messages per session.
+    Sessions without new messages are untouched (no refresh)."""
+    both = current.unionByName(new, allowMissingColumns=True)
+    w = _session_window(session_col, turn_col, desc=True)
+    return both.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= cap).drop("__rn")
+
+
+def expire_sessions(messages: DataFrame, ttl_seconds: int, session_col: str = "session_id",
+                    ts_col: str = "ts", order_cols: tuple = ()) -> DataFrame:
+    """A gap of at least the TTL since the previous write starts a new
+    epoch (fresh, empty history).  ``epoch`` counts from 0 per session."""
+    w = Window.partitionBy(session_col).orderBy(ts_col, *order_cols)
+    gap = F.unix_micros(F.col(ts_col).cast("timestamp")) - F.unix_micros(F.lag(ts_col).over(w).cast("timestamp"))
+    flag = F.coalesce(gap >= F.lit(ttl_seconds * 1_000_000), F.lit(False)).cast("int")
+    return (messages.withColumn("new_epoch", flag == 1)
+            .withColumn("epoch", F.sum(flag).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")))
+
+
+def clear_sessions(messages: DataFrame, ids: DataFrame, session_col: str = "session_id") -> DataFrame:
+    """Delete whole histories (idempotent anti-join)."""
+    return messages.join(ids.select(F.col(ids.columns[0]).alias(session_col)).distinct(), session_col, "left_anti")
+
+
+# ----------------------------------------------------------------- J5 - J9
+def session_cap(messages: DataFrame, cap: int, session_col: str = "session_id",
+                turn_col: str = "turn") -> DataFrame:
+    """J5 (isolated form): a turn is refused when the session already holds
+    ``cap`` or more messages."""
+    w = (Window.partitionBy(session_col).orderBy(turn_col)
+         .rowsBetween(Window.unboundedPreceding, -1))
+    prior = F.coalesce(F.count("*").over(w), F.lit(0))
+    return messages.withColumn("prior_messages", prior).withColumn("capped", F.col("prior_messages") >= cap)
+
+
+def transcript_line(role, text) -> Column:
+    """Only customer and non-empty assistant text is rendered."""
+    r, t = _c(role), _c(text)
+    return (F.when(r == "user", F.concat(F.lit("Customer: "), F.coalesce(t, F.lit(""))))
+            .when((r == "assistant") & (F.length(F.coalesce(t, F.lit(""))) > 0),
+                  F.concat(F.lit("Assistant: "), t)))
+
+
+def last_n(arr: Column, n: int) -> Column:
+    """Python ``lst[-n:]`` (Spark's negative ``slice`` returns [] when shorter)."""
+    return F.slice(arr, F.greatest(F.size(arr) - F.lit(n) + 1, F.lit(1)), F.lit(n))
+
+
+def render_transcript(messages: DataFrame, max_lines: int = 6, session_col: str = "session_id",
+                      turn_col: str = "turn") -> DataFrame:
+    """The last ``max_lines`` rendered lines per session joined by a
+    newline.  Lines are cut with ``row_number`` before collecting."""
+    lines = messages.withColumn("__line", transcript_line("role", "text")).filter(F.col("__line").isNotNull())
+    w = _session_window(session_col, turn_col, desc=True)
+    lines = lines.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= max_lines)
+    return lines.groupBy(session_col).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(turn_col, "__line"))), lambda x: x["__line"]),
+                     "\n").alias("transcript"))
+
+
+def condenser_input(messages: DataFrame, max_lines: int = 6, session_col: str = "session_id",
+                    turn_col: str = "turn", msg_col: str = "text", rewritten: str | None = None) -> DataFrame:
+    """Per user message, the transcript of the rendered lines before it
+    (bounded window of ``max_lines`` rows); first turns and empty transcripts
+    pass the message unchanged, others get the condenser prompt.  A
+    ``rewritten`` column (model output joined in) replaces the message when
+    non-blank, else the raw message is used (fail open)."""
+    lines = messages.withColumn("__line", transcript_line("role", msg_col)).filter(F.col("__line").isNotNull())
+    w = (Window.partitionBy(session_col).orderBy(turn_col).rowsBetween(-max_lines, -1))
+    t = lines.withColumn("__prev", F.collect_list("__line").over(w)).filter(F.col("role") == "user")
+    transcript = F.array_join("__prev", "\n")
+    needs = F.size("__prev") > 0
+    prompt = F.concat(F.lit("Conversation transcript:\n"), transcript, F.lit("\n\nLatest customer message:\n"),
+                      F.col(msg_col))
+    out = (t.withColumn("needs_rewrite", needs)
+           .withColumn("condenser_prompt", F.when(needs, prompt)))
+    q = F.col(msg_col)
+    if rewritten:
+        q = F.when(needs & ~is_blank(rewritten), ustrip(rewritten)).otherwise(q)
+    return out.withColumn("gate_query", q).drop("__line", "__prev")
+
+
+def force_escalation(needs_human: Column, mentions: Column) -> Column:
+    """Additive only."""
+    return F.coalesce(needs_human, F.lit(False)) | F.coalesce(mentions, F.lit(False))
+
+
+# ---------------------------------------------------------------- J10 - J18
+def repeated_miss_escalation(turns: DataFrame, n: int = 2, session_col: str = "session_id",
+                             order_col: str = "turn", miss_col: str = "miss") -> DataFrame:
+    """Gaps and islands; a turn that is the n-th (or later) consecutive
+    miss of its session forces escalation."""
+    w = Window.partitionBy(session_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    island = F.sum((~F.col(miss_col)).cast("int")).over(w)
+    df = turns.withColumn("__island", island)
+    w2 = Window.partitionBy(session_col, "__island").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    run = F.sum(F.col(miss_col).cast("int")).over(w2)
+    return (df.withColumn("miss_run", F.when(F.col(miss_col), run).otherwise(F.lit(0)).cast("long"))
+            .withColumn("force_escalation", F.col("miss_run") >= n).drop("__island"))
+
+
+def topic_escalation(turn_chunks: DataFrame, topics: DataFrame, topic_col: str = "filename",
+                     turn_col: str = "turn_id") -> DataFrame:
+    """Turns whose retrieved chunks carry an escalation topic
+    (``topics`` is a one-column frame: any size, semi-join)."""
+    t = topics.select(F.col(topics.columns[0]).alias(topic_col)).distinct()
+    return turn_chunks.join(t, topic_col, "left_semi").select(turn_col).distinct()
+
+
+def handoff_outcome(no_context: Column, refuse_when_no_context: bool, enough_context: Column,
+                    needs_human: Column) -> tuple[Column, Column]:
+    """(outcome, model_called) from the four flags."""
+    oos = F.coalesce(no_context, F.lit(False)) & F.lit(refuse_when_no_context)
+    outcome = (F.when(oos, F.lit("out_of_scope")).when(~enough_context, F.lit("soft_offramp"))
+               .when(needs_human, F.lit("handoff")).otherwise(F.lit("answer")))
+    return outcome, ~oos
+
+
+def trim_history_tokens(messages: DataFrame, budget: int, session_col: str = "session_id",
+                        turn_col: str = "turn", tokens_col: str = "tokens") -> DataFrame:
+    """Keep the most recent messages whose running token sum (newest
+    first) stays within the budget."""
+    w = (Window.partitionBy(session_col).orderBy(F.col(turn_col).desc())
+         .rowsBetween(Window.unboundedPreceding, 0))
+    return (messages.withColumn("__tok", F.coalesce(F.col(tokens_col), approx_tokens("text")))
+            .withColumn("running_tokens", F.sum("__tok").over(w))
+            .filter(F.col("running_tokens") <= budget).drop("__tok"))
+
+
+# Label per refusal prefix, checked in this order.
+REFUSAL_LABELS = (
+    ("input_guard:jailbreak", "Input guard: prompt-injection pattern found"),
+    ("input_guard:pii", "Input guard: personal data found, nothing sent to the model"),
+    ("input_guard:length", "Input guard: message length outside the limits"),
+    ("input_guard", "Input guard: request refused"),
+    ("relevance_gate", "Relevance gate: outside the knowledge base, refused before any model call"),
+    ("conversation_guard", "Conversation guard: session length limit reached"),
+    ("agent:", "Safe fallback: the answer could not be grounded in retrieved sources"),
+)
+
+
+def refusal_label(reason) -> Column:
+    """Readable label for a refusal reason (null when not refused)."""
+    r = _c(reason)
+    out = F.when(r.isNull() | (r == ""), F.lit(None).cast("string"))
+    for prefix, label in REFUSAL_LABELS:
+        out = out.when(r.startswith(prefix), F.lit(label))
+    return out.otherwise(F.concat(F.lit("Guardrail: "), r))
+
+
+def session_fold(turns: DataFrame, policy: Policy = DEFAULT_POLICY, session_col: str = "session_id",
+                 turn_col: str = "turn", ts_col: str = "ts", input_ok: str = "input_ok",
+                 eligible: str = "eligible") -> DataFrame:
+    """Session cap with TTL when refused turns are not persisted (J5 inside
+    J13).  Adds ``capped``.
+
+    Only successful turns write (``messages_per_turn`` messages, trimmed to
+    ``history_cap``) and refresh the TTL; a turn with input allowed is
+    capped when the stored count is at least ``max_turns_per_session``.
+    The state is sequential, so each session is cut at gaps >= TTL between
+    consecutive turns (a guaranteed reset) and each piece is folded with
+    ``aggregate`` over (row, time, flags).  The fold emits only the capped
+    *intervals* (one per epoch that reaches the cap), so it appends at most
+    once per epoch; capped rows are found by an equi-join back on
+    (session, piece) and an interval test.
+    """
+    ttl = policy.session_ttl_seconds * 1_000_000
+    cap, n, trim = policy.max_turns_per_session, policy.messages_per_turn, policy.history_cap
+    w = Window.partitionBy(session_col).orderBy(ts_col, turn_col)
+    t = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    df = (turns.withColumn("__t", t).withColumn("__rk", F.row_number().over(w).cast("long"))
+          .withColumn("__gap", F.col("__t") - F.lag("__t").over(w))
+          .withColumn("__seg", F.sum(F.when(F.col("__gap") >= ttl, 1).otherwise(0))
+                      .over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    xs = df.groupBy(session_col, "__seg").agg(F.array_sort(F.collect_list(F.struct(
+        "__rk", "__t", F.col(input_ok).alias("ok"), F.col(eligible).alias("el")))).alias("xs"))
+    iv_t = "array<struct<a:bigint,b:bigint>>"
+    init = F.struct(F.lit(-(2 ** 62)).cast("long").alias("last"), F.lit(0).cast("long").alias("stored"),
+                    F.lit(-1).cast("long").alias("capfrom"), F.array().cast(iv_t).alias("ivs"))
+
+    def step(acc, x):
+        expired = (acc["stored"] > 0) & ((x["__t"] - acc["last"]) >= ttl)
+        stored0 = F.when(expired, F.lit(0).cast("long")).otherwise(acc["stored"])
+        ivs0 = F.when(expired & (acc["capfrom"] >= 0),
+                      F.concat(acc["ivs"], F.array(F.struct(acc["capfrom"].alias("a"), x["__rk"].alias("b"))))
+                      ).otherwise(acc["ivs"])
+        capfrom0 = F.when(expired, F.lit(-1).cast("long")).otherwise(acc["capfrom"])
+        keep = F.struct(acc["last"].alias("last"), stored0.alias("stored"), capfrom0.alias("capfrom"),
+                        ivs0.alias("ivs"))
+        capped = F.struct(acc["last"].alias("last"), stored0.alias("stored"),
+                          F.when(capfrom0 < 0, x["__rk"]).otherwise(capfrom0).alias("capfrom"), ivs0.alias("ivs"))
+        success = F.struct(x["__t"].alias("last"), F.least(stored0 + n, F.lit(trim).cast("long")).alias("stored"),
+                           capfrom0.alias("capfrom"), ivs0.alias("ivs"))
+        return (F.when(~x["ok"], keep).when(stored0 >= cap, capped)
+                .when(x["el"], success).otherwise(keep))
+
+    def finish(acc):
+        return F.when(acc["capfrom"] >= 0, F.concat(acc["ivs"], F.array(F.struct(
+            acc["capfrom"].alias("a"), F.lit(2 ** 62).cast("long").alias("b"))))).otherwise(acc["ivs"])
+
+    ivs = xs.select(session_col, "__seg", F.aggregate("xs", init, step, finish).alias("__ivs"))
+    out = df.join(ivs, [session_col, "__seg"])
+    capped = F.col(input_ok) & F.exists("__ivs", lambda iv: (F.col("__rk") >= iv["a"]) & (F.col("__rk") < iv["b"]))
+    return out.withColumn("capped", capped).drop("__t", "__rk", "__gap", "__seg", "__ivs")

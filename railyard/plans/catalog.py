@@ -6,3 +6,4 @@ from railyard.plans import q_retrieval  # noqa: F401
 from railyard.plans import q_tables  # noqa: F401
 from railyard.plans import q_chunking  # noqa: F401
 from railyard.plans import q_output  # noqa: F401
+from railyard.plans import q_conversation  # noqa: F401

@@ -46,8 +46,14 @@ _W = "(PARTITION BY query_id ORDER BY distance NULLS LAST, chunk_id ROWS BETWEEN
 
 
 def sql_marked(k: int = OVERFETCH) -> str:
+    return sql_marked_from(sql_cands(k))
+
+
+def sql_marked_from(cands_sql: str) -> str:
+    """Stage marking over any candidate relation (query_id, chunk_id,
+    content, distance, filename, file_type, token_count)."""
     return f"""
-  WITH c AS ({sql_cands(k)}),
+  WITH c AS ({cands_sql}),
   s1 AS (SELECT *, (content IS NULL OR length({Q.sql_ustrip('content')}) = 0) AS empty,
                 NOT (coalesce(filename IN {_FN}, FALSE) AND lower(coalesce(file_type, '')) IN {_FT}) AS meta_bad,
                 NOT coalesce(distance <= {HP.distance_threshold}, FALSE) AS dist_bad FROM c),
