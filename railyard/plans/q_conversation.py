@@ -224,6 +224,11 @@ def turn_answers(spark, sf, retrieved):
 
 
 def routed(spark, sf):
+    return routed_with_retrieval(spark, sf)[0]
+
+
+def routed_with_retrieval(spark, sf):
+    """(route output, surviving chunks, guarded retrieval) for the turn frame."""
     turns = turn_frame(spark, sf)
     e = table(spark, sf, "embeddings")
     d = table(spark, sf, "documents")
@@ -232,7 +237,7 @@ def routed(spark, sf):
                                  filename="source", file_type="lang")
     retrieved = surviving_chunks(guarded)
     answers = turn_answers(spark, sf, retrieved)
-    return route_turns(turns, answers, e, RP, retrieved=retrieved, id_col="vec_id")
+    return route_turns(turns, answers, e, RP, retrieved=retrieved, id_col="vec_id"), retrieved, guarded
 
 
 EV_M = Q.sql_evaluate_input("message")
