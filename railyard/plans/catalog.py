@@ -8,3 +8,4 @@ from railyard.plans import q_chunking  # noqa: F401
 from railyard.plans import q_output  # noqa: F401
 from railyard.plans import q_conversation  # noqa: F401
 from railyard.plans import q_reports  # noqa: F401
+from railyard.plans import q_streaming  # noqa: F401
