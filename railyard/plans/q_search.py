@@ -167,3 +167,49 @@ def q_gate_threshold_sweep(spark, sf):
     """False refusals / passes per threshold; even labels are on-topic."""
     g = gate_all(spark, sf).withColumn("on_topic", F.col("label") % 2 == 0)
     return G.gate_threshold_sweep(g, "on_topic", SWEEP)
+
+
+NCELLS, NPROBE = 16, 4
+
+
+def ivf(spark, sf):
+    from railyard.operators.ann import ann_index_build
+    return ann_index_build(table(spark, sf, "embeddings"), NCELLS, id_col="vec_id")
+
+
+@register("ann_index_build")
+def q_ann_index_build(spark, sf):
+    """E5: k-means IVF cells (16) written partitioned by cell; rows-only."""
+    return ivf(spark, sf).frame(spark).select("vec_id", "cell")
+
+
+def _ann(spark, sf, nprobe):
+    from railyard.operators.ann import ann_topk
+    a = ann_topk(ivf(spark, sf), emb_queries(spark, sf), 6, nprobe)
+    # drop the self match, then keep 5 (the exact search excludes self)
+    a = a.filter(F.col("query_id") != F.col("id")).drop("rank")
+    from pyspark.sql import Window
+    w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("id").asc())
+    return a.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 5)
+
+
+@register("ann_topk")
+def q_ann_topk(spark, sf):
+    """Approximate top-5 probing 4 of 16 cells; rows-only (see ann_recall)."""
+    return _ann(spark, sf, NPROBE)
+
+
+@register("ann_topk_all_cells", sql=f"""
+SELECT query_id, id, round(distance, 6) AS distance, rank FROM ({sql_topk(5)})""")
+def q_ann_topk_all_cells(spark, sf):
+    """E6 probing every cell: must equal the exact search."""
+    return _ann(spark, sf, NCELLS)
+
+
+@register("ann_recall")
+def q_ann_recall(spark, sf):
+    """recall@5 of the 4-probe IVF search against the exact search."""
+    from railyard.operators.ann import recall_at_k
+    r = recall_at_k(_ann(spark, sf, NPROBE), topk_all(spark, sf, 5))
+    return r.agg(F.count("*").alias("n_queries"), F.avg("recall").alias("mean_recall"),
+                 F.min("recall").alias("min_recall"))
