@@ -11,9 +11,29 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+# Tables whose rows carry long text and feed CPU-heavy per-row regex work.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table ``name`` under ``sf_dir``; scans prune columns and push filters."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Parquet table ``name`` under ``sf_dir``; scans prune columns and push
+    filters.  Text tables are spread over the cores when the scan yields
+    fewer partitions than the default parallelism (one large row group);
+    on a cluster-sized table the scan already has more splits than cores
+    and no shuffle is added."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if name in TEXT_TABLES:
+        df = spread(df)
+    return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition only when the frame has fewer partitions than
+    the cluster's default parallelism."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
 
 
 FAQ_SCHEMA = T.StructType([
