@@ -30,7 +30,13 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ap
             ("&hellip;", "…"), ("&amp;", "&"))
 
 _INLINE = "|".join(INLINE_TAGS)
-BLOCK_RE = (r"(?i)<(" + "|".join(BLOCK_TAGS) + r")\b[^>]*>((?:[^<]|</?(?:" + _INLINE + r")\b[^>]*>)*)")
+# A block's text: runs of non-tag characters and inline tags.  Java's regex
+# engine recurses once per repetition of a group, so the Java form consumes
+# whole runs per repetition (possessive, no backtracking); RE2 (the SQL
+# oracle) has no possessive quantifiers and needs none.
+BLOCK_RE = (r"(?i)<(" + "|".join(BLOCK_TAGS) + r")\b[^>]*>((?:[^<]+|</?(?:" + _INLINE + r")\b[^>]*>)*)")
+BLOCK_RE_JAVA = (r"(?i)<(" + "|".join(BLOCK_TAGS) + r")\b[^>]*+>((?:[^<]++|</?(?:" + _INLINE
+                 + r")\b[^>]*+>)*+)")
 DROP_RE = r"(?is)<!--.*?-->|" + "|".join(rf"<{t}\b.*?</{t}\s*>" for t in DROP_REGIONS)
 TAG_RE = r"<[^>]*>"
 SPACE_RE = r"\s+"
@@ -49,8 +55,8 @@ def extract_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
     paragraph or list_item; level 1-6 for headings; empty blocks dropped and
     positions renumbered in reading order."""
     body = F.regexp_replace(F.col(html_col), DROP_RE, " ")
-    tags = F.regexp_extract_all(body, F.lit(BLOCK_RE), 1)
-    texts = F.regexp_extract_all(body, F.lit(BLOCK_RE), 2)
+    tags = F.regexp_extract_all(body, F.lit(BLOCK_RE_JAVA), 1)
+    texts = F.regexp_extract_all(body, F.lit(BLOCK_RE_JAVA), 2)
     blocks = F.filter(F.arrays_zip(F.transform(tags, lambda t: F.lower(t)).alias("tag"),
                                    F.transform(texts, lambda x: clean_inline(x)).alias("text")),
                       lambda b: F.length(b["text"]) > 0)
