@@ -152,7 +152,8 @@ def q_retry_instruction(spark, sf):
 @register("backfill_citations", sql=f"""
 WITH {SQL_BASE}
 SELECT c.turn_id, c.pos, c.chunk_id, r.filename AS source, round(r.distance, 6) AS score
-FROM cit c LEFT JOIN ret r ON r.turn_id = c.turn_id AND r.chunk_id = c.chunk_id""")
+FROM cit c LEFT JOIN ret r ON r.turn_id = c.turn_id AND r.chunk_id = c.chunk_id
+WHERE c.turn_id IN (SELECT turn_id FROM ans)""")
 def q_backfill_citations(spark, sf):
     """I8: source and score from the retrieved chunk; unknown ids unchanged."""
     ret = retrieved(spark, sf)
@@ -165,7 +166,8 @@ def q_backfill_citations(spark, sf):
 @register("group_citations", sql=f"""
 WITH {SQL_BASE},
 bf AS (SELECT c.turn_id, c.pos, c.chunk_id, r.filename AS source, r.distance AS score
-       FROM cit c LEFT JOIN ret r ON r.turn_id = c.turn_id AND r.chunk_id = c.chunk_id)
+       FROM cit c LEFT JOIN ret r ON r.turn_id = c.turn_id AND r.chunk_id = c.chunk_id
+       WHERE c.turn_id IN (SELECT turn_id FROM ans))
 SELECT turn_id, coalesce(nullif(source, ''), nullif(chunk_id, ''), 'unknown') AS source_key,
        count(*) AS n_citations, round(min(score), 6) AS best_score, min(pos) AS first_pos
 FROM bf GROUP BY 1, 2""")
