@@ -246,10 +246,10 @@ def session_fold(turns: DataFrame, policy: Policy = DEFAULT_POLICY, session_col:
     cap, n, trim = policy.max_turns_per_session, policy.messages_per_turn, policy.history_cap
     w = Window.partitionBy(session_col).orderBy(ts_col, turn_col)
     t = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    df = (turns.withColumn("__t", t).withColumn("__rk", F.row_number().over(w).cast("long"))
-          .withColumn("__gap", F.col("__t") - F.lag("__t").over(w))
-          .withColumn("__seg", F.sum(F.when(F.col("__gap") >= ttl, 1).otherwise(0))
-                      .over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    gap = t - F.lag(t).over(w)
+    df = (turns.withColumns({"__t": t, "__rk": F.row_number().over(w).cast("long"),
+                             "__brk": F.when(gap >= ttl, 1).otherwise(0)})
+          .withColumn("__seg", F.sum("__brk").over(w.rowsBetween(Window.unboundedPreceding, 0))))
     xs = df.groupBy(session_col, "__seg").agg(F.array_sort(F.collect_list(F.struct(
         "__rk", "__t", F.col(input_ok).alias("ok"), F.col(eligible).alias("el")))).alias("xs"))
     iv_t = "array<struct<a:bigint,b:bigint>>"
@@ -279,4 +279,4 @@ def session_fold(turns: DataFrame, policy: Policy = DEFAULT_POLICY, session_col:
     ivs = xs.select(session_col, "__seg", F.aggregate("xs", init, step, finish).alias("__ivs"))
     out = df.join(ivs, [session_col, "__seg"])
     capped = F.col(input_ok) & F.exists("__ivs", lambda iv: (F.col("__rk") >= iv["a"]) & (F.col("__rk") < iv["b"]))
-    return out.withColumn("capped", capped).drop("__t", "__rk", "__gap", "__seg", "__ivs")
+    return out.withColumn("capped", capped).drop("__t", "__rk", "__brk", "__seg", "__ivs")

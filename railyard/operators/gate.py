@@ -20,20 +20,31 @@ def relevance_gate(queries: DataFrame, corpus: DataFrame, policy: Policy = DEFAU
     * corpus empty (no hit)            -> refused, null distance, "no chunks returned"
     * best distance <= threshold       -> allowed
     """
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("__qv"))
+    if not policy.relevance_gate_enabled:
+        return gate_from_hits(q, None, policy)
+    hits = vector_topk_batch(corpus, q, 1, id_col=id_col, vec_col=vec_col,
+                             query_id="query_id", query_vec="__qv",
+                             exclude_self=exclude_self)
+    return gate_from_hits(q, hits, policy)
+
+
+def gate_from_hits(queries: DataFrame, hits, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """The gate verdict from the rank-1 hit of an unfiltered search.
+
+    ``queries``: ``query_id, __qv``; ``hits``: ``query_id, distance, rank``
+    (any k >= 1, e.g. the retrieval search when it uses the same vector).
+    """
     t = policy.distance_threshold
     tstr = repr(float(t))
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("__qv"))
+    q = queries
     if not policy.relevance_gate_enabled:
         return q.select("query_id", F.lit(True).alias("gate_allowed"),
                         F.lit(None).cast("double").alias("best_distance"),
                         F.lit("gate disabled").alias("gate_reason"))
-    hits = vector_topk_batch(corpus, q, 1, id_col=id_col, vec_col=vec_col,
-                             query_id="query_id", query_vec="__qv",
-                             exclude_self=exclude_self)
-    best = hits.select("query_id", F.col("distance").alias("best_distance"),
-                       F.lit(True).alias("__hit"))
-    # queries are the smaller side of the gate; the hit frame has one row per
-    # query, so this is an equi-join on query_id without touching the corpus.
+    best = hits.filter(F.col("rank") == 1).select("query_id", F.col("distance").alias("best_distance"),
+                                                  F.lit(True).alias("__hit"))
+    # one hit row per query: an equi-join on query_id, the corpus is not touched
     j = q.join(best, "query_id", "left")
     bad_vec = F.coalesce(norm("__qv") <= 0, F.lit(True))
     d = F.col("best_distance")

@@ -107,10 +107,7 @@ def evaluate_input(df: DataFrame, msg: str = "message", policy: Policy = DEFAULT
                 .otherwise(dec(True, None, F.lit(None), False)))
     tmp = f"__{prefix}decision"
     return (df.withColumn(tmp, decision)
-            .withColumn(f"{prefix}allowed", F.col(f"{tmp}.allowed"))
-            .withColumn(f"{prefix}category", F.col(f"{tmp}.category"))
-            .withColumn(f"{prefix}reason", F.col(f"{tmp}.reason"))
-            .withColumn(f"{prefix}flagged", F.col(f"{tmp}.flagged"))
+            .withColumns({f"{prefix}{k}": F.col(f"{tmp}.{k}") for k in ("allowed", "category", "reason", "flagged")})
             .drop(tmp))
 
 

@@ -40,6 +40,34 @@ def filter_citations_inline(citations: Column, ids: Column) -> Column:
     return F.filter(citations, lambda c: F.coalesce(F.array_contains(ids, c["chunk_id"]), F.lit(False)))
 
 
+def check_citations_inline(answers: DataFrame, valid: DataFrame, turn_col: str = "turn_id") -> DataFrame:
+    """I1 + I8 in array form: ``valid`` holds one row per turn with
+    ``chunks`` (array of ``chunk_id, filename, distance``; bounded by the
+    search k).  One equi-join on ``turn_id``, then row-local array
+    functions: kept citations backfilled with source/score, dropped ids in
+    order (duplicates kept)."""
+    v = valid.select(turn_col, F.transform("chunks", lambda c: F.struct(
+        c["chunk_id"].cast("string").alias("chunk_id"), c["filename"].alias("filename"),
+        c["distance"].alias("distance"))).alias("__valid"))
+    a = answers.join(v, turn_col, "left").withColumn(
+        "__valid", F.coalesce("__valid", F.array().cast("array<struct<chunk_id:string,filename:string,distance:double>>")))
+
+    def match(c):
+        return F.filter("__valid", lambda x: x["chunk_id"] == c["chunk_id"])
+
+    def has(c):
+        return F.size(match(c)) > 0
+
+    kept = F.filter("citations", has)
+    back = F.transform(kept, lambda c: F.struct(
+        c["chunk_id"].alias("chunk_id"), F.element_at(match(c), 1)["filename"].alias("source"),
+        F.element_at(match(c), 1)["distance"].alias("score")))
+    return (a.withColumn("dropped_citations", F.transform(F.filter("citations", lambda c: ~has(c)),
+                                                          lambda c: c["chunk_id"]).cast("array<string>"))
+            .withColumn("citations", back.cast(f"array<{CITATION}>"))
+            .drop("__valid"))
+
+
 def is_ungrounded(enough_context: Column, citations: Column) -> Column:
     """Claims enough context but no citation survived."""
     return enough_context & (F.coalesce(F.size(citations), F.lit(0)) == 0)
@@ -50,21 +78,21 @@ def apply_output_guards(filtered: DataFrame, policy: Policy = DEFAULT_POLICY,
     """I3 + I6 on the output of :func:`filter_citations`: grounding,
     suppression, PII scrub then profanity scrub (scrubs run even when the
     body is suppressed), ``final_body`` and ``flagged_stages`` in fixed order."""
-    df = filtered.withColumn("ungrounded", is_ungrounded(F.col("enough_context"), F.col("citations")))
-    df = df.withColumn("body_suppressed", ~F.col("enough_context") | F.col("ungrounded"))
+    ung = is_ungrounded(F.col("enough_context"), F.col("citations"))
+    df = filtered.withColumns({"ungrounded": ung, "body_suppressed": ~F.col("enough_context") | ung})
     df = scrub_pii(df, answer_col, "__pii_body", policy, count_prefix="pii_")
     masked, n_prof = scrub_profanity_col(F.col("__pii_body"), policy)
-    df = df.withColumn("scrubbed_answer", masked).withColumn("profanity_count", n_prof.cast("int"))
+    df = df.withColumns({"scrubbed_answer": masked, "profanity_count": n_prof.cast("int")})
     stages = F.array_compact(F.array(
         F.when(F.size("dropped_citations") > 0, F.lit(OUTPUT_STAGES[0])),
         F.when(F.col("ungrounded"), F.lit(OUTPUT_STAGES[1])),
         F.when(F.col("body_suppressed") & ~F.col("enough_context"), F.lit(OUTPUT_STAGES[2])),
         F.when(F.size("pii_counts") > 0, F.lit(OUTPUT_STAGES[3])),
         F.when(F.col("profanity_count") > 0, F.lit(OUTPUT_STAGES[4]))))
-    return (df.withColumn("flagged_stages", stages)
-            .withColumn("final_body", F.when(F.col("body_suppressed"), F.lit(policy.messages["offramp"]))
-                        .otherwise(F.col("scrubbed_answer")))
-            .drop("__pii_body"))
+    return df.withColumns({
+        "flagged_stages": stages,
+        "final_body": F.when(F.col("body_suppressed"), F.lit(policy.messages["offramp"])).otherwise(
+            F.col("scrubbed_answer"))}).drop("__pii_body")
 
 
 def retry_instruction(df: DataFrame, retrieved_count: str = "n_retrieved") -> DataFrame:

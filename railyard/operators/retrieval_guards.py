@@ -102,14 +102,14 @@ def apply_retrieval_guards(hits: DataFrame, queries: DataFrame, policy: Policy =
     out = queries.select(query_col).distinct().join(agg, query_col, "left")
     chunks = F.transform(F.coalesce(F.col("__chunks"), F.array().cast(agg.schema["__chunks"].dataType)),
                          lambda c: c.dropFields("d"))
-    out = out.withColumn("chunks", chunks).drop("__chunks")
-    for s in RETRIEVAL_STAGES:
-        out = out.withColumn(f"dropped_{s}", F.coalesce(F.col(f"dropped_{s}"), F.lit(0)).cast("long"))
-    return (out.withColumn("total_context_tokens", F.coalesce(F.col("total_context_tokens"), F.lit(0)).cast("long"))
-            .withColumn("no_context", F.size("chunks") == 0)
-            .withColumn("chunk_ids", F.transform("chunks", lambda c: c["chunk_id"]))
-            .withColumn("dropped_counts", F.create_map(*[x for s in RETRIEVAL_STAGES
-                                                         for x in (F.lit(s), F.col(f"dropped_{s}"))])))
+    fixed = {f"dropped_{s}": F.coalesce(F.col(f"dropped_{s}"), F.lit(0)).cast("long") for s in RETRIEVAL_STAGES}
+    fixed["total_context_tokens"] = F.coalesce(F.col("total_context_tokens"), F.lit(0)).cast("long")
+    fixed["chunks"] = chunks
+    out = out.withColumns(fixed).drop("__chunks")
+    return out.withColumns({
+        "no_context": F.size("chunks") == 0,
+        "chunk_ids": F.transform("chunks", lambda c: c["chunk_id"]),
+        "dropped_counts": F.create_map(*[x for s in RETRIEVAL_STAGES for x in (F.lit(s), F.col(f"dropped_{s}"))])})
 
 
 def format_context(guarded: DataFrame) -> DataFrame:

@@ -31,9 +31,8 @@ def scrub_pii(df: DataFrame, text: str, out: str = "scrubbed", policy: Policy =
     for i, (label, p) in enumerate(PII_PATTERNS):
         pat = java_pii(p)
         nxt = f"__pii{i + 1}"
-        df = (df.withColumn(f"{count_prefix}{label}", F.coalesce(F.regexp_count(F.col(cur), F.lit(pat)), F.lit(0)))
-              .withColumn(nxt, F.regexp_replace(F.col(cur), pat, REDACTED)))
-        df = df.drop(cur)
+        df = df.withColumns({f"{count_prefix}{label}": F.coalesce(F.regexp_count(F.col(cur), F.lit(pat)), F.lit(0)),
+                             nxt: F.regexp_replace(F.col(cur), pat, REDACTED)}).drop(cur)
         cur = nxt
     counts = F.map_filter(F.create_map(*[x for label, _ in PII_PATTERNS
                                          for x in (F.lit(label), F.col(f"{count_prefix}{label}"))]),

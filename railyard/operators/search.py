@@ -128,18 +128,27 @@ def _lexsort_rows(d: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _query_blocks(queries: DataFrame, qid: str, qvec: str, dim_hint: Optional[int]):
-    """Split the query frame into broadcast-sized blocks (size checked)."""
-    n = queries.count()
-    if n == 0:
-        return []
-    dim = dim_hint or (queries.select(F.size(qvec).alias("d")).agg(F.max("d")).first()[0] or 1)
+def _query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int):
+    """Collect the query side in broadcast-sized blocks (size checked).
+
+    One bounded collect covers the usual case: at most ``per_block + 1``
+    rows are fetched, and if that is all there is, it is the single block.
+    Only a larger query set is counted and split by a hash of the query id
+    into blocks of about ``per_block`` rows, each collected on its own.
+    """
     per_block = max(1, MAX_QUERY_BLOCK_BYTES // (8 * max(dim, 1)))
-    nblocks = -(-n // per_block)
-    if nblocks == 1:
-        return [queries]
+    cols = [F.col(qid).alias("q"), F.col(qvec).alias("v")]
+    first = queries.select(*cols).limit(per_block + 1).toPandas()
+    if len(first) <= per_block:
+        return [first] if len(first) else []
+    nblocks = -(-queries.count() // per_block)
     b = F.pmod(F.xxhash64(F.col(qid)), F.lit(nblocks))
-    return [queries.filter(b == i) for i in range(nblocks)]
+    return [queries.filter(b == i).select(*cols).toPandas() for i in range(nblocks)]
+
+
+def _dim(corpus: DataFrame, vec_col: str) -> int:
+    row = corpus.select(F.size(vec_col).alias("d")).filter(F.col("d") > 0).first()
+    return int(row["d"]) if row else 1
 
 
 def vector_topk_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, *,
@@ -163,8 +172,7 @@ def vector_topk_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, *,
     ])
     cand = corpus.select(F.col(id_col).alias("__id"), F.col(vec_col).alias("__vec"))
     parts = []
-    for block in _query_blocks(queries, query_id, query_vec, dim):
-        pdf = block.select(F.col(query_id).alias("q"), F.col(query_vec).alias("v")).toPandas()
+    for pdf in _query_blocks(queries, query_id, query_vec, dim or _dim(corpus, vec_col)):
         qmat, qok = unit_rows(list(pdf["v"]))
         qids = pdf["q"].to_numpy()
         bq = spark.sparkContext.broadcast((qids, qmat, qok))

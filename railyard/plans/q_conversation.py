@@ -25,6 +25,7 @@ from railyard.plans import sqlfrag as Q
 from railyard.plans.q_retrieval import HP, sql_guarded, sql_marked_from
 from railyard.plans.q_search import topk_all, sql_topk
 from railyard.plans.registry import register
+from railyard.operators.search import vector_topk_batch
 from railyard.plans.retrieval import retrieve_knowledge
 from railyard.plans.route import route_turns, surviving_chunks
 from railyard.policy import DEFAULT_POLICY
@@ -228,16 +229,18 @@ def routed(spark, sf):
 
 
 def routed_with_retrieval(spark, sf):
-    """(route output, surviving chunks, guarded retrieval) for the turn frame."""
+    """(route output, surviving chunks, guarded retrieval) for the turn frame.
+    One search of the turn vectors feeds the gate (rank 1) and retrieval."""
     turns = turn_frame(spark, sf)
     e = table(spark, sf, "embeddings")
     d = table(spark, sf, "documents")
-    ok_q = turns.select(F.col("turn_id").alias("query_id"), "embedding")
-    guarded = retrieve_knowledge(ok_q, e, RP, id_col="vec_id", payload=d, payload_id="doc_id", content="text",
-                                 filename="source", file_type="lang")
+    q = turns.select(F.col("turn_id").alias("query_id"), F.col("embedding").alias("__qv"))
+    hits = vector_topk_batch(e, q, max(RP.top_k, 1), id_col="vec_id", query_id="query_id", query_vec="__qv")
+    guarded = retrieve_knowledge(q, e, RP, id_col="vec_id", payload=d, payload_id="doc_id", content="text",
+                                 filename="source", file_type="lang", hits=hits)
     retrieved = surviving_chunks(guarded)
     answers = turn_answers(spark, sf, retrieved)
-    return route_turns(turns, answers, e, RP, retrieved=retrieved, id_col="vec_id"), retrieved, guarded
+    return route_turns(turns, answers, e, RP, hits=hits, guarded=guarded, id_col="vec_id"), retrieved, guarded
 
 
 EV_M = Q.sql_evaluate_input("message")

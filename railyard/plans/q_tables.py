@@ -295,3 +295,22 @@ def q_cache_replay(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "event_id", "ts")
     out = D.embedding_cache_replay(ev, "user_id", "ts", "event_id", 86400)
     return out.select("user_id", "event_id", ts_text("ts").alias("ts"), "cache_hit")
+
+
+@register("read_faq_csv", sql="""
+SELECT q.text AS question, a.text AS answer, 'cat' || CAST(q.conv_id % 5 AS VARCHAR) AS category
+FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
+WHERE q.role = 'user' AND a.role = 'assistant'""")
+def q_read_faq_csv(spark, sf):
+    """A1: question/answer pairs written by Spark as a ``;`` CSV with header
+    (quoted multi-line fields), read back with the FAQ reader."""
+    from railyard.sources.tables import read_faq_csv, write_faq_csv
+    c = table(spark, sf, "conversations")
+    q = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                      F.col("text").alias("answer"))
+    pairs = q.join(a, ["conv_id", "turn"]).withColumn(
+        "category", F.concat(F.lit("cat"), (F.col("conv_id") % 5).cast("string")))
+    path = scratch_path(spark, "faq_csv")
+    write_faq_csv(pairs, path)
+    return read_faq_csv(spark, path)

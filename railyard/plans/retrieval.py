@@ -16,14 +16,16 @@ def search_candidates(queries: DataFrame, corpus: DataFrame, k: int, *, query_id
                       query_vec: str = "embedding", id_col: str = "id", vec_col: str = "embedding",
                       content: str = "content", filename: str = "filename", file_type: str = "file_type",
                       exclude_self: bool = False, payload: Optional[DataFrame] = None,
-                      payload_id: Optional[str] = None) -> DataFrame:
+                      payload_id: Optional[str] = None, hits: Optional[DataFrame] = None) -> DataFrame:
     """Top-k hits with the payload the guards need; token counts are computed
     JVM-side on the scan, text is attached only to the hits.  ``payload``
     (with key ``payload_id``) supplies the text when vectors and text live
     in different tables; otherwise the corpus carries both."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("__qv"))
-    hits = vector_topk_batch(corpus, q, k, id_col=id_col, vec_col=vec_col, query_id="query_id",
-                             query_vec="__qv", exclude_self=exclude_self)
+    if hits is None:
+        q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("__qv"))
+        hits = vector_topk_batch(corpus, q, k, id_col=id_col, vec_col=vec_col, query_id="query_id",
+                                 query_vec="__qv", exclude_self=exclude_self)
+    hits = hits.filter(F.col("rank") <= k)
     cols = [F.col(content).alias("content"), F.col(filename).alias("filename"),
             F.col(file_type).alias("file_type"), approx_tokens(content).alias("token_count")]
     if payload is None:

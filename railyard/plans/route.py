@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from railyard.operators import output_guards as OG
 from railyard.operators.conversation import force_escalation, session_fold
-from railyard.operators.gate import relevance_gate
+from railyard.operators.gate import gate_from_hits
+from railyard.operators.search import vector_topk_batch
 from railyard.operators.input_guards import evaluate_input, mentions_human, refusal_message
 from railyard.plans.retrieval import retrieve_knowledge
 from railyard.policy import DEFAULT_POLICY, Policy
@@ -34,7 +35,8 @@ def surviving_chunks(guarded: DataFrame) -> DataFrame:
 
 
 def route_turns(turns: DataFrame, answers: DataFrame, corpus: DataFrame, policy: Policy = DEFAULT_POLICY, *,
-                retrieved: Optional[DataFrame] = None, id_col: str = "id", vec_col: str = "embedding",
+                hits: Optional[DataFrame] = None, guarded: Optional[DataFrame] = None,
+                id_col: str = "id", vec_col: str = "embedding",
                 payload: Optional[DataFrame] = None, payload_id: Optional[str] = None,
                 content: str = "content", filename: str = "filename", file_type: str = "file_type") -> DataFrame:
     """J13.
@@ -42,22 +44,26 @@ def route_turns(turns: DataFrame, answers: DataFrame, corpus: DataFrame, policy:
     ``turns``: ``turn_id, session_id, turn, ts, message, embedding``.
     ``answers``: ``turn_id, answer, citations array<struct<chunk_id,source,score>>,
     enough_context, needs_human, agent_status`` ("ok" or one of
-    ``AGENT_FAILURES``).  ``retrieved``: surviving chunks per turn; computed
-    with :func:`retrieve_knowledge` when not given.
+    ``AGENT_FAILURES``).  ``hits``: the unfiltered top-k search of the turn
+    vectors (``query_id = turn_id``); the gate reads its rank-1 distance and
+    the retrieval guards its rows, so one search serves both.  ``guarded``:
+    the retrieval-guard result per turn (``query_id, chunks``); computed with
+    :func:`retrieve_knowledge` when not given.
     """
     msgs = policy.messages
     t = evaluate_input(turns, "message", policy)
-    ok_q = t.filter(F.col("input_allowed")).select(F.col("turn_id").alias("query_id"), "embedding")
-    gate = relevance_gate(ok_q, corpus, policy, id_col=id_col, vec_col=vec_col).withColumnRenamed(
-        "query_id", "turn_id")
-    if retrieved is None:
+    ok_q = t.filter(F.col("input_allowed")).select(F.col("turn_id").alias("query_id"),
+                                                    F.col("embedding").alias("__qv"))
+    if hits is None:
+        hits = vector_topk_batch(corpus, ok_q, max(policy.top_k, 1), id_col=id_col, vec_col=vec_col,
+                                 query_id="query_id", query_vec="__qv")
+    gate = gate_from_hits(ok_q, hits, policy).withColumnRenamed("query_id", "turn_id")
+    if guarded is None:
         guarded = retrieve_knowledge(ok_q, corpus, policy, id_col=id_col, vec_col=vec_col, payload=payload,
                                      payload_id=payload_id, content=content, filename=filename,
-                                     file_type=file_type)
-        retrieved = surviving_chunks(guarded)
-    filt = OG.filter_citations(answers, retrieved)
-    guarded_ans = OG.apply_output_guards(filt, policy)
-    guarded_ans = OG.backfill_citations(guarded_ans, retrieved)
+                                     file_type=file_type, hits=hits)
+    valid = guarded.select(F.col("query_id").alias("turn_id"), "chunks")
+    guarded_ans = OG.apply_output_guards(OG.check_citations_inline(answers, valid), policy)
     t = t.join(gate, "turn_id", "left").join(
         guarded_ans.select("turn_id", F.col("citations").alias("out_citations"), "final_body", "ungrounded",
                            F.col("enough_context").alias("ans_enough"), F.col("needs_human").alias("ans_human"),
@@ -67,9 +73,8 @@ def route_turns(turns: DataFrame, answers: DataFrame, corpus: DataFrame, policy:
     status = F.coalesce(F.col("agent_status"), F.lit("unexpected_error"))
     status = F.when((status == "ok") & F.coalesce(F.col("ungrounded"), F.lit(False)),
                     F.lit("ungrounded_after_retry")).otherwise(status)
-    t = (t.withColumn("gate_refused", gate_refused).withColumn("agent_outcome", status)
-         .withColumn("input_ok", F.col("input_allowed"))
-         .withColumn("eligible", F.col("input_allowed") & ~F.col("gate_refused") & (F.col("agent_outcome") == "ok")))
+    t = t.withColumns({"gate_refused": gate_refused, "agent_outcome": status, "input_ok": F.col("input_allowed"),
+                       "eligible": F.col("input_allowed") & ~gate_refused & (status == "ok")})
     t = session_fold(t, policy, "session_id", "turn", "ts", "input_ok", "eligible")
     refused = (F.when(~F.col("input_allowed"), F.concat(F.lit("input_guard:"), F.col("input_category")))
                .when(F.col("capped"), F.lit("conversation_guard:session_cap"))

@@ -45,8 +45,15 @@ FAQ_SCHEMA = T.StructType([
 
 def read_faq_csv(spark: SparkSession, path: str) -> DataFrame:
     """A1: ``;``-separated FAQ seed with a header: question, answer, category."""
-    return (spark.read.option("sep", ";").option("header", True)
-            .option("multiLine", False).schema(FAQ_SCHEMA).csv(path))
+    return (spark.read.option("sep", ";").option("header", True).option("multiLine", True)
+            .option("quote", '"').option("escape", '"').schema(FAQ_SCHEMA).csv(path))
+
+
+def write_faq_csv(df: DataFrame, path: str) -> None:
+    """Write ``question, answer, category`` in the same ``;`` format."""
+    (df.select("question", "answer", "category").write.mode("overwrite").option("sep", ";")
+     .option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def events_ts(df: DataFrame) -> DataFrame:
