@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from railyard.functions.scan import hour_bucket, previous, running
 from railyard.functions.text import approx_tokens, is_blank, ustrip
 from railyard.policy import DEFAULT_POLICY, WS_CLASS, Policy
 
@@ -64,13 +65,15 @@ def load_history(messages: DataFrame, now: str, policy: Policy = DEFAULT_POLICY,
     The cap is applied with ``row_number`` before anything is collected."""
     now_c = F.lit(now).cast("timestamp_ntz")
     m = messages.filter(F.col(ts_col) <= now_c)
-    w = Window.partitionBy(session_col)
-    m = (m.withColumn("__last", F.max(ts_col).over(w))
-         .filter(F.col("__last") + F.make_interval(secs=F.lit(policy.session_ttl_seconds)) > now_c)
-         .withColumn("__rn", F.row_number().over(_session_window(session_col, turn_col, desc=True)))
-         .filter(F.col("__rn") <= policy.history_cap))
-    return m.groupBy(session_col).agg(
-        F.max("__last").alias("last_write"),
+    # newest messages first; ``row_number() <= cap`` gets a partial
+    # WindowGroupLimit before the shuffle, so a hot session ships <= cap rows
+    trimmed = (m.withColumn("__rn", F.row_number().over(_session_window(session_col, turn_col, desc=True)))
+               .filter(F.col("__rn") <= policy.history_cap))
+    # last write per session: map-side partial aggregation, no session window
+    alive = (m.groupBy(session_col).agg(F.max(ts_col).alias("last_write"))
+             .filter(F.col("last_write") + F.make_interval(secs=F.lit(policy.session_ttl_seconds)) > now_c))
+    return trimmed.join(alive, session_col).groupBy(session_col).agg(
+        F.max("last_write").alias("last_write"),
         F.count("*").alias("n_messages"),
         F.array_sort(F.collect_list(F.struct(turn_col, "role", "text"))).alias("history"))
 
@@ -87,12 +90,18 @@ def append_history(current: DataFrame, new: DataFrame, cap: int, session_col: st
 def expire_sessions(messages: DataFrame, ttl_seconds: int, session_col: str = "session_id",
                     ts_col: str = "ts", order_cols: tuple = ()) -> DataFrame:
     """A gap of at least the TTL since the previous write starts a new
-    epoch (fresh, empty history).  ``epoch`` counts from 0 per session."""
-    w = Window.partitionBy(session_col).orderBy(ts_col, *order_cols)
-    gap = F.unix_micros(F.col(ts_col).cast("timestamp")) - F.unix_micros(F.lag(ts_col).over(w).cast("timestamp"))
-    flag = F.coalesce(gap >= F.lit(ttl_seconds * 1_000_000), F.lit(False)).cast("int")
-    return (messages.withColumn("new_epoch", flag == 1)
-            .withColumn("epoch", F.sum(flag).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")))
+    epoch (fresh, empty history).  ``epoch`` counts from 0 per session.
+
+    Hot sessions are split by hour: the previous write and the running
+    epoch count are two-level scans (see ``functions.scan``)."""
+    order = [F.col(ts_col), *[F.col(c) for c in order_cols]]
+    bucket = hour_bucket(ts_col)
+    df = messages.withColumn("__us", F.unix_micros(F.col(ts_col).cast("timestamp")))
+    df = previous(df, [session_col], order, bucket, "__us", "__prev_us")
+    flag = F.coalesce((F.col("__us") - F.col("__prev_us")) >= F.lit(ttl_seconds * 1_000_000), F.lit(False))
+    df = df.withColumn("new_epoch", flag)
+    df = running(df, [session_col], order, bucket, {"epoch": ("sum", F.col("new_epoch").cast("long"))})
+    return df.withColumn("epoch", F.col("epoch").cast("long")).drop("__us", "__prev_us")
 
 
 def clear_sessions(messages: DataFrame, ids: DataFrame, session_col: str = "session_id") -> DataFrame:
@@ -102,13 +111,15 @@ def clear_sessions(messages: DataFrame, ids: DataFrame, session_col: str = "sess
 
 # ----------------------------------------------------------------- J5 - J9
 def session_cap(messages: DataFrame, cap: int, session_col: str = "session_id",
-                turn_col: str = "turn") -> DataFrame:
+                turn_col: str = "turn", bucket_size: int = 1024) -> DataFrame:
     """J5 (isolated form): a turn is refused when the session already holds
-    ``cap`` or more messages."""
-    w = (Window.partitionBy(session_col).orderBy(turn_col)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    prior = F.coalesce(F.count("*").over(w), F.lit(0))
-    return messages.withColumn("prior_messages", prior).withColumn("capped", F.col("prior_messages") >= cap)
+    ``cap`` or more messages.  The prior count is a two-level scan over
+    turn buckets, so one very long session is spread over tasks."""
+    bucket = F.floor(F.col(turn_col) / F.lit(bucket_size)).cast("long")
+    df = running(messages, [session_col], [F.col(turn_col)], bucket,
+                 {"prior_messages": ("count", F.lit(1))}, inclusive=False)
+    return df.withColumn("prior_messages", F.col("prior_messages").cast("long")).withColumn(
+        "capped", F.col("prior_messages") >= cap)
 
 
 def transcript_line(role, text) -> Column:
@@ -165,16 +176,20 @@ def force_escalation(needs_human: Column, mentions: Column) -> Column:
 
 # ---------------------------------------------------------------- J10 - J18
 def repeated_miss_escalation(turns: DataFrame, n: int = 2, session_col: str = "session_id",
-                             order_col: str = "turn", miss_col: str = "miss") -> DataFrame:
-    """Gaps and islands; a turn that is the n-th (or later) consecutive
-    miss of its session forces escalation."""
-    w = Window.partitionBy(session_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    island = F.sum((~F.col(miss_col)).cast("int")).over(w)
-    df = turns.withColumn("__island", island)
-    w2 = Window.partitionBy(session_col, "__island").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    run = F.sum(F.col(miss_col).cast("int")).over(w2)
+                             order_col: str = "turn", miss_col: str = "miss", bucket=None) -> DataFrame:
+    """A turn that is the n-th (or later) consecutive miss of its
+    session forces escalation.  Run length = position - position of the last
+    hit, both two-level scans over ``bucket`` (default: the order column in
+    buckets of 1024 when it is numeric)."""
+    order = [F.col(order_col)] if isinstance(order_col, str) else list(order_col)
+    if bucket is None:
+        bucket = F.floor(order[0] / F.lit(1024)).cast("long")
+    df = running(turns, [session_col], order, bucket, {"__pos": ("count", F.lit(1))})
+    df = running(df, [session_col], order, bucket,
+                 {"__last_hit": ("max", F.when(~F.col(miss_col), F.col("__pos")))})
+    run = F.col("__pos") - F.coalesce(F.col("__last_hit"), F.lit(0))
     return (df.withColumn("miss_run", F.when(F.col(miss_col), run).otherwise(F.lit(0)).cast("long"))
-            .withColumn("force_escalation", F.col("miss_run") >= n).drop("__island"))
+            .withColumn("force_escalation", F.col("miss_run") >= n).drop("__pos", "__last_hit"))
 
 
 def topic_escalation(turn_chunks: DataFrame, topics: DataFrame, topic_col: str = "filename",
@@ -236,7 +251,8 @@ def session_fold(turns: DataFrame, policy: Policy = DEFAULT_POLICY, session_col:
     ``history_cap``) and refresh the TTL; a turn with input allowed is
     capped when the stored count is at least ``max_turns_per_session``.
     The state is sequential, so each session is cut at gaps >= TTL between
-    consecutive turns (a guaranteed reset) and each piece is folded with
+    consecutive turns (a guaranteed reset; found with two-level scans, so a
+    hot session is not one window task) and each piece is folded with
     ``aggregate`` over (row, time, flags).  The fold emits only the capped
     *intervals* (one per epoch that reaches the cap), so it appends at most
     once per epoch; capped rows are found by an equi-join back on
@@ -244,12 +260,12 @@ def session_fold(turns: DataFrame, policy: Policy = DEFAULT_POLICY, session_col:
     """
     ttl = policy.session_ttl_seconds * 1_000_000
     cap, n, trim = policy.max_turns_per_session, policy.messages_per_turn, policy.history_cap
-    w = Window.partitionBy(session_col).orderBy(ts_col, turn_col)
-    t = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    gap = t - F.lag(t).over(w)
-    df = (turns.withColumns({"__t": t, "__rk": F.row_number().over(w).cast("long"),
-                             "__brk": F.when(gap >= ttl, 1).otherwise(0)})
-          .withColumn("__seg", F.sum("__brk").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    order = [F.col(ts_col), F.col(turn_col)]
+    bucket = hour_bucket(ts_col)
+    df = turns.withColumn("__t", F.unix_micros(F.col(ts_col).cast("timestamp")))
+    df = previous(df, [session_col], order, bucket, "__t", "__prev_t")
+    df = df.withColumn("__brk", F.when((F.col("__t") - F.col("__prev_t")) >= ttl, 1).otherwise(0))
+    df = running(df, [session_col], order, bucket, {"__rk": ("count", F.lit(1)), "__seg": ("sum", F.col("__brk"))})
     xs = df.groupBy(session_col, "__seg").agg(F.array_sort(F.collect_list(F.struct(
         "__rk", "__t", F.col(input_ok).alias("ok"), F.col(eligible).alias("el")))).alias("xs"))
     iv_t = "array<struct<a:bigint,b:bigint>>"
@@ -279,4 +295,4 @@ def session_fold(turns: DataFrame, policy: Policy = DEFAULT_POLICY, session_col:
     ivs = xs.select(session_col, "__seg", F.aggregate("xs", init, step, finish).alias("__ivs"))
     out = df.join(ivs, [session_col, "__seg"])
     capped = F.col(input_ok) & F.exists("__ivs", lambda iv: (F.col("__rk") >= iv["a"]) & (F.col("__rk") < iv["b"]))
-    return out.withColumn("capped", capped).drop("__t", "__rk", "__brk", "__seg", "__ivs")
+    return out.withColumn("capped", capped).drop("__t", "__prev_t", "__rk", "__brk", "__seg", "__ivs")

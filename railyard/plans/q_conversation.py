@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from railyard.functions.scan import hour_bucket
 from railyard.functions.text import approx_tokens, ts_text
 from railyard.operators import conversation as J
 from railyard.operators import output_guards as OG
@@ -166,9 +167,9 @@ r AS (SELECT *, CASE WHEN miss THEN sum(miss::INT) OVER (PARTITION BY user_id, i
 SELECT user_id, event_id, miss, miss_run::BIGINT AS miss_run, miss_run >= 2 AS force_escalation FROM r""")
 def q_repeated_miss(spark, sf):
     """Two consecutive misses (error events) force escalation."""
-    ev = (table(spark, sf, "events").select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("miss"))
-          .withColumn("ord", F.struct("ts", "event_id")))
-    out = J.repeated_miss_escalation(ev, 2, "user_id", "ord", "miss")
+    ev = table(spark, sf, "events").select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("miss"))
+    out = J.repeated_miss_escalation(ev, 2, "user_id", [F.col("ts"), F.col("event_id")], "miss",
+                                     bucket=hour_bucket("ts"))
     return out.select("user_id", "event_id", "miss", "miss_run", "force_escalation")
 
 
