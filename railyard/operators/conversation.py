@@ -210,14 +210,14 @@ def handoff_outcome(no_context: Column, refuse_when_no_context: bool, enough_con
 
 
 def trim_history_tokens(messages: DataFrame, budget: int, session_col: str = "session_id",
-                        turn_col: str = "turn", tokens_col: str = "tokens") -> DataFrame:
+                        turn_col: str = "turn", tokens_col: str = "tokens", bucket_size: int = 1024) -> DataFrame:
     """Keep the most recent messages whose running token sum (newest
-    first) stays within the budget."""
-    w = (Window.partitionBy(session_col).orderBy(F.col(turn_col).desc())
-         .rowsBetween(Window.unboundedPreceding, 0))
-    return (messages.withColumn("__tok", F.coalesce(F.col(tokens_col), approx_tokens("text")))
-            .withColumn("running_tokens", F.sum("__tok").over(w))
-            .filter(F.col("running_tokens") <= budget).drop("__tok"))
+    first) stays within the budget.  The running sum is a two-level scan
+    over turn buckets (newest bucket first)."""
+    df = messages.withColumn("__tok", F.coalesce(F.col(tokens_col), approx_tokens("text")))
+    bucket = -F.floor(F.col(turn_col) / F.lit(bucket_size)).cast("long")
+    df = running(df, [session_col], [F.col(turn_col).desc()], bucket, {"running_tokens": ("sum", F.col("__tok"))})
+    return df.filter(F.col("running_tokens") <= budget).drop("__tok")
 
 
 # Label per refusal prefix, checked in this order.

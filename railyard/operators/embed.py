@@ -19,6 +19,7 @@ from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from railyard.functions.scan import previous, running
 from railyard.functions.text import normalize_for_embedding
 
 Encoder = Callable[[pd.Series], list]
@@ -120,19 +121,21 @@ def embedding_cache_replay(requests: DataFrame, key_col: str, ts_col: str, id_co
     request time + TTL); a hit does not extend it.
 
     Per key, a gap of at least the TTL since the previous request always
-    starts fresh, so keys are cut into segments there (``lag`` window) and
-    each segment is folded in order with ``aggregate``.  The fold carries
+    starts fresh, so keys are cut into segments there (two-level scans, so
+    a hot key is spread over tasks) and each segment is folded in order with
+    ``aggregate``.  The fold carries
     only (expiry, request ids of misses) and the per-segment array holds two
     longs per request.
     """
     ttl = ttl_seconds * 1_000_000
-    w = Window.partitionBy(key_col).orderBy(ts_col, id_col)
-    r = (requests.select(F.col(key_col).alias("key"), F.col(id_col).alias("rid"),
-                         F.unix_micros(F.col(ts_col).cast("timestamp")).alias("t"))
-         .withColumn("__gap", F.col("t") - F.lag("t").over(Window.partitionBy("key").orderBy("t", "rid")))
-         .withColumn("__seg", F.sum(F.when(F.col("__gap") >= ttl, 1).otherwise(0))
-                     .over(Window.partitionBy("key").orderBy("t", "rid")
-                           .rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    r = requests.select(F.col(key_col).alias("key"), F.col(id_col).alias("rid"),
+                        F.unix_micros(F.col(ts_col).cast("timestamp")).alias("t"))
+    # segment boundaries with two-level scans (hour buckets), so a hot key
+    # is not one window task
+    order, bucket = [F.col("t"), F.col("rid")], F.floor(F.col("t") / F.lit(3_600_000_000)).cast("long")
+    r = previous(r, ["key"], order, bucket, "t", "__prev")
+    r = r.withColumn("__brk", F.when(F.col("t") - F.col("__prev") >= ttl, 1).otherwise(0))
+    r = running(r, ["key"], order, bucket, {"__seg": ("sum", F.col("__brk"))})
     g = r.groupBy("key", "__seg").agg(F.array_sort(F.collect_list(F.struct("t", "rid"))).alias("reqs"))
     init = F.struct(F.lit(-(2 ** 62)).cast("long").alias("exp"), F.array().cast("array<long>").alias("miss"))
     fold = F.aggregate("reqs", init, lambda acc, x: F.when(

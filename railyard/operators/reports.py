@@ -93,15 +93,19 @@ def normalize_question(text) -> Column:
     return F.regexp_replace(F.lower(ustrip(c)), WS_CLASS + "+", " ")
 
 
-def repeat_question_report(messages: DataFrame, session_col: str, turn_col: str, text_col: str) -> DataFrame:
+def repeat_question_report(messages: DataFrame, session_col: str, turn_col: str, text_col: str,
+                           bucket_size: int = 1024) -> DataFrame:
     """Messages repeating an earlier message of the same session (after
-    case and whitespace normalisation)."""
-    sha = F.sha2(normalize_question(text_col), 256)
-    w = Window.partitionBy(session_col, "__sha").orderBy(turn_col)
-    df = messages.withColumn("__sha", sha)
-    return (df.withColumn("occurrence", F.row_number().over(w))
-            .withColumn("first_turn", F.first(turn_col).over(w))
-            .filter(F.col("occurrence") > 1).drop("__sha"))
+    case and whitespace normalisation).  The occurrence number is a
+    two-level count and the first turn a partial aggregate, so one question
+    repeated a million times is not one task."""
+    from railyard.functions.scan import running
+    df = messages.withColumn("__sha", F.sha2(normalize_question(text_col), 256))
+    bucket = F.floor(F.col(turn_col) / F.lit(bucket_size)).cast("long")
+    df = running(df, [session_col, "__sha"], [F.col(turn_col)], bucket, {"occurrence": ("count", F.lit(1))})
+    first = df.groupBy(session_col, "__sha").agg(F.min(turn_col).alias("first_turn"))
+    return (df.filter(F.col("occurrence") > 1).join(first, [session_col, "__sha"])
+            .withColumn("occurrence", F.col("occurrence").cast("long")).drop("__sha"))
 
 
 def ungrounded_rate(guarded: DataFrame, group_col: str) -> DataFrame:
