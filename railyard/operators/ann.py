@@ -130,7 +130,8 @@ def ann_topk(index: IvfIndex, queries: DataFrame, k: int = 5, nprobe: int = 4, *
     cand = (rows.groupBy("cell", "salt").cogroup(probes.groupBy("cell", "salt"))
             .applyInPandas(_score_fn(k, index.id_col, index.vec_col), out_schema))
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("id").asc())
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    # bounded result (queries x k): checkpoint once so reuse does not re-score
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).checkpoint(eager=True)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from railyard.functions.vectors import cosine_distance, cosine_distance_to, unit_rows
+from railyard.session import ensure_checkpoint_dir
 
 # Upper bound of one broadcast query block, in bytes of float64 matrix.
 MAX_QUERY_BLOCK_BYTES = 256 * 1024 * 1024
@@ -154,11 +155,16 @@ def _dim(corpus: DataFrame, vec_col: str) -> int:
 def vector_topk_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, *,
                       id_col: str = "id", vec_col: str = "embedding",
                       query_id: str = "query_id", query_vec: str = "embedding",
-                      exclude_self: bool = False, dim: Optional[int] = None) -> DataFrame:
+                      exclude_self: bool = False, dim: Optional[int] = None,
+                      materialize: bool = True) -> DataFrame:
     """Exact top-k for many queries.
 
     Returns ``query_id, id, distance, rank`` (rank is 1-based, ties on id).
     Queries whose vector is null or all zero get no rows.
+
+    With ``materialize`` (default) the result, at most ``queries x k`` rows,
+    is checkpointed once to the shared checkpoint folder: the gate, payload
+    joins and guards that reuse it then never re-run the corpus scan.
     """
     spark = corpus.sparkSession
     if k <= 0:
@@ -184,8 +190,11 @@ def vector_topk_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, *,
     for p in parts[1:]:
         cands = cands.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("id").asc())
-    return (cands.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
+    out = cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    if materialize:
+        ensure_checkpoint_dir(spark)
+        out = out.checkpoint(eager=True)
+    return out
 
 
 def join_payload(hits: DataFrame, corpus: DataFrame, id_col: str, cols: list, how: str = "left") -> DataFrame:

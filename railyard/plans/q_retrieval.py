@@ -173,7 +173,8 @@ def q_retrieve_knowledge(spark, sf):
                            payload=d, payload_id="doc_id")
     r = r.withColumn("chunks", F.transform("chunks", lambda c: c.withField("chunk_id", c["chunk_id"].cast("string"))))
     r = RG.format_context(r)
-    return flat_guarded(r).join(r.select("query_id", "context"), "query_id")
+    return r.select("query_id", F.array_join(F.col("chunk_ids").cast("array<string>"), ",").alias("chunk_ids"),
+                    "no_context", "total_context_tokens", *[f"dropped_{s}" for s in RETRIEVAL_STAGES], "context")
 
 
 @register("latest_retrieval", sql=f"""
