@@ -62,6 +62,37 @@ def ann_index_build(corpus: DataFrame, ncells: int = 16, id_col: str = "id", vec
     return IvfIndex(path, cents, id_col, vec_col)
 
 
+def ann_index_open_or_build(corpus: DataFrame, snapshot: str, ncells: int = 16, id_col: str = "id",
+                            vec_col: str = "embedding", seed: int = 7) -> IvfIndex:
+    """Open the index built for this corpus snapshot, or build it.
+
+    The index lives under the shared checkpoint folder at a path derived
+    from ``snapshot`` (e.g. the corpus location and modification time) and
+    the build parameters; centroids are stored next to the rows as a small
+    parquet table, so a later job (or another driver) reopens the index
+    without re-running k-means.
+    """
+    import hashlib
+    import os
+
+    from railyard.session import ensure_checkpoint_dir
+    spark = corpus.sparkSession
+    key = hashlib.sha1(f"{snapshot}|{ncells}|{seed}|{id_col}|{vec_col}".encode()).hexdigest()[:16]
+    base = os.path.join(ensure_checkpoint_dir(spark), f"ivf-{key}")
+    rows_path, cent_path = os.path.join(base, "rows"), os.path.join(base, "centroids")
+    try:
+        c = spark.read.parquet(cent_path).orderBy("cell").collect()
+        cents = np.asarray([r["centroid"] for r in c], dtype=np.float64)
+        if len(cents):
+            return IvfIndex(rows_path, cents, id_col, vec_col)
+    except Exception:  # not built yet
+        pass
+    idx = ann_index_build(corpus, ncells, id_col, vec_col, seed=seed, path=rows_path)
+    spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(idx.centroids)],
+                          "cell int, centroid array<double>").write.mode("overwrite").parquet(cent_path)
+    return idx
+
+
 def ann_index_drop(index: IvfIndex) -> None:
     """E5 drop: searches fall back to the flat frame; the folder is left to
     the checkpoint folder's cleanup policy."""

@@ -173,14 +173,20 @@ NCELLS, NPROBE = 16, 4
 
 
 def ivf(spark, sf):
-    from railyard.operators.ann import ann_index_build
-    return ann_index_build(table(spark, sf, "embeddings"), NCELLS, id_col="vec_id")
+    """The IVF index of this embeddings snapshot (opened if already built)."""
+    import os
+    from railyard.operators.ann import ann_index_open_or_build
+    p = os.path.join(sf, "embeddings.parquet")
+    snap = f"{os.path.abspath(p)}@{os.path.getmtime(p)}" if os.path.exists(p) else p
+    return ann_index_open_or_build(table(spark, sf, "embeddings"), snap, NCELLS, id_col="vec_id")
 
 
 @register("ann_index_build")
 def q_ann_index_build(spark, sf):
     """E5: k-means IVF cells (16) written partitioned by cell; rows-only."""
-    return ivf(spark, sf).frame(spark).select("vec_id", "cell")
+    from railyard.operators.ann import ann_index_build
+    return ann_index_build(table(spark, sf, "embeddings"), NCELLS, id_col="vec_id").frame(spark).select(
+        "vec_id", "cell")
 
 
 def _ann(spark, sf, nprobe):
