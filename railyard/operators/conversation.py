@@ -148,25 +148,43 @@ def render_transcript(messages: DataFrame, max_lines: int = 6, session_col: str
 
 
 def condenser_input(messages: DataFrame, max_lines: int = 6, session_col: str = "session_id",
-                    turn_col: str = "turn", msg_col: str = "text", rewritten: str | None = None) -> DataFrame:
+                    turn_col: str = "turn", msg_col: str = "text", rewritten: str | None = None,
+                    bucket_size: int = 1024) -> DataFrame:
     """Per user message, the transcript of the rendered lines before it
-    (bounded window of ``max_lines`` rows); first turns and empty transcripts
-    pass the message unchanged, others get the condenser prompt.  A
-    ``rewritten`` column (model output joined in) replaces the message when
-    non-blank, else the raw message is used (fail open)."""
-    lines = messages.withColumn("__line", transcript_line("role", msg_col)).filter(F.col("__line").isNotNull())
-    w = (Window.partitionBy(session_col).orderBy(turn_col).rowsBetween(-max_lines, -1))
-    t = lines.withColumn("__prev", F.collect_list("__line").over(w)).filter(F.col("role") == "user")
+    (at most ``max_lines``); first turns and empty transcripts pass the
+    message unchanged, others get the condenser prompt.  A ``rewritten``
+    column (model output joined in) replaces the message when non-blank,
+    else the raw message is used (fail open).
+
+    The look-back is split so a long session is not one task: a bounded
+    window inside (session, turn bucket), plus the last ``max_lines`` lines
+    of earlier buckets from a window over one row per bucket."""
+    lines = (messages.withColumn("__line", transcript_line("role", msg_col)).filter(F.col("__line").isNotNull())
+             .withColumn("__b", F.floor(F.col(turn_col) / F.lit(bucket_size)).cast("long")))
+    w_in = Window.partitionBy(session_col, "__b").orderBy(turn_col).rowsBetween(-max_lines, -1)
+    lines = lines.withColumn("__prev_in", F.collect_list("__line").over(w_in))
+    # last max_lines lines of each bucket (row_number trim before collecting)
+    tail = (lines.withColumn("__rn", F.row_number().over(
+        Window.partitionBy(session_col, "__b").orderBy(F.col(turn_col).desc())))
+        .filter(F.col("__rn") <= max_lines)
+        .groupBy(session_col, "__b")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct(turn_col, "__line"))), lambda x: x["__line"])
+             .alias("__tail")))
+    w_b = Window.partitionBy(session_col).orderBy("__b").rowsBetween(-max_lines, -1)
+    carry = tail.select(session_col, "__b", last_n(F.flatten(F.coalesce(
+        F.collect_list("__tail").over(w_b), F.array().cast("array<array<string>>"))), max_lines).alias("__carry"))
+    t = lines.filter(F.col("role") == "user").join(carry, [session_col, "__b"])
+    prev = last_n(F.concat(F.col("__carry"), F.col("__prev_in")), max_lines)
+    t = t.withColumn("__prev", prev)
     transcript = F.array_join("__prev", "\n")
     needs = F.size("__prev") > 0
     prompt = F.concat(F.lit("Conversation transcript:\n"), transcript, F.lit("\n\nLatest customer message:\n"),
                       F.col(msg_col))
-    out = (t.withColumn("needs_rewrite", needs)
-           .withColumn("condenser_prompt", F.when(needs, prompt)))
+    out = t.withColumns({"needs_rewrite": needs, "condenser_prompt": F.when(needs, prompt)})
     q = F.col(msg_col)
     if rewritten:
         q = F.when(needs & ~is_blank(rewritten), ustrip(rewritten)).otherwise(q)
-    return out.withColumn("gate_query", q).drop("__line", "__prev")
+    return out.withColumn("gate_query", q).drop("__line", "__prev", "__prev_in", "__carry", "__b")
 
 
 def force_escalation(needs_human: Column, mentions: Column) -> Column:

@@ -179,3 +179,27 @@ def test_partition_pruning(spark, tmp_path):
     plan = t._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(week_bucket" in plan
     assert sorted(r["id"] for r in t.collect()) == list(range(9, 19))
+
+
+def test_two_level_scans_match_single_bucket(spark):
+    """Tiny buckets force every cross-bucket carry; results must not change."""
+    from conftest import SMOKE
+    from railyard.sources.tables import table
+    c = table(spark, SMOKE, "conversations").withColumnRenamed("conv_id", "session_id")
+    cols = ["session_id", "turn", "needs_rewrite", "condenser_prompt"]
+    a = {tuple(r) for r in J.condenser_input(c, 3).select(*cols).collect()}
+    b = {tuple(r) for r in J.condenser_input(c, 3, bucket_size=2).select(*cols).collect()}
+    assert a == b and len(a) > 0
+    cap_a = {tuple(r) for r in J.session_cap(c, 3).select("session_id", "turn", "prior_messages").collect()}
+    cap_b = {tuple(r) for r in J.session_cap(c, 3, bucket_size=2).select("session_id", "turn", "prior_messages").collect()}
+    assert cap_a == cap_b
+    tok = c.withColumn("tokens", F.length("text"))
+    tr_a = {tuple(r) for r in J.trim_history_tokens(tok, 900).select("session_id", "turn", "running_tokens").collect()}
+    tr_b = {tuple(r) for r in J.trim_history_tokens(tok, 900, bucket_size=2)
+            .select("session_id", "turn", "running_tokens").collect()}
+    assert tr_a == tr_b
+    miss = c.withColumn("miss", F.col("role") != "user")
+    m_a = {tuple(r) for r in J.repeated_miss_escalation(miss, 2).select("session_id", "turn", "miss_run").collect()}
+    m_b = {tuple(r) for r in J.repeated_miss_escalation(miss, 2, bucket=F.floor(F.col("turn") / 2).cast("long"))
+           .select("session_id", "turn", "miss_run").collect()}
+    assert m_a == m_b
