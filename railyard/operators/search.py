@@ -31,6 +31,8 @@ from railyard.session import ensure_checkpoint_dir
 
 # Upper bound of one broadcast query block, in bytes of float64 matrix.
 MAX_QUERY_BLOCK_BYTES = 256 * 1024 * 1024
+# Largest hit frame (query_id, id, distance, rank rows) sent as a broadcast.
+MAX_BROADCAST_HITS = 2_000_000
 
 
 def pairwise_distance(df: DataFrame, a: str, b: str, out: str = "distance") -> DataFrame:
@@ -200,13 +202,16 @@ def vector_topk_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, *,
 def join_payload(hits: DataFrame, corpus: DataFrame, id_col: str, cols: list, how: str = "left") -> DataFrame:
     """Attach corpus columns to top-k hits.
 
-    The hits frame is bounded (queries-per-block x k rows, checked before the
-    search), so it is the broadcast side and the corpus is scanned, never
-    shuffled.  ``how='left'`` keeps hits whose id has no corpus row (payload
-    null): those are found with an anti-join between two small frames.
+    Hits are checkpointed by the search, so counting them is a cheap scan.
+    Up to ``MAX_BROADCAST_HITS`` rows they are the broadcast side and the
+    corpus is scanned, never shuffled; a larger hit frame (many query
+    blocks) joins by shuffle and AQE picks the strategy.  ``how='left'``
+    keeps hits whose id has no corpus row (payload null); those are found
+    with an anti-join between the hits and the matched rows.
     """
     payload = corpus.select(F.col(id_col).alias("id"), *cols)
-    matched = payload.join(F.broadcast(hits), "id", "inner")
+    small = hits.count() <= MAX_BROADCAST_HITS
+    matched = payload.join(F.broadcast(hits) if small else hits, "id", "inner")
     if how == "inner":
         return matched
     missing = hits.join(matched.select("query_id", "id"), ["query_id", "id"], "left_anti")
