@@ -10,6 +10,7 @@ from railyard.functions.text import approx_tokens
 from railyard.operators.retrieval_guards import apply_retrieval_guards, format_context
 from railyard.operators.search import join_payload, vector_topk_batch
 from railyard.policy import DEFAULT_POLICY, Policy
+from railyard.session import ensure_checkpoint_dir
 
 
 def search_candidates(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id",
@@ -37,12 +38,20 @@ def search_candidates(queries: DataFrame, corpus: DataFrame, k: int, *, query_id
 
 
 def retrieve_knowledge(queries: DataFrame, corpus: DataFrame, policy: Policy = DEFAULT_POLICY, *,
-                       overfetch: Optional[int] = None, **kw) -> DataFrame:
+                       overfetch: Optional[int] = None, materialize: bool = True, **kw) -> DataFrame:
     """H8: search with ``limit = max(top_k, 1)`` (the limit is applied before
     the guards, so guards may leave fewer than k even when more matching
-    chunks exist; ``overfetch`` raises the search limit), then H6 and H7."""
+    chunks exist; ``overfetch`` raises the search limit), then H6 and H7.
+
+    The result (one row per query, at most k chunks) is what the model
+    would read; with ``materialize`` it is checkpointed once so every reuse
+    (citation checks, routing, reports) reads it instead of re-planning it.
+    """
     k = overfetch if overfetch is not None else max(policy.top_k, 1)
     cands = search_candidates(queries, corpus, k, **kw)
     qid = kw.get("query_id", "query_id")
-    guarded = apply_retrieval_guards(cands, queries.select(F.col(qid).alias("query_id")), policy)
-    return format_context(guarded)
+    guarded = format_context(apply_retrieval_guards(cands, queries.select(F.col(qid).alias("query_id")), policy))
+    if materialize:
+        ensure_checkpoint_dir(guarded.sparkSession)
+        guarded = guarded.checkpoint(eager=True)
+    return guarded
