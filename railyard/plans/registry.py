@@ -24,6 +24,8 @@ def register(name: str, sql: Optional[str] = None):
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from railyard.session import ship_package
+            ship_package(spark)
             # input times are timestamp_ntz wall clocks; the conversions to
             # instants (watermarks, buckets, UUID times) assume UTC
             if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
