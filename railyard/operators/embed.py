@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from railyard.functions.scan import previous, running
 from railyard.functions.text import normalize_for_embedding

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from railyard.operators.scrub import scrub_pii, scrub_profanity_col
-from railyard.policy import DEFAULT_POLICY, OUTPUT_STAGES, PII_PATTERNS, Policy
+from railyard.policy import DEFAULT_POLICY, OUTPUT_STAGES, Policy
 
 CITATION = "struct<chunk_id:string,source:string,score:double>"
 

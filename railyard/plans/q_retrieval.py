@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from railyard.functions.text import approx_tokens
 from railyard.operators import retrieval_guards as RG
 from railyard.plans import sqlfrag as Q
 from railyard.plans.q_search import emb_queries, sql_topk, topk_all
