@@ -30,6 +30,17 @@ from railyard.policy import DEFAULT_POLICY, Policy
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _pickle_processors_by_value() -> None:
+    """The stateful-processor classes are unpickled by a driver-side Python
+    runner that does not see ``addPyFile`` archives; ship them by value."""
+    import sys
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # older cloudpickle: fall back to by-reference
+        pass
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -239,3 +250,6 @@ def latest_chunks(spark: SparkSession, sink: str, key: str = "id") -> DataFrame:
     df = spark.read.parquet(sink)
     w = Window.partitionBy(key).orderBy(F.col("batch").desc())
     return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "batch")
+
+
+_pickle_processors_by_value()
