@@ -138,8 +138,9 @@ def _score_fn(k: int, id_field: str, vec_field: str):
 
 
 def ann_topk(index: IvfIndex, queries: DataFrame, k: int = 5, nprobe: int = 4, *, query_id: str = "query_id",
-             query_vec: str = "embedding", target_rows: int = 20000) -> DataFrame:
-    """Approximate top-k (exact when ``nprobe >= ncells``)."""
+             query_vec: str = "embedding", target_rows: int = 20000, materialize: bool = True) -> DataFrame:
+    """Approximate top-k (exact when ``nprobe >= ncells``).  With
+    ``materialize`` the bounded result (queries x k) is checkpointed once."""
     spark = queries.sparkSession
     idx = index.frame(spark)
     sizes = {r["cell"]: r["n"] for r in idx.groupBy("cell").agg(F.count("*").alias("n")).collect()}
@@ -161,8 +162,9 @@ def ann_topk(index: IvfIndex, queries: DataFrame, k: int = 5, nprobe: int = 4, *
     cand = (rows.groupBy("cell", "salt").cogroup(probes.groupBy("cell", "salt"))
             .applyInPandas(_score_fn(k, index.id_col, index.vec_col), out_schema))
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("id").asc())
+    out = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     # bounded result (queries x k): checkpoint once so reuse does not re-score
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).checkpoint(eager=True)
+    return out.checkpoint(eager=True) if materialize else out
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
