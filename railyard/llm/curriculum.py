@@ -40,7 +40,8 @@ def source_targets(sizes: DataFrame, schedule=SCHEDULE, share: float = 1.5, most
     level = ((F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
              / F.sum("weight").over(after))
     return (ranked.withColumn("level", level)
-            .withColumn("level", F.min(F.when(F.col("level") <= F.col("fills_at"), F.col("level"))).over(whole))
+            .withColumn("level", F.first(F.when(F.col("level") <= F.col("fills_at"), F.col("level")), True).over(
+                order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
             .select(*_SOURCE, "source_size", "w0", "w1", "weight",
                     F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target")))
 

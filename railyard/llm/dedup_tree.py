@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, written
 
-#: What the merge keeps for a digest: smallest id, row count, and the bounds of
-#: a second hash and of the length, which must agree for equal texts.
-_MERGE = [F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"),
-          F.min("low").alias("low"), F.max("high").alias("high")]
-
 
 def normal_text(text_col: str = "text"):
     """The text as it is compared: null is empty, each run of white space one space."""
@@ -43,7 +38,10 @@ def merge_runs(rows: DataFrame, runs: int, fan_in: int) -> DataFrame:
     while runs > 1:
         runs = -(-runs // fan_in)
         up = levels[-1].withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-        levels.append(written(up.groupBy("run", "digest").agg(*_MERGE), "run"))
+        # the bounds of a second hash and of the length must agree for equal texts
+        levels.append(written(up.groupBy("run", "digest").agg(
+            F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"),
+            F.min("low").alias("low"), F.max("high").alias("high")), "run"))
     top = levels.pop()
     found = top.select("run", "digest", "keep_id", F.when(
         F.col("low") == F.col("high"), F.col("n")).otherwise(F.raise_error(

@@ -114,7 +114,8 @@ levels AS (
          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own_level FROM ranked),
 targets AS (
   SELECT no_source, src, source_size, w0, w1, weight, least(cap, coalesce(
-         min(CASE WHEN own_level <= fills_at THEN own_level END) OVER () * weight, cap)) AS target FROM levels),
+         first_value(CASE WHEN own_level <= fills_at THEN own_level END IGNORE NULLS) OVER (ORDER BY fills_at, no_source,
+         src ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * weight, cap)) AS target FROM levels),
 placed AS (
   SELECT s.*, t.source_size, t.w0, t.w1, t.weight, t.target, (sum(size) OVER (PARTITION BY s.no_source, s.src
          ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS begin_at,
