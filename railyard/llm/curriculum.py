@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, schedule=SCHEDULE, share: float = 1.5, most
 
 def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    source_col: str = "source", schedule=SCHEDULE, share: float = 1.5,
-                   most: float = 2.0, rows_per_bucket: int = 20_000) -> DataFrame:
+                   most: float = 2.0, rows_per_bucket: int = 5_000) -> DataFrame:
     """One row per document, sorted by range of ``position``: doc_id, size,
     source_size, target, taken, position, text_key (a hash of the text).
 
