@@ -6,7 +6,7 @@ column, e.g. the hour of a timestamp).  Running aggregates are computed
 inside each (key, bucket) in parallel; one row per (key, bucket) carries
 its total, and a window over those bucket rows (small: one row per bucket)
 gives each bucket the aggregate of all earlier buckets.  An equi-join on
-(key, bucket) adds that offset back.  Buckets must be non-decreasing in the
+(key, bucket), null-safe, adds that offset back.  Buckets must be non-decreasing in the
 order, so rows tied in the order share a bucket.
 """
 
@@ -17,6 +17,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 _AGG = {"sum": F.sum, "max": F.max, "count": F.count}
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list, how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null, keeping the left keys: rows with
+    a null key or a null order (hence bucket) find their group too."""
+    names = {k: f"__r_{k}" for k in keys}
+    r = right.withColumnsRenamed(names)
+    cond = [left[k].eqNullSafe(r[n]) for k, n in names.items()]
+    return left.join(r, cond, how).drop(*names.values())
+
+
 def running(df: DataFrame, key: list, order: list, bucket: Column, aggs: dict,
             inclusive: bool = True) -> DataFrame:
     """Add running aggregates over ``key`` in ``order``.
@@ -35,7 +44,7 @@ def running(df: DataFrame, key: list, order: list, bucket: Column, aggs: dict,
     w_b = Window.partitionBy(*key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*key, b, *[(F.sum if k in ("sum", "count") else F.max)(f"__tot_{n}").over(w_b)
                                 .alias(f"__off_{n}") for n, (k, _e) in aggs.items()])
-    df = df.join(tot, [*key, b])
+    df = join_same(df, tot, [*key, b])
     outs = {}
     for n, (k, _e) in aggs.items():
         inner_c, off = F.col(f"__in_{n}"), F.col(f"__off_{n}")
@@ -58,7 +67,7 @@ def previous(df: DataFrame, key: list, order: list, bucket: Column, col: str, ou
     tot = df.groupBy(*key, b).agg(F.max(col).alias("__bmax"))
     w_b = Window.partitionBy(*key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*key, b, F.max("__bmax").over(w_b).alias("__prev_b"))
-    return (df.join(tot, [*key, b]).withColumn(out, F.coalesce("__lag", "__prev_b"))
+    return (join_same(df, tot, [*key, b]).withColumn(out, F.coalesce("__lag", "__prev_b"))
             .drop(b, "__lag", "__prev_b"))
 
 

@@ -8,6 +8,8 @@ search uses unit-normalised float64 blocks inside ``mapInPandas`` so that no
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import Column, functions as F
 
@@ -46,11 +48,16 @@ def cosine_distance_to(a, q: list[float]) -> Column:
     return F.when(na > 0, F.lit(1.0) - dot(a, lit) / (na * F.lit(qn)))
 
 
-def unit_rows(vectors) -> tuple[np.ndarray, np.ndarray]:
-    """Stack vectors into a float64 matrix of unit rows; returns (matrix, valid mask)."""
+def unit_rows(vectors, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Stack vectors into a float64 matrix of unit rows; returns (matrix, valid mask).
+
+    Rows of another length than ``dim`` are marked invalid, the others stay;
+    without ``dim`` the most frequent length of the rows counts."""
     if len(vectors) == 0:
         return np.zeros((0, 0)), np.zeros(0, dtype=bool)
-    dim = max((len(v) for v in vectors if v is not None), default=0)
+    if dim is None:
+        sizes = Counter(len(v) for v in vectors if v is not None and len(v))
+        dim = max(sizes, key=lambda n: (sizes[n], -n), default=0)
     m = np.zeros((len(vectors), dim), dtype=np.float64)
     ok = np.zeros(len(vectors), dtype=bool)
     for i, v in enumerate(vectors):

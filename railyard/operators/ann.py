@@ -105,9 +105,7 @@ def _probe_fn(bc, nprobe: int):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            q, ok = unit_rows(list(pdf["__qv"]))
-            if q.shape[1] != cents.shape[1]:
-                continue
+            q, ok = unit_rows(list(pdf["__qv"]), cents.shape[1])
             d = 1.0 - q @ cents.T
             p = min(nprobe, cents.shape[0])
             top = np.argsort(d, axis=1, kind="stable")[:, :p]
@@ -123,10 +121,8 @@ def _score_fn(k: int, id_field: str, vec_field: str):
     def score(key, rows: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
         if len(rows) == 0 or len(probes) == 0:
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        cm, cok = unit_rows(list(rows[vec_field]))
         qm, qok = unit_rows(list(probes["__qv"]))
-        if cm.shape[1] != qm.shape[1]:
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+        cm, cok = unit_rows(list(rows[vec_field]), qm.shape[1])
         d = 1.0 - qm @ cm.T
         d[:, ~cok] = np.inf
         ids = np.broadcast_to(rows[id_field].to_numpy().astype(object), d.shape)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from railyard.functions.scan import join_same
 from railyard.functions.text import approx_tokens
 
 # ---------------------------------------------------------------------------
@@ -121,17 +122,18 @@ def pack_chunks(blocks: DataFrame, limit: int) -> DataFrame:
     ``doc_id, group_pos, chunk_no, headings, raw_text, raw_tokens, n_blocks``.
     """
     content = blocks.filter(F.col("kind").isin("paragraph", "list_item"))
-    pieces = split_oversized(content, limit).withColumn("key", F.col("pos") * 100000 + F.col("sub"))
+    pieces = split_oversized(content, limit).withColumn("key", F.struct("pos", "sub"))
+    key_type = f"array<{dict(pieces.dtypes)['key']}>"
     groups = pieces.groupBy("doc_id", "group_pos").agg(
         F.array_sort(F.collect_list(F.struct("key", "tokens"))).alias("b"))
-    init = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<long>").alias("starts"))
+    init = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast(key_type).alias("starts"))
     fold = F.aggregate("b", init, lambda acc, x: F.when(
         (acc["s"] + x["tokens"] > limit) & (acc["s"] > 0),
         F.struct(x["tokens"].cast("long").alias("s"), F.concat(acc["starts"], F.array(x["key"])).alias("starts"))
     ).otherwise(F.struct((acc["s"] + x["tokens"]).alias("s"),
                          F.when(F.size(acc["starts"]) == 0, F.array(x["key"])).otherwise(acc["starts"]).alias("starts"))))
     starts = groups.select("doc_id", "group_pos", fold["starts"].alias("starts"))
-    assigned = pieces.join(starts, ["doc_id", "group_pos"]).withColumn(
+    assigned = join_same(pieces, starts, ["doc_id", "group_pos"]).withColumn(
         "chunk_no", (F.size(F.filter("starts", lambda s: s <= F.col("key"))) - 1).cast("long"))
     return (assigned.groupBy("doc_id", "group_pos", "chunk_no").agg(
         F.first("headings").alias("headings"),

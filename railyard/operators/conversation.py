@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from railyard.functions.scan import hour_bucket, previous, running
+from railyard.functions.scan import hour_bucket, join_same, previous, running
 from railyard.functions.text import approx_tokens, is_blank, ustrip
 from railyard.policy import DEFAULT_POLICY, WS_CLASS, Policy
 
@@ -72,7 +72,7 @@ def load_history(messages: DataFrame, now: str, policy: Policy = DEFAULT_POLICY,
     # last write per session: map-side partial aggregation, no session window
     alive = (m.groupBy(session_col).agg(F.max(ts_col).alias("last_write"))
              .filter(F.col("last_write") + F.make_interval(secs=F.lit(policy.session_ttl_seconds)) > now_c))
-    return trimmed.join(alive, session_col).groupBy(session_col).agg(
+    return join_same(trimmed, alive, [session_col]).groupBy(session_col).agg(
         F.max("last_write").alias("last_write"),
         F.count("*").alias("n_messages"),
         F.array_sort(F.collect_list(F.struct(turn_col, "role", "text"))).alias("history"))
@@ -173,7 +173,7 @@ def condenser_input(messages: DataFrame, max_lines: int = 6, session_col: str =
     w_b = Window.partitionBy(session_col).orderBy("__b").rowsBetween(-max_lines, -1)
     carry = tail.select(session_col, "__b", last_n(F.flatten(F.coalesce(
         F.collect_list("__tail").over(w_b), F.array().cast("array<array<string>>"))), max_lines).alias("__carry"))
-    t = lines.filter(F.col("role") == "user").join(carry, [session_col, "__b"])
+    t = join_same(lines.filter(F.col("role") == "user"), carry, [session_col, "__b"])
     prev = last_n(F.concat(F.col("__carry"), F.col("__prev_in")), max_lines)
     t = t.withColumn("__prev", prev)
     transcript = F.array_join("__prev", "\n")
@@ -238,25 +238,21 @@ def trim_history_tokens(messages: DataFrame, budget: int, session_col: str = "se
     return df.filter(F.col("running_tokens") <= budget).drop("__tok")
 
 
-# Label per refusal prefix, checked in this order.
-REFUSAL_LABELS = (
-    ("input_guard:jailbreak", "Input guard: prompt-injection pattern found"),
-    ("input_guard:pii", "Input guard: personal data found, nothing sent to the model"),
-    ("input_guard:length", "Input guard: message length outside the limits"),
-    ("input_guard", "Input guard: request refused"),
-    ("relevance_gate", "Relevance gate: outside the knowledge base, refused before any model call"),
-    ("conversation_guard", "Conversation guard: session length limit reached"),
-    ("agent:", "Safe fallback: the answer could not be grounded in retrieved sources"),
-)
+# Refusal prefixes, checked in this order.
+REFUSAL_PREFIXES = ("input_guard:jailbreak", "input_guard:pii", "input_guard:length", "input_guard",
+                    "relevance_gate", "conversation_guard", "agent:")
 
 
 def refusal_label(reason) -> Column:
-    """Readable label for a refusal reason (null when not refused)."""
+    """Label of a refusal reason (null when not refused): the stage of the
+    first known prefix and, where the prefix names one, its category, as
+    ``stage / category``; an unknown reason is its own label."""
     r = _c(reason)
     out = F.when(r.isNull() | (r == ""), F.lit(None).cast("string"))
-    for prefix, label in REFUSAL_LABELS:
-        out = out.when(r.startswith(prefix), F.lit(label))
-    return out.otherwise(F.concat(F.lit("Guardrail: "), r))
+    for prefix in REFUSAL_PREFIXES:
+        stage, _, category = prefix.partition(":")
+        out = out.when(r.startswith(prefix), F.lit(f"{stage} / {category}" if category else stage))
+    return out.otherwise(r)
 
 
 def session_fold(turns: DataFrame, policy: Policy = DEFAULT_POLICY, session_col: str = "session_id",
@@ -311,6 +307,6 @@ def session_fold(turns: DataFrame, policy: Policy = DEFAULT_POLICY, session_col:
             acc["capfrom"].alias("a"), F.lit(2 ** 62).cast("long").alias("b"))))).otherwise(acc["ivs"])
 
     ivs = xs.select(session_col, "__seg", F.aggregate("xs", init, step, finish).alias("__ivs"))
-    out = df.join(ivs, [session_col, "__seg"])
+    out = join_same(df, ivs, [session_col, "__seg"])
     capped = F.col(input_ok) & F.exists("__ivs", lambda iv: (F.col("__rk") >= iv["a"]) & (F.col("__rk") < iv["b"]))
     return out.withColumn("capped", capped).drop("__t", "__prev_t", "__rk", "__brk", "__seg", "__ivs")

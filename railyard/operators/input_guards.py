@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from railyard.functions.text import quoted_list, ustrip, ws_tokens
-from railyard.policy import (DEFAULT_POLICY, ESCALATION_KEYWORDS, JAILBREAK_PATTERNS,
-                             PII_PATTERNS, PROFANITY_STRIP_CHARS, Policy)
+from railyard.policy import DEFAULT_POLICY, ESCALATION_KEYWORDS, PROFANITY_STRIP_CHARS, Policy
 
 
 def _c(x) -> Column:
@@ -52,7 +51,7 @@ def pii_label(msg, policy: Policy = DEFAULT_POLICY) -> Column:
     if not policy.block_pii_in_input:
         return F.lit(None).cast("string")
     m = _c(msg)
-    return F.coalesce(*[F.when(m.rlike(java_pii(p)), F.lit(label)) for label, p in PII_PATTERNS])
+    return F.coalesce(*[F.when(m.rlike(java_pii(p)), F.lit(label)) for label, p in policy.pii_patterns])
 
 
 def jailbreak_index(msg, policy: Policy = DEFAULT_POLICY) -> Column:
@@ -61,12 +60,12 @@ def jailbreak_index(msg, policy: Policy = DEFAULT_POLICY) -> Column:
         return F.lit(None).cast("int")
     m = _c(msg)
     return F.coalesce(*[F.when(m.rlike(java_jailbreak(p)), F.lit(i + 1))
-                        for i, p in enumerate(JAILBREAK_PATTERNS)])
+                        for i, p in enumerate(policy.jailbreak_patterns)])
 
 
-def jailbreak_reason(idx: Column) -> Column:
+def jailbreak_reason(idx: Column, policy: Policy = DEFAULT_POLICY) -> Column:
     return F.element_at(F.array(*[F.lit(f"jailbreak pattern matched: {p!r}")
-                                  for p in JAILBREAK_PATTERNS]), idx)
+                                  for p in policy.jailbreak_patterns]), idx)
 
 
 def profanity_hits(msg, policy: Policy = DEFAULT_POLICY) -> Column:
@@ -101,7 +100,7 @@ def evaluate_input(df: DataFrame, msg: str = "message", policy: Policy = DEFAULT
     decision = (F.when(len_bad, dec(False, "length", len_reason, False))
                 .when(lang_bad, dec(False, "language", lang_reason, False))
                 .when(pii.isNotNull(), dec(False, "pii", F.concat(F.lit("pii pattern matched: "), pii), False))
-                .when(jb.isNotNull(), dec(False, "jailbreak", jailbreak_reason(jb), False))
+                .when(jb.isNotNull(), dec(False, "jailbreak", jailbreak_reason(jb, policy), False))
                 .when(F.size(hits) > 0, dec(True, "profanity",
                                             F.concat(F.lit("profanity tokens flagged: "), quoted_list(hits)), True))
                 .otherwise(dec(True, None, F.lit(None), False)))

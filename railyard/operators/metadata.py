@@ -30,13 +30,25 @@ def expand_metadata(df: DataFrame, keys: list[str], metadata_col: str = "metadat
     return out.drop("__m", metadata_col).withColumn(id_col, F.col(id_col).cast("string"))
 
 
+def metadata_text(value) -> str:
+    """A value as metadata text holds it: by JSON's rules (true, not True)."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    return str(value)
+
+
 def filter_metadata(metadata: Column, flt: Union[dict, list]) -> Column:
     """B2: equality on every key of a dict; a list of dicts matches if any does."""
     dicts = flt if isinstance(flt, list) else [flt]
 
+    def has(k: str, v) -> Column:
+        held = F.element_at(metadata, F.lit(k))
+        if v is None:  # the key is there and its value is null
+            return F.coalesce(F.map_contains_key(metadata, F.lit(k)), F.lit(False)) & held.isNull()
+        return F.coalesce(held == F.lit(metadata_text(v)), F.lit(False))
+
     def one(d: dict) -> Column:
-        return reduce(lambda a, b: a & b, [F.coalesce(F.element_at(metadata, F.lit(k)) == F.lit(str(v)),
-                                                      F.lit(False)) for k, v in d.items()])
+        return reduce(lambda a, b: a & b, [has(k, v) for k, v in d.items()])
 
     return reduce(lambda a, b: a | b, [one(d) for d in dicts])
 
@@ -46,7 +58,7 @@ class Pred:
     """B3 predicate tree: ``Pred('k', '>', 5) & Pred('t', '==', 'x') | ...``.
 
     A missing key never matches (also for ``!=``); numeric values compare
-    the metadata text cast to double."""
+    the metadata text as double; text that is no number never matches."""
     key: str = ""
     op: str = "=="
     value: object = None
@@ -66,9 +78,9 @@ class Pred:
             return self.kids[0].column(metadata) | self.kids[1].column(metadata)
         raw = F.element_at(metadata, F.lit(self.key))
         if isinstance(self.value, (int, float)) and not isinstance(self.value, bool):
-            v, lit = raw.cast("double"), F.lit(float(self.value))
+            v, lit = raw.try_cast("double"), F.lit(float(self.value))
         else:
-            v, lit = raw, F.lit(str(self.value))
+            v, lit = raw, F.lit(metadata_text(self.value))
         ops = {"==": v == lit, "!=": v != lit, ">": v > lit, ">=": v >= lit, "<": v < lit, "<=": v <= lit}
         if self.op not in ops:
             raise ValueError(f"unknown operator {self.op}")

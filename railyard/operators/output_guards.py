@@ -60,8 +60,8 @@ def check_citations_inline(answers: DataFrame, valid: DataFrame, turn_col: str =
 
     kept = F.filter("citations", has)
     back = F.transform(kept, lambda c: F.struct(
-        c["chunk_id"].alias("chunk_id"), F.element_at(match(c), 1)["filename"].alias("source"),
-        F.element_at(match(c), 1)["distance"].alias("score")))
+        c["chunk_id"].alias("chunk_id"), F.element_at(match(c), -1)["filename"].alias("source"),
+        F.element_at(match(c), -1)["distance"].alias("score")))
     return (a.withColumn("dropped_citations", F.transform(F.filter("citations", lambda c: ~has(c)),
                                                           lambda c: c["chunk_id"]).cast("array<string>"))
             .withColumn("citations", back.cast(f"array<{CITATION}>"))

@@ -81,9 +81,9 @@ def stale_citation_report(dropped: DataFrame, retrieved: DataFrame, session_col:
     (session, chunk) plus the range predicate on the turn."""
     r = retrieved.select(F.col(session_col).alias("__s"), F.col("chunk_id").alias("__c"),
                          F.col(turn_col).alias("__t")).distinct()
-    j = dropped.join(r, (dropped[session_col] == r["__s"]) & (dropped["chunk_id"] == r["__c"])
+    j = dropped.join(r, dropped[session_col].eqNullSafe(r["__s"]) & (dropped["chunk_id"] == r["__c"])
                      & (r["__t"] < dropped[turn_col]), "left")
-    g = j.groupBy(session_col, turn_col, "pos", "chunk_id").agg(F.max(F.col("__t")).alias("first_seen_turn"))
+    g = j.groupBy(session_col, turn_col, "pos", "chunk_id").agg(F.min(F.col("__t")).alias("first_seen_turn"))
     return g.withColumn("kind", F.when(F.col("first_seen_turn").isNotNull(), F.lit("stale"))
                         .otherwise(F.lit("invented")))
 
@@ -99,12 +99,12 @@ def repeat_question_report(messages: DataFrame, session_col: str, turn_col: str,
     case and whitespace normalisation).  The occurrence number is a
     two-level count and the first turn a partial aggregate, so one question
     repeated a million times is not one task."""
-    from railyard.functions.scan import running
+    from railyard.functions.scan import join_same, running
     df = messages.withColumn("__sha", F.sha2(normalize_question(text_col), 256))
     bucket = F.floor(F.col(turn_col) / F.lit(bucket_size)).cast("long")
     df = running(df, [session_col, "__sha"], [F.col(turn_col)], bucket, {"occurrence": ("count", F.lit(1))})
     first = df.groupBy(session_col, "__sha").agg(F.min(turn_col).alias("first_turn"))
-    return (df.filter(F.col("occurrence") > 1).join(first, [session_col, "__sha"])
+    return (join_same(df.filter(F.col("occurrence") > 1), first, [session_col, "__sha"])
             .withColumn("occurrence", F.col("occurrence").cast("long")).drop("__sha"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from railyard.operators.input_guards import java_pii
-from railyard.policy import DEFAULT_POLICY, PII_PATTERNS, REDACTED, Policy
+from railyard.policy import DEFAULT_POLICY, REDACTED, Policy
 
 
 def scrub_pii(df: DataFrame, text: str, out: str = "scrubbed", policy: Policy = DEFAULT_POLICY,
@@ -25,16 +25,16 @@ def scrub_pii(df: DataFrame, text: str, out: str = "scrubbed", policy: Policy =
     df = df.withColumn(cur, F.col(text))
     if not policy.scrub_pii_in_output:
         df = df.withColumn(out, F.col(cur))
-        for label, _ in PII_PATTERNS:
+        for label, _ in policy.pii_patterns:
             df = df.withColumn(f"{count_prefix}{label}", F.lit(0).cast("int"))
         return df.withColumn("pii_counts", F.create_map().cast("map<string,int>")).drop(cur)
-    for i, (label, p) in enumerate(PII_PATTERNS):
+    for i, (label, p) in enumerate(policy.pii_patterns):
         pat = java_pii(p)
         nxt = f"__pii{i + 1}"
         df = df.withColumns({f"{count_prefix}{label}": F.coalesce(F.regexp_count(F.col(cur), F.lit(pat)), F.lit(0)),
                              nxt: F.regexp_replace(F.col(cur), pat, REDACTED)}).drop(cur)
         cur = nxt
-    counts = F.map_filter(F.create_map(*[x for label, _ in PII_PATTERNS
+    counts = F.map_filter(F.create_map(*[x for label, _ in policy.pii_patterns
                                          for x in (F.lit(label), F.col(f"{count_prefix}{label}"))]),
                           lambda k, v: v > 0)
     return df.withColumnRenamed(cur, out).withColumn("pii_counts", counts)

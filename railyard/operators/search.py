@@ -64,10 +64,7 @@ def _topk_block_fn(bq, k: int, id_field: str, vec_field: str, exclude_self: bool
             if len(pdf) == 0 or nq == 0:
                 continue
             cids = pdf[id_field].to_numpy()
-            cmat, cok = unit_rows(list(pdf[vec_field]))
-            if cmat.shape[1] != qmat.shape[1]:
-                cok = np.zeros(len(cids), dtype=bool)
-                cmat = np.zeros((len(cids), qmat.shape[1]))
+            cmat, cok = unit_rows(list(pdf[vec_field]), qmat.shape[1])
             d = 1.0 - qmat @ cmat.T
             d[:, ~cok] = np.inf
             if exclude_self:

@@ -351,8 +351,13 @@ def q_escalate_on_refusal(spark, sf):
 @register("refusal_label", sql=f"""
 WITH RECURSIVE {SQL_ROUTE_CTES}
 SELECT conv_id, turn, CASE WHEN refused_reason IS NULL OR refused_reason = '' THEN NULL
-  {' '.join(f"WHEN starts_with(refused_reason, {Q.q(p)}) THEN {Q.q(lbl)}" for p, lbl in J.REFUSAL_LABELS)}
-  ELSE 'Guardrail: ' || refused_reason END AS label FROM rt""")
+  WHEN starts_with(refused_reason, 'input_guard:jailbreak') THEN 'input_guard / jailbreak'
+  WHEN starts_with(refused_reason, 'input_guard:pii') THEN 'input_guard / pii'
+  WHEN starts_with(refused_reason, 'input_guard:length') THEN 'input_guard / length'
+  ELSE CASE WHEN split_part(refused_reason, ':', 1) = 'agent' OR starts_with(refused_reason, 'input_guard')
+                 OR starts_with(refused_reason, 'relevance_gate') OR starts_with(refused_reason, 'conversation_guard')
+            THEN regexp_extract(refused_reason, '^(agent|input_guard|relevance_gate|conversation_guard)')
+            ELSE refused_reason END END AS label FROM rt""")
 def q_refusal_label(spark, sf):
     """Readable label per refused turn."""
     r = routed(spark, sf)

@@ -122,7 +122,7 @@ cp AS (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY p) - 1 AS pos
 dr AS (SELECT cp.* FROM cp WHERE NOT EXISTS (SELECT 1 FROM sv WHERE sv.turn_id = cp.turn_id AND sv.chunk_id = cp.chunk_id)),
 rs AS (SELECT DISTINCT tv.conv_id, tv.turn, sv.chunk_id FROM sv JOIN tv USING (turn_id))
 SELECT dr.conv_id AS session_id, dr.turn, dr.pos, dr.chunk_id,
-       CASE WHEN max(rs.turn) IS NOT NULL THEN 'stale' ELSE 'invented' END AS kind
+       min(rs.turn) AS first_seen_turn, CASE WHEN max(rs.turn) IS NOT NULL THEN 'stale' ELSE 'invented' END AS kind
 FROM dr LEFT JOIN rs ON rs.conv_id = dr.conv_id AND rs.chunk_id = dr.chunk_id AND rs.turn < dr.turn
 GROUP BY 1, 2, 3, 4""")
 def q_stale_citation_report(spark, sf):
@@ -146,7 +146,7 @@ def q_stale_citation_report(spark, sf):
     dropped = cits.join(retrieved.select("turn_id", "chunk_id"), ["turn_id", "chunk_id"], "left_anti")
     ret_s = retrieved.join(t, "turn_id").select("session_id", "turn", "chunk_id")
     out = R.stale_citation_report(dropped, ret_s)
-    return out.select("session_id", "turn", F.col("pos").cast("long"), "chunk_id", "kind")
+    return out.select("session_id", "turn", F.col("pos").cast("long"), "chunk_id", "first_seen_turn", "kind")
 
 
 @register("repeat_question_report", sql=f"""

@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Optional, Sequence
 
+from railyard.operators.metadata import metadata_text
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 ACCEPTED_SUFFIXES = (".pdf", ".docx")
@@ -63,8 +64,10 @@ def upsert_chunks(base: DataFrame, updates: DataFrame, key: str = "id",
     if version_col is not None:
         w = Window.partitionBy(key).orderBy(F.col(version_col).desc_nulls_last())
         updates = updates.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
-    else:
-        updates = updates.dropDuplicates([key])
+    else:  # no version: the row that sorts last wins, so reruns agree
+        order = F.to_json(F.struct(*[F.col(c) for c in updates.columns]))
+        w = Window.partitionBy(key).orderBy(order.desc())
+        updates = updates.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
     kept = base.join(updates.select(key), key, "left_anti")
     return kept.unionByName(updates, allowMissingColumns=True)
 
@@ -84,8 +87,8 @@ def delete_chunks(base: DataFrame, ids: Optional[DataFrame] = None,
     if ids is not None:
         return base.join(ids.select(F.col(ids.columns[0]).alias(key)).distinct(), key, "left_anti")
     match = reduce(lambda a, b: a & b, [
-        (F.col(metadata_col)[k] if metadata_col else F.col(k)).eqNullSafe(F.lit(v))
-        for k, v in metadata_filter.items()])
+        F.element_at(metadata_col, F.lit(k)).eqNullSafe(F.lit(None if v is None else metadata_text(v)))
+        if metadata_col else F.col(k).eqNullSafe(F.lit(v)) for k, v in metadata_filter.items()])
     return base.filter(~F.coalesce(match, F.lit(False)))
 
 

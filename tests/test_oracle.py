@@ -31,7 +31,7 @@ def test_entry_smoke(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     if name not in SQL:
-        assert QUERIES[name](spark, SMOKE).count() >= 0
+        assert QUERIES[name](spark, SMOKE).count() > 0
         return
     ok, msg = compare(spark, name, QUERIES[name], SQL[name], SMOKE, con)
     assert ok, msg
