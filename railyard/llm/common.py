@@ -80,7 +80,7 @@ class ChunkCache:
 
     _SAFE = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 300_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
     def pieces(self, text: str) -> list[str]:

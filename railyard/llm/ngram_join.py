@@ -34,7 +34,7 @@ class _Words(dict):
     """64-bit hash of a word, kept for the words seen."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -90,7 +90,7 @@ class SpmByteBpe:
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         cut = list(map(self._cut, chunks))
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         new = list(set(chain.from_iterable(cut)).difference(known))
         data = [p.encode() for p in new]

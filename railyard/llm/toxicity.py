@@ -48,7 +48,7 @@ class WordCodes(dict):
         return at if at >= 0 or len(word) <= STEM else self.lexicon.get(word[:STEM] + "~", -1)
 
     def __missing__(self, raw: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         bare = raw.strip(_EDGE)
         low = bare.lower()
