@@ -11,37 +11,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from railyard.llm import curriculum, dedup_tree, ngram_join, spm_bpe, toxicity
-from railyard.llm.common import documents, written
-from railyard.session import ship_package
+from railyard.llm.common import documents, prepare, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score 0.7 or more for toxicity."""
-    ship_package(spark)
+    prepare(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one of each group of equal texts."""
-    ship_package(spark)
+    prepare(spark)
     return dedup_tree.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of 5-word shingle similarity 0.8 or more."""
-    ship_package(spark)
+    prepare(spark)
     return ngram_join.drop_near_copies(docs, k=5, num=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draws each source to its target; a document drawn twice gives two rows."""
-    ship_package(spark)
+    prepare(spark)
     return curriculum.drawn(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and digests of the ids and of the decoded text."""
-    ship_package(spark)
+    prepare(spark)
     return spm_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                     public_tokenizers.PATTERN, keep_ids=True)
 

@@ -131,9 +131,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
     kind = dict(formatted.dtypes)["conv_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
             rows = []
-            for r in batch.to_pylist():
+            for r in part.to_pylist():
                 text, turns = r["formatted"], parse(r["formatted"])
                 said = "".join(f"{role}\n{body}\n" for role, body in turns)
                 loss = unescape("".join(text[a:b] for a, b in zip(r["loss_begin"], r["loss_end"], strict=True)))
@@ -143,7 +143,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
+                [part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
                 ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars",
                  "n_tokens", "n_loss_tokens"])
 

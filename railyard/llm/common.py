@@ -16,9 +16,20 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package and keeps Arrow batches small, as rows hold whole texts;
+    a batch size that the session sets itself stays."""
+    ship_package(spark)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given documents table."""
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -208,8 +208,8 @@ def _sorted_tree(items: list[Item]) -> Node:
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Runs of rows that agree in their first ``keys`` columns, from sorted batches."""
     group: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    for part in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
+        for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
             if group and row[:keys] != group[0][:keys]:
                 yield group
                 group = []

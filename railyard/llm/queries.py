@@ -12,7 +12,7 @@ from railyard.session import ship_package
 
 from . import (chat_mask, crosspoly_ann, curriculum, dedup_tree, ngram_join, pii_tagger, secret_scan, spm_bpe,
                token_store, toxicity)
-from .common import documents
+from .common import documents, prepare
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -47,7 +47,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = spark.createDataFrame(ODD_CONVERSATION, "conv_id long, turn long, role string, text string")
     return chat_mask.read_back(chat_mask.format_conversations(given.union(odd), TOKENIZER))
