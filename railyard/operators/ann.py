@@ -1,18 +1,14 @@
 """Approximate nearest neighbours as an IVF index.
 
 * Build (E5): ``pyspark.ml`` ``KMeans`` on unit vectors (Euclidean on unit
-  vectors orders like cosine) gives ``ncells`` centroids; every row is
-  assigned to its nearest cell and the index is written as parquet
-  partitioned by cell under the shared checkpoint folder.  Only the
-  centroids (``ncells x dim``) reach the driver.
-* Search (E6): each query picks its ``nprobe`` nearest centroids
-  (``mapInPandas`` against the broadcast centroids), then queries and
-  rows meet by **co-grouping on (cell, salt)**: no all-pairs product, only
-  the probed cells are read.  A hot cell is split into salt buckets sized
-  from the cell counts (a small aggregate), and probes are replicated to
-  each bucket of a cell, so no group exceeds ``target_rows``.  Each group
-  scores with one matrix product and keeps k rows per query; the final
-  ranking is ``row_number() <= k`` per query.
+  vectors orders like cosine) gives ``ncells`` centroids, about the square root
+  of the row count by default; every row goes to its nearest cell and the index
+  is written as parquet partitioned by cell under the shared checkpoint folder.
+  Only the centroids (``ncells x dim``) reach the driver.
+* Search (E6): each query picks its ``nprobe`` nearest centroids, then queries
+  and rows of a cell meet in blocks (:mod:`railyard.operators.block_topk`).
+  Both sides of a large cell are cut, from counts by cell that are joined on,
+  so a task's memory grows with neither rows nor queries.
 * Probing every cell makes the search exact (equal to E3).
 """
 
@@ -23,14 +19,15 @@ from dataclasses import dataclass
 from typing import Iterator, Optional
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from railyard.functions.vectors import unit_rows
-from railyard.operators.search import _select_k
+from railyard.operators.block_topk import QUERY_BLOCK, ROW_BLOCK, block_count, block_topk, dealt, vectors_by_size
+from railyard.operators.search import vector_topk_batch
 from railyard.session import scratch_path
 
 
@@ -40,16 +37,20 @@ class IvfIndex:
     centroids: np.ndarray
     id_col: str
     vec_col: str
+    #: The indexed rows themselves, searched once the index is dropped.
+    flat: Optional[DataFrame] = None
+    dropped: bool = False
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
 
 
-def ann_index_build(corpus: DataFrame, ncells: int = 16, id_col: str = "id", vec_col: str = "embedding",
+def ann_index_build(corpus: DataFrame, ncells: Optional[int] = None, id_col: str = "id", vec_col: str = "embedding",
                     seed: int = 7, max_iter: int = 20, path: Optional[str] = None) -> IvfIndex:
     """E5: k-means cells, rows written partitioned by ``cell``."""
     spark = corpus.sparkSession
     v = corpus.select(F.col(id_col), F.col(vec_col)).filter(F.size(vec_col) > 0)
+    ncells = ncells or max(2, math.ceil(math.sqrt(v.count())))
     feats = Normalizer(inputCol="__v", outputCol="__u", p=2.0).transform(
         v.withColumn("__v", array_to_vector(F.col(vec_col))))
     model = KMeans(k=ncells, seed=seed, maxIter=max_iter, featuresCol="__u", predictionCol="cell",
@@ -59,10 +60,10 @@ def ann_index_build(corpus: DataFrame, ncells: int = 16, id_col: str = "id", vec
     out = model.transform(feats).select(id_col, vec_col, F.col("cell").cast("int"))
     path = path or scratch_path(spark, "ivf_index")
     out.write.mode("overwrite").partitionBy("cell").parquet(path)
-    return IvfIndex(path, cents, id_col, vec_col)
+    return IvfIndex(path, cents, id_col, vec_col, corpus)
 
 
-def ann_index_open_or_build(corpus: DataFrame, snapshot: str, ncells: int = 16, id_col: str = "id",
+def ann_index_open_or_build(corpus: DataFrame, snapshot: str, ncells: Optional[int] = None, id_col: str = "id",
                             vec_col: str = "embedding", seed: int = 7) -> IvfIndex:
     """Open the index built for this corpus snapshot, or build it.
 
@@ -84,9 +85,10 @@ def ann_index_open_or_build(corpus: DataFrame, snapshot: str, ncells: int = 16,
         c = spark.read.parquet(cent_path).orderBy("cell").collect()
         cents = np.asarray([r["centroid"] for r in c], dtype=np.float64)
         if len(cents):
-            return IvfIndex(rows_path, cents, id_col, vec_col)
-    except Exception:  # not built yet
-        pass
+            return IvfIndex(rows_path, cents, id_col, vec_col, corpus)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # else it is not built yet
+            raise
     idx = ann_index_build(corpus, ncells, id_col, vec_col, seed=seed, path=rows_path)
     spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(idx.centroids)],
                           "cell int, centroid array<double>").write.mode("overwrite").parquet(cent_path)
@@ -94,73 +96,47 @@ def ann_index_open_or_build(corpus: DataFrame, snapshot: str, ncells: int = 16,
 
 
 def ann_index_drop(index: IvfIndex) -> None:
-    """E5 drop: searches fall back to the flat frame; the folder is left to
-    the checkpoint folder's cleanup policy."""
-    index.path = ""
+    """E5 drop: later searches read the flat rows, exactly; the folder is left
+    to the checkpoint folder's cleanup policy."""
+    index.dropped = True
 
 
 def _probe_fn(bc, nprobe: int):
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cents = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            q, ok = unit_rows(list(pdf["__qv"]), cents.shape[1])
-            d = 1.0 - q @ cents.T
-            p = min(nprobe, cents.shape[0])
-            top = np.argsort(d, axis=1, kind="stable")[:, :p]
-            rows = np.repeat(np.arange(len(pdf)), p)
-            keep = ok[rows]
-            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[rows][keep],
-                                "cell": top.reshape(-1)[keep].astype(np.int32),
-                                "__qv": [pdf["__qv"].iloc[i] for i in rows[keep]]})
+        p = min(nprobe, len(cents))
+        for batch in batches:
+            for part in (batch.slice(at, 2_048) for at in range(0, batch.num_rows, 2_048)):
+                at, unit = vectors_by_size(part.column("vec")).get(cents.shape[1], (np.zeros(0, np.int64), None))
+                if not len(at):
+                    continue
+                near = np.argsort(1.0 - unit @ cents.T, axis=1, kind="stable")[:, :p]
+                rows = pa.array(np.repeat(at, p))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(near.reshape(-1).astype(np.int32)), part.column("query_id").take(rows),
+                     part.column("vec").take(rows)], ["cell", "query_id", "vec"])
     return probe
 
 
-def _score_fn(k: int, id_field: str, vec_field: str):
-    def score(key, rows: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) == 0 or len(probes) == 0:
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        qm, qok = unit_rows(list(probes["__qv"]))
-        cm, cok = unit_rows(list(rows[vec_field]), qm.shape[1])
-        d = 1.0 - qm @ cm.T
-        d[:, ~cok] = np.inf
-        ids = np.broadcast_to(rows[id_field].to_numpy().astype(object), d.shape)
-        bd, bi = _select_k(d, np.array(ids), k)
-        qids = probes["query_id"].to_numpy()
-        r, c = np.nonzero(np.isfinite(bd) & np.array([[x is not None for x in row] for row in bi]))
-        return pd.DataFrame({"query_id": qids[r], "id": bi[r, c], "distance": bd[r, c]})
-    return score
-
-
 def ann_topk(index: IvfIndex, queries: DataFrame, k: int = 5, nprobe: int = 4, *, query_id: str = "query_id",
-             query_vec: str = "embedding", target_rows: int = 20000, materialize: bool = True) -> DataFrame:
-    """Approximate top-k (exact when ``nprobe >= ncells``).  With
-    ``materialize`` the bounded result (queries x k) is checkpointed once."""
+             query_vec: str = "embedding", query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
+    """Approximate top-k (exact when ``nprobe`` reaches the number of cells)."""
     spark = queries.sparkSession
-    idx = index.frame(spark)
-    sizes = {r["cell"]: r["n"] for r in idx.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    nsub = {c: max(1, math.ceil(n / target_rows)) for c, n in sizes.items()}
-    nsub_map = F.create_map(*[x for c, s in nsub.items() for x in (F.lit(int(c)), F.lit(int(s)))])
-    rows = idx.withColumn("salt", F.pmod(F.xxhash64(F.col(index.id_col)),
-                                         F.coalesce(F.element_at(nsub_map, F.col("cell")), F.lit(1))).cast("int"))
-    bc = spark.sparkContext.broadcast(index.centroids)
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("__qv"))
-    probe_schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType),
-                                 T.StructField("cell", T.IntegerType()),
-                                 T.StructField("__qv", T.ArrayType(T.FloatType()))])
-    probes = q.mapInPandas(_probe_fn(bc, nprobe), probe_schema)
-    probes = probes.withColumn("salt", F.explode(F.sequence(
-        F.lit(0), F.coalesce(F.element_at(nsub_map, F.col("cell")), F.lit(1)) - 1)))
-    out_schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType),
-                               T.StructField("id", idx.schema[index.id_col].dataType),
-                               T.StructField("distance", T.DoubleType())])
-    cand = (rows.groupBy("cell", "salt").cogroup(probes.groupBy("cell", "salt"))
-            .applyInPandas(_score_fn(k, index.id_col, index.vec_col), out_schema))
-    w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("id").asc())
-    out = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    # bounded result (queries x k): checkpoint once so reuse does not re-score
-    return out.checkpoint(eager=True) if materialize else out
+    if index.dropped:
+        return vector_topk_batch(index.flat, queries, k, id_col=index.id_col, vec_col=index.vec_col,
+                                 query_id=query_id, query_vec=query_vec)
+    rows = index.frame(spark).select("cell", F.col(index.id_col).alias("id"), F.col(index.vec_col).alias("vec"))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec"))
+    if rows.schema["vec"].dataType != asked.schema["vec"].dataType:
+        rows, asked = (d.withColumn("vec", F.col("vec").cast("array<double>")) for d in (rows, asked))
+    probes = asked.mapInArrow(_probe_fn(spark.sparkContext.broadcast(index.centroids), nprobe), T.StructType(
+        [T.StructField("cell", T.IntegerType()), *asked.schema.fields]))
+    n_c = rows.groupBy("cell").agg(block_count(F.count(F.lit(1)), row_block).alias("n_c"))
+    n_q = probes.groupBy("cell").agg(block_count(F.count(F.lit(1)), query_block).alias("n_q"))
+    blocks = F.broadcast(n_c.join(n_q, "cell"))  # a row per cell
+    q_side = dealt(probes.join(blocks, "cell"), ["query_id", "vec"], F.col("n_q"), F.col("n_c"))
+    c_side = dealt(rows.join(blocks, "cell"), ["id", "vec"], F.col("n_c"), F.col("n_q"))
+    return block_topk(q_side, c_side, k, query_block=query_block)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

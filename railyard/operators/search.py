@@ -1,39 +1,22 @@
 """Vector search: cosine distance, single and batch exact top-k, filters.
 
-Design for scale
-----------------
-* The corpus is never shuffled and never collected.  Each corpus partition
-  is streamed through ``mapInPandas`` in Arrow batches and compared with a
-  *bounded* block of query vectors held in a broadcast variable, using one
-  float64 matrix product per batch.  No (query, row) pair becomes a Spark
-  row: each task keeps a running top-k per query and emits at most
-  ``k`` rows per query.
-* The final ranking is ``row_number() <= k`` over ``query_id``; Catalyst
-  plans it with a partial ``WindowGroupLimit`` before the shuffle, so at
-  most ``k * tasks`` rows per query cross the network.
-* The query side is size-checked before it is broadcast.  Larger query sets
-  are split into blocks by a hash of the query id; each block is one
-  distributed pass over the corpus.  For very large query sets use the IVF
-  index in :mod:`railyard.operators.ann`.
-* Ties are broken by the row id, nulls (zero or missing vectors) sort last.
+Batch search cuts queries and corpus into blocks, lets every pair of blocks
+meet by shuffle, and keeps k rows per query and pair (``operators.block_topk``,
+which states the memory of a task). No (query, row) pair becomes a Spark row,
+neither side passes the driver, and nothing is broadcast. The final ranking is
+``row_number() <= k`` over ``query_id``, planned with a partial
+``WindowGroupLimit`` before the shuffle. The arithmetic is that of every query
+against every row; for very large query sets use :mod:`railyard.operators.ann`.
 """
 
 from __future__ import annotations
 
-from typing import Iterator, Optional
+from pyspark.sql import DataFrame, functions as F
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
-
-from railyard.functions.vectors import cosine_distance, cosine_distance_to, unit_rows
+from railyard.functions.vectors import cosine_distance, cosine_distance_to
+from railyard.operators.block_topk import QUERY_BLOCK, ROW_BLOCK, block_count, block_topk, dealt
 from railyard.session import ensure_checkpoint_dir
 
-# Upper bound of one broadcast query block, in bytes of float64 matrix.
-MAX_QUERY_BLOCK_BYTES = 256 * 1024 * 1024
-# Largest hit frame (query_id, id, distance, rank rows) sent as a broadcast.
-MAX_BROADCAST_HITS = 2_000_000
-
 
 def pairwise_distance(df: DataFrame, a: str, b: str, out: str = "distance") -> DataFrame:
     """``1 - cos(a, b)`` for two vector columns of one row."""
@@ -52,167 +35,45 @@ def vector_topk(corpus: DataFrame, q: list[float], k: int = 5, id_col: str = "id
             .limit(k))
 
 
-def _topk_block_fn(bq, k: int, id_field: str, vec_field: str, exclude_self: bool):
-    """Build the per-partition scorer for one broadcast query block."""
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qmat, qok = bq.value
-        nq = len(qids)
-        best_d = np.full((nq, 0), np.inf)
-        best_i = np.empty((nq, 0), dtype=object)
-        for pdf in batches:
-            if len(pdf) == 0 or nq == 0:
-                continue
-            cids = pdf[id_field].to_numpy()
-            cmat, cok = unit_rows(list(pdf[vec_field]), qmat.shape[1])
-            d = 1.0 - qmat @ cmat.T
-            d[:, ~cok] = np.inf
-            if exclude_self:
-                d[np.equal.outer(qids, cids)] = np.inf
-            d = np.concatenate([best_d, d], axis=1)
-            ids = np.concatenate([best_i, np.broadcast_to(cids.astype(object), (nq, len(cids)))], axis=1)
-            best_d, best_i = _select_k(d, ids, k)
-        if best_d.shape[1] == 0:
-            return
-        rows, cols = np.nonzero(np.ones_like(best_d, dtype=bool))
-        dist = best_d[rows, cols]
-        ids = best_i[rows, cols]
-        keep = qok[rows] & np.array([i is not None for i in ids], dtype=bool)
-        rows, ids, dist = rows[keep], ids[keep], dist[keep]
-        yield pd.DataFrame({
-            "query_id": qids[rows],
-            "id": ids,
-            "distance": np.where(np.isinf(dist), np.nan, dist),
-        })
-
-    return score
-
-
-def _select_k(d: np.ndarray, ids: np.ndarray, k: int):
-    """Per row, the k smallest distances with ties broken by id."""
-    nq, n = d.shape
-    if n <= k:
-        order = _lexsort_rows(d, ids)
-        return np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
-    kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-    mask = d <= kth[:, None]
-    rows, cols = np.nonzero(mask)
-    dv = d[rows, cols]
-    iv = ids[rows, cols]
-    # sort candidates by (row, distance, id); ids are compared as strings only
-    # when they are not numeric.
-    try:
-        ikey = iv.astype(np.int64)
-    except (TypeError, ValueError):
-        ikey = pd.factorize(iv, sort=True)[0]
-    order = np.lexsort((ikey, dv, rows))
-    rows, dv, iv = rows[order], dv[order], iv[order]
-    starts = np.searchsorted(rows, np.arange(nq))
-    pos = np.arange(len(rows)) - starts[rows]
-    take = pos < k
-    out_d = np.full((nq, k), np.inf)
-    out_i = np.empty((nq, k), dtype=object)
-    out_d[rows[take], pos[take]] = dv[take]
-    out_i[rows[take], pos[take]] = iv[take]
-    return out_d, out_i
-
-
-def _lexsort_rows(d: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    out = np.empty(d.shape, dtype=np.int64)
-    for r in range(d.shape[0]):
-        try:
-            ik = ids[r].astype(np.int64)
-        except (TypeError, ValueError):
-            ik = pd.factorize(ids[r], sort=True)[0]
-        out[r] = np.lexsort((ik, d[r]))
-    return out
-
-
-def _query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int):
-    """Collect the query side in broadcast-sized blocks (size checked).
-
-    One bounded collect covers the usual case: at most ``per_block + 1``
-    rows are fetched, and if that is all there is, it is the single block.
-    Only a larger query set is counted and split by a hash of the query id
-    into blocks of about ``per_block`` rows, each collected on its own.
-    """
-    per_block = max(1, MAX_QUERY_BLOCK_BYTES // (8 * max(dim, 1)))
-    cols = [F.col(qid).alias("q"), F.col(qvec).alias("v")]
-    first = queries.select(*cols).limit(per_block + 1).toPandas()
-    if len(first) <= per_block:
-        return [first] if len(first) else []
-    nblocks = -(-queries.count() // per_block)
-    b = F.pmod(F.xxhash64(F.col(qid)), F.lit(nblocks))
-    return [queries.filter(b == i).select(*cols).toPandas() for i in range(nblocks)]
-
-
-def _dim(corpus: DataFrame, vec_col: str) -> int:
-    row = corpus.select(F.size(vec_col).alias("d")).filter(F.col("d") > 0).first()
-    return int(row["d"]) if row else 1
-
-
 def vector_topk_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, *,
                       id_col: str = "id", vec_col: str = "embedding",
                       query_id: str = "query_id", query_vec: str = "embedding",
-                      exclude_self: bool = False, dim: Optional[int] = None,
-                      materialize: bool = True) -> DataFrame:
+                      exclude_self: bool = False, materialize: bool = False,
+                      query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """Exact top-k for many queries.
 
     Returns ``query_id, id, distance, rank`` (rank is 1-based, ties on id).
-    Queries whose vector is null or all zero get no rows.
-
-    With ``materialize`` (default) the result, at most ``queries x k`` rows,
-    is checkpointed once to the shared checkpoint folder: the gate, payload
-    joins and guards that reuse it then never re-run the corpus scan.
+    Queries whose vector is null or all zero get no rows; a vector of another
+    length than the query's, null or zero has a null distance and comes last;
+    with ``exclude_self`` the row of the query's own id is no candidate. Rows
+    without an id are no candidates.
+
+    The number of blocks comes from the counts of both sides as scalar
+    subqueries, so nothing runs before the result is asked for. Callers that
+    read the result several times pass ``materialize``: it is then checkpointed
+    once to the shared folder.
     """
-    spark = corpus.sparkSession
     if k <= 0:
         raise ValueError("k must be positive")
-    id_type = corpus.schema[id_col].dataType
-    q_type = queries.schema[query_id].dataType
-    out_schema = T.StructType([
-        T.StructField("query_id", q_type),
-        T.StructField("id", id_type),
-        T.StructField("distance", T.DoubleType()),
-    ])
-    cand = corpus.select(F.col(id_col).alias("__id"), F.col(vec_col).alias("__vec"))
-    parts = []
-    for pdf in _query_blocks(queries, query_id, query_vec, dim or _dim(corpus, vec_col)):
-        qmat, qok = unit_rows(list(pdf["v"]))
-        qids = pdf["q"].to_numpy()
-        bq = spark.sparkContext.broadcast((qids, qmat, qok))
-        parts.append(cand.mapInPandas(
-            _topk_block_fn(bq, k, "__id", "__vec", exclude_self), out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("id").asc())
-    out = cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    rows = corpus.select(F.lit(0).alias("cell"), F.col(id_col).alias("id"),
+                         F.col(vec_col).alias("vec")).filter("id is not null")
+    asked = queries.select(F.lit(0).alias("cell"), F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec"))
+    if rows.schema["vec"].dataType != asked.schema["vec"].dataType:
+        rows, asked = (d.withColumn("vec", F.col("vec").cast("array<double>")) for d in (rows, asked))
+    n_q = block_count(asked.select(F.count(F.lit(1))).scalar(), query_block)
+    n_c = block_count(rows.select(F.count(F.lit(1))).scalar(), row_block)
+    out = block_topk(dealt(asked, ["query_id", "vec"], n_q, n_c), dealt(rows, ["id", "vec"], n_c, n_q),
+                     k, exclude_self, query_block)
     if materialize:
-        ensure_checkpoint_dir(spark)
+        ensure_checkpoint_dir(corpus.sparkSession)
         out = out.checkpoint(eager=True)
     return out
 
 
 def join_payload(hits: DataFrame, corpus: DataFrame, id_col: str, cols: list, how: str = "left") -> DataFrame:
-    """Attach corpus columns to top-k hits.
-
-    Hits are checkpointed by the search, so counting them is a cheap scan.
-    Up to ``MAX_BROADCAST_HITS`` rows they are the broadcast side and the
-    corpus is scanned, never shuffled; a larger hit frame (many query
-    blocks) joins by shuffle and AQE picks the strategy.  ``how='left'``
-    keeps hits whose id has no corpus row (payload null); those are found
-    with an anti-join between the hits and the matched rows.
-    """
-    payload = corpus.select(F.col(id_col).alias("id"), *cols)
-    small = hits.count() <= MAX_BROADCAST_HITS
-    matched = payload.join(F.broadcast(hits) if small else hits, "id", "inner")
-    if how == "inner":
-        return matched
-    missing = hits.join(matched.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    return matched.unionByName(missing, allowMissingColumns=True)
+    """Attach corpus columns to top-k hits by one join on the id; ``how='left'``
+    keeps hits whose id has no corpus row (payload null)."""
+    return hits.join(corpus.select(F.col(id_col).alias("id"), *cols), "id", how)
 
 
 def vector_topk_filtered(corpus: DataFrame, queries: DataFrame, k: int = 5, *,

@@ -236,7 +236,8 @@ def routed_with_retrieval(spark, sf):
     e = table(spark, sf, "embeddings")
     d = table(spark, sf, "documents")
     q = turns.select(F.col("turn_id").alias("query_id"), F.col("embedding").alias("__qv"))
-    hits = vector_topk_batch(e, q, max(RP.top_k, 1), id_col="vec_id", query_id="query_id", query_vec="__qv")
+    hits = vector_topk_batch(e, q, max(RP.top_k, 1), id_col="vec_id", query_id="query_id", query_vec="__qv",
+                             materialize=True)
     guarded = retrieve_knowledge(q, e, RP, id_col="vec_id", payload=d, payload_id="doc_id", content="text",
                                  filename="source", file_type="lang", hits=hits)
     retrieved = surviving_chunks(guarded)

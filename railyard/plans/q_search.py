@@ -169,7 +169,7 @@ def q_gate_threshold_sweep(spark, sf):
     return G.gate_threshold_sweep(g, "on_topic", SWEEP)
 
 
-NCELLS, NPROBE = 16, 4
+NPROBE = 16
 
 
 def ivf(spark, sf):
@@ -178,20 +178,21 @@ def ivf(spark, sf):
     from railyard.operators.ann import ann_index_open_or_build
     p = os.path.join(sf, "embeddings.parquet")
     snap = f"{os.path.abspath(p)}@{os.path.getmtime(p)}" if os.path.exists(p) else p
-    return ann_index_open_or_build(table(spark, sf, "embeddings"), snap, NCELLS, id_col="vec_id")
+    return ann_index_open_or_build(table(spark, sf, "embeddings"), snap, id_col="vec_id")
 
 
 @register("ann_index_build")
 def q_ann_index_build(spark, sf):
-    """E5: k-means IVF cells (16) written partitioned by cell; rows-only."""
+    """E5: k-means IVF cells (square root of the rows) written partitioned by cell; rows-only."""
     from railyard.operators.ann import ann_index_build
-    return ann_index_build(table(spark, sf, "embeddings"), NCELLS, id_col="vec_id").frame(spark).select(
+    return ann_index_build(table(spark, sf, "embeddings"), id_col="vec_id").frame(spark).select(
         "vec_id", "cell")
 
 
 def _ann(spark, sf, nprobe):
     from railyard.operators.ann import ann_topk
-    a = ann_topk(ivf(spark, sf), emb_queries(spark, sf), 6, nprobe)
+    index = ivf(spark, sf)
+    a = ann_topk(index, emb_queries(spark, sf), 6, nprobe or len(index.centroids))
     # drop the self match, then keep 5 (the exact search excludes self)
     a = a.filter(F.col("query_id") != F.col("id")).drop("rank")
     from pyspark.sql import Window
@@ -201,7 +202,7 @@ def _ann(spark, sf, nprobe):
 
 @register("ann_topk")
 def q_ann_topk(spark, sf):
-    """Approximate top-5 probing 4 of 16 cells; rows-only (see ann_recall)."""
+    """Approximate top-5 probing 16 cells; rows-only (see ann_recall)."""
     return _ann(spark, sf, NPROBE)
 
 
@@ -209,12 +210,12 @@ def q_ann_topk(spark, sf):
 SELECT query_id, id, round(distance, 6) AS distance, rank FROM ({sql_topk(5)})""")
 def q_ann_topk_all_cells(spark, sf):
     """E6 probing every cell: must equal the exact search."""
-    return _ann(spark, sf, NCELLS)
+    return _ann(spark, sf, None)
 
 
 @register("ann_recall")
 def q_ann_recall(spark, sf):
-    """recall@5 of the 4-probe IVF search against the exact search."""
+    """recall@5 of the 16-probe IVF search against the exact search."""
     from railyard.operators.ann import recall_at_k
     r = recall_at_k(_ann(spark, sf, NPROBE), topk_all(spark, sf, 5))
     return r.agg(F.count("*").alias("n_queries"), F.avg("recall").alias("mean_recall"),

@@ -38,13 +38,13 @@ def search_candidates(queries: DataFrame, corpus: DataFrame, k: int, *, query_id
 
 
 def retrieve_knowledge(queries: DataFrame, corpus: DataFrame, policy: Policy = DEFAULT_POLICY, *,
-                       overfetch: Optional[int] = None, materialize: bool = True, **kw) -> DataFrame:
+                       overfetch: Optional[int] = None, materialize: bool = False, **kw) -> DataFrame:
     """H8: search with ``limit = max(top_k, 1)`` (the limit is applied before
     the guards, so guards may leave fewer than k even when more matching
     chunks exist; ``overfetch`` raises the search limit), then H6 and H7.
 
     The result (one row per query, at most k chunks) is what the model
-    would read; with ``materialize`` it is checkpointed once so every reuse
+    would read; with ``materialize`` it is checkpointed once, for callers that reuse it
     (citation checks, routing, reports) reads it instead of re-planning it.
     """
     k = overfetch if overfetch is not None else max(policy.top_k, 1)

@@ -56,7 +56,7 @@ def route_turns(turns: DataFrame, answers: DataFrame, corpus: DataFrame, policy:
                                                     F.col("embedding").alias("__qv"))
     if hits is None:
         hits = vector_topk_batch(corpus, ok_q, max(policy.top_k, 1), id_col=id_col, vec_col=vec_col,
-                                 query_id="query_id", query_vec="__qv")
+                                 query_id="query_id", query_vec="__qv", materialize=True)
     gate = gate_from_hits(ok_q, hits, policy).withColumnRenamed("query_id", "turn_id")
     if guarded is None:
         guarded = retrieve_knowledge(ok_q, corpus, policy, id_col=id_col, vec_col=vec_col, payload=payload,

@@ -166,10 +166,11 @@ def test_topk_plans(spark):
     e = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(50)], "id long, embedding array<float>")
     one = S.vector_topk(e, [1.0, 0.0], 3)
     assert "TakeOrderedAndProject" in one._jdf.queryExecution().executedPlan().toString()
-    batch = S.vector_topk_batch(e, e.select(F.col("id").alias("query_id"), "embedding"), 3, materialize=False)
+    batch = S.vector_topk_batch(e, e.select(F.col("id").alias("query_id"), "embedding"), 3)
     plan = batch._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoopJoin" not in plan
-    assert "MapInPandas" in plan and "WindowGroupLimit" in plan
+    assert "MapInArrow" in plan and "WindowGroupLimit" in plan
+    assert "Broadcast" not in plan and "RDDScan" not in plan.split("MapInArrow")[0]
 
 
 def test_ivf_all_cells_is_exact_and_plan_is_cogroup(spark):
@@ -181,15 +182,59 @@ def test_ivf_all_cells_is_exact_and_plan_is_cogroup(spark):
     queries = corpus.select(F.col("id").alias("query_id"), "embedding").filter("query_id < 30")
     idx = ann_index_build(corpus, 6, seed=3)
     exact = {(r["query_id"], r["id"]) for r in S.vector_topk_batch(corpus, queries, 4).collect()}
-    full = ann_topk(idx, queries, 4, nprobe=6, target_rows=50)          # salted: cells split into buckets
+    full = ann_topk(idx, queries, 4, nprobe=6, query_block=7, row_block=20)  # both sides of a cell cut
     assert {(r["query_id"], r["id"]) for r in full.collect()} == exact
     part = ann_topk(idx, queries, 4, nprobe=2)
     assert part.count() == 30 * 4
-    plan = ann_topk(idx, queries, 4, nprobe=2, materialize=False)._jdf.queryExecution().executedPlan().toString()
-    assert "FlatMapCoGroupsInPandas" in plan
+    plan = ann_topk(idx, queries, 4, nprobe=2)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
     assert "Cartesian" not in plan and "NestedLoopJoin" not in plan
 
 
+def test_topk_blocks_agree(spark):
+    """Small blocks, text ids, vectors of other lengths, nulls, repeated rows and ties."""
+    rng = np.random.default_rng(9)
+    rows = [(str(i), [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(150)]
+    rows += [("9", [1.0, 0.0, 0.0, 0.0]), ("10", [1.0, 0.0, 0.0, 0.0]), ("x", [1.0] * 3), ("y", None),
+             ("z", []), ("w", [float("nan")] * 4), (None, [1.0] * 4)]
+    corpus = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame([(str(i), v) for i, v in rows[:60]] + [("3d", [1.0, 2.0, 3.0]), ("none", None)],
+                                    "query_id string, embedding array<double>")
+    for exclude in (False, True):
+        one = S.vector_topk_batch(corpus, queries, 6, exclude_self=exclude)
+        cut = S.vector_topk_batch(corpus, queries, 6, exclude_self=exclude, query_block=7, row_block=11)
+        got = sorted((r["query_id"], r["rank"], r["id"]) for r in one.collect())
+        assert got == sorted((r["query_id"], r["rank"], r["id"]) for r in cut.collect())
+        assert len({q for q, _, _ in got} & {"none"}) == 0 and ("3d", 1, "x") in got
+        want = []
+        for qid, q in [(str(i), v) for i, v in rows[:60]]:
+            if not any(q):
+                continue
+            ds = []
+            for cid, c in rows:
+                if cid is None or exclude and cid == qid:
+                    continue
+                ok = c is not None and len(c) == 4 and np.isfinite(c).all() and any(c)
+                d = 1 - np.dot(q, c) / np.linalg.norm(q) / np.linalg.norm(c) if ok else np.inf
+                ds.append((round(float(d), 9), cid))
+            want += [(qid, n + 1, d) for n, (d, _) in enumerate(sorted(ds)[:6])]
+        dist = sorted((r["query_id"], r["rank"], round(r["distance"], 9) if r["distance"] is not None else np.inf)
+                      for r in cut.collect() if r["query_id"] != "3d")
+        assert [(a, b) for a, b, _ in dist] == [(a, b) for a, b, _ in sorted(want)]
+        assert np.allclose([d for *_, d in dist], [d for *_, d in sorted(want)], atol=1e-7)
+
+
+def test_dropped_index_searches_flat_rows(spark):
+    from railyard.operators.ann import ann_index_build, ann_index_drop, ann_topk
+    corpus = spark.createDataFrame([(i, [float(i % 7 - 3), float(i % 5 - 2), 1.0]) for i in range(60)],
+                                   "id long, embedding array<float>")
+    queries = corpus.select(F.col("id").alias("query_id"), "embedding")
+    idx = ann_index_build(corpus, 4)
+    ann_index_drop(idx)
+    assert sorted(map(tuple, ann_topk(idx, queries, 3).collect())) == sorted(
+        map(tuple, S.vector_topk_batch(corpus, queries, 3).collect()))
+
+
 def test_stream_window_drops_late_rows(spark, tmp_path):
     import datetime as dt
     import os
