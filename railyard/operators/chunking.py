@@ -1,10 +1,10 @@
 """Block extraction and chunking.
 
 * ``extract_blocks`` turns HTML pages into ``(doc_id, pos, kind, level,
-  text)`` rows in one JVM pass: boilerplate regions are cut, block tags are
-  matched with ``regexp_extract_all`` (a block's text runs until the next
-  non-inline tag, so unclosed ``<p>`` and ``<li>`` are handled), inline tags
-  are dropped and the common named entities decoded.
+  text)`` rows in one JVM pass: scripts, styles and comments are cut, block
+  tags are matched with ``regexp_extract_all`` (a block's text runs until the
+  next non-inline tag, so unclosed ``<p>`` and ``<li>`` are handled), inline
+  tags are dropped and the common named entities decoded.
 * Headings are carried by windows over ``pos`` (C1).
 * Packing (C2) is the greedy rule "add the next block while the sum of token
   counts stays within the limit, never across a heading".  It is a
@@ -21,24 +21,24 @@ from railyard.functions.scan import join_same
 from railyard.functions.text import approx_tokens
 
 # ---------------------------------------------------------------------------
-# Tag sets and entity table used by the HTML block extractor.
+# Inline tags and entities of the HTML block extractor.
 # ---------------------------------------------------------------------------
-BLOCK_TAGS = ("title", "h1", "h2", "h3", "h4", "h5", "h6", "p", "li")
-INLINE_TAGS = ("a", "b", "i", "u", "em", "strong", "span", "code", "small", "br", "sup", "sub", "mark")
-DROP_REGIONS = ("script", "style", "nav", "footer", "noscript", "template")
+INLINE_TAGS = ("a", "abbr", "b", "br", "cite", "code", "del", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
+               "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "u", "var", "wbr")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
             ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"),
             ("&hellip;", "…"), ("&amp;", "&"))
 
-_INLINE = "|".join(INLINE_TAGS)
-# A block's text: runs of non-tag characters and inline tags.  Java's regex
-# engine recurses once per repetition of a group, so the Java form consumes
-# whole runs per repetition (possessive, no backtracking); RE2 (the SQL
-# oracle) has no possessive quantifiers and needs none.
-BLOCK_RE = (r"(?i)<(" + "|".join(BLOCK_TAGS) + r")\b[^>]*>((?:[^<]+|</?(?:" + _INLINE + r")\b[^>]*>)*)")
-BLOCK_RE_JAVA = (r"(?i)<(" + "|".join(BLOCK_TAGS) + r")\b[^>]*+>((?:[^<]++|</?(?:" + _INLINE
-                 + r")\b[^>]*+>)*+)")
-DROP_RE = r"(?is)<!--.*?-->|" + "|".join(rf"<{t}\b.*?</{t}\s*>" for t in DROP_REGIONS)
+# A block is any tag that is not inline, with the text up to the next such tag.
+# Java's regex engine recurses once per repetition of a group, so whole runs are
+# consumed per repetition (possessive, no backtracking).
+BLOCK_RE = (r"(?i)<(/?[a-z][a-z0-9]*)\b[^>]*+>((?:[^<]++|</?(?:" + "|".join(INLINE_TAGS) + r")\b[^>]*+>)*+)")
+# Scripts, styles, comments and declarations; no other region is cut.
+DROP_RE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[!?][^>]*>"
+# A "<" that opens no tag is text.
+BARE_RE = r"<([^a-zA-Z/]|$)"
+# What is left of a page whose markup breaks off: an open region or an open tag.
+BROKEN_RE = r"(?i)<(!--|script\b|style\b|/?[a-z][^<>]*(<|$))"
 TAG_RE = r"<[^>]*>"
 SPACE_RE = r"\s+"
 
@@ -51,25 +51,39 @@ def clean_inline(col: Column) -> Column:
     return F.trim(F.regexp_replace(t, SPACE_RE, " "))
 
 
+def page_body(html: Column) -> Column:
+    return F.regexp_replace(html, DROP_RE, " ")
+
+
 def extract_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """A3: ``(doc_id, pos, kind, level, text)``; kind is title, heading,
-    paragraph or list_item; level 1-6 for headings; empty blocks dropped and
-    positions renumbered in reading order."""
-    body = F.regexp_replace(F.col(html_col), DROP_RE, " ")
-    tags = F.regexp_extract_all(body, F.lit(BLOCK_RE_JAVA), 1)
-    texts = F.regexp_extract_all(body, F.lit(BLOCK_RE_JAVA), 2)
+    list_item or, for the text of all other elements and between them,
+    paragraph; level 1-6 for headings; empty blocks dropped and positions
+    renumbered in reading order. Pages without text give no rows."""
+    body = F.concat(F.lit("<p>"), F.regexp_replace(page_body(F.col(html_col)), BARE_RE, "&lt;$1"))
+    tags = F.regexp_extract_all(body, F.lit(BLOCK_RE), 1)
+    texts = F.regexp_extract_all(body, F.lit(BLOCK_RE), 2)
     blocks = F.filter(F.arrays_zip(F.transform(tags, lambda t: F.lower(t)).alias("tag"),
                                    F.transform(texts, lambda x: clean_inline(x)).alias("text")),
                       lambda b: F.length(b["text"]) > 0)
     df = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(blocks).alias("pos", "b"))
     tag = F.col("b.tag")
-    kind = (F.when(tag == "title", "title").when(tag.startswith("h"), "heading")
+    heading = tag.rlike("^h[1-6]$")
+    kind = (F.when(tag == "title", "title").when(heading, "heading")
             .when(tag == "li", "list_item").otherwise("paragraph"))
-    level = F.when(tag.startswith("h"), F.substring(tag, 2, 1).cast("int"))
+    level = F.when(heading, F.substring(tag, 2, 1).cast("int"))
     return df.select("doc_id", F.col("pos").cast("long").alias("pos"), kind.alias("kind"),
                      level.alias("level"), F.col("b.text").alias("text"))
 
 
+def malformed_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """A3: number of pages, of pages without markup text (null or empty) and of
+    pages whose markup breaks off inside a tag, comment, script or style."""
+    empty = F.coalesce(F.length(html_col) == 0, F.lit(True))
+    return pages.agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(empty).alias("n_empty"),
+                     F.count_if(page_body(F.col(html_col)).rlike(BROKEN_RE)).alias("n_malformed"))
+
+
 def line_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents without markup: each non-blank line is a paragraph block."""
     lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.length(F.trim(x)) > 0)

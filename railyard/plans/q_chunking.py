@@ -28,16 +28,20 @@ def _clean_sql(x: str) -> str:
     return f"trim(regexp_replace({t}, {Q.q(C.SPACE_RE)}, ' ', 'g'))"
 
 
+SQL_BODY = r"""regexp_replace(html,
+  '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[!?][^>]*>', ' ', 'g')"""
+SQL_BLOCK_RE = (r"'(?i)<(/?[a-z][a-z0-9]*)\b[^>]*>((?:[^<]+|</?(?:a|abbr|b|br|cite|code|del|em|font|i|img|ins|kbd|label|"
+                r"mark|q|s|samp|small|span|strong|sub|sup|time|u|var|wbr)\b[^>]*>)*)'")
 SQL_PAGE_BLOCKS = f"""
   SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1)::BIGINT AS pos,
-         CASE WHEN tag = 'title' THEN 'title' WHEN starts_with(tag, 'h') THEN 'heading'
+         CASE WHEN tag = 'title' THEN 'title' WHEN tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') THEN 'heading'
               WHEN tag = 'li' THEN 'list_item' ELSE 'paragraph' END AS kind,
-         CASE WHEN starts_with(tag, 'h') THEN CAST(substr(tag, 2, 1) AS INTEGER) END AS level, text
+         CASE WHEN tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') THEN CAST(substr(tag, 2, 1) AS INTEGER) END AS level, text
   FROM (
-    SELECT page_id AS doc_id, lower(unnest(regexp_extract_all(body, {Q.q(C.BLOCK_RE)}, 1))) AS tag,
-           unnest(regexp_extract_all(body, {Q.q(C.BLOCK_RE)}, 2)) AS raw,
-           generate_subscripts(regexp_extract_all(body, {Q.q(C.BLOCK_RE)}, 1), 1) AS idx
-    FROM (SELECT page_id, regexp_replace(html, {Q.q(C.DROP_RE)}, ' ', 'g') AS body FROM pages)
+    SELECT page_id AS doc_id, lower(unnest(regexp_extract_all(body, {SQL_BLOCK_RE}, 1))) AS tag,
+           unnest(regexp_extract_all(body, {SQL_BLOCK_RE}, 2)) AS raw,
+           generate_subscripts(regexp_extract_all(body, {SQL_BLOCK_RE}, 1), 1) AS idx
+    FROM (SELECT page_id, '<p>' || regexp_replace({SQL_BODY}, '<([^a-zA-Z/]|$)', '&lt;\\1', 'g') AS body FROM pages)
   ), LATERAL (SELECT {_clean_sql('raw')} AS text)
   WHERE length(text) > 0"""
 
@@ -79,9 +83,9 @@ def sql_chunks_ctes(headed_sql: str, limit: int) -> str:
   hd AS ({headed_sql}),
   pc0 AS (SELECT *, unnest(generate_series(0, greatest(1, ceil(length(text) / {w}))::BIGINT - 1)) AS sub
           FROM hd WHERE kind IN ('paragraph', 'list_item')),
-  pc AS (SELECT doc_id, group_pos, headings, pos * 100000 + sub AS key, substr(text, sub * {w} + 1, {w}) AS text,
+  pc AS (SELECT doc_id, group_pos, headings, pos, sub, substr(text, sub * {w} + 1, {w}) AS text,
                 greatest(1, floor(length(substr(text, sub * {w} + 1, {w})) / 4))::BIGINT AS tokens FROM pc0),
-  b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, group_pos ORDER BY key) AS rn FROM pc),
+  b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, group_pos ORDER BY pos, sub) AS rn FROM pc),
   walk AS (
     SELECT doc_id, group_pos, rn, 0::BIGINT AS chunk_no, tokens AS s FROM b WHERE rn = 1
     UNION ALL
@@ -91,7 +95,7 @@ def sql_chunks_ctes(headed_sql: str, limit: int) -> str:
     FROM walk w JOIN b ON b.doc_id = w.doc_id AND b.group_pos = w.group_pos AND b.rn = w.rn + 1),
   ch AS (SELECT b.doc_id, b.group_pos, w.chunk_no, first(b.headings) AS headings,
                 sum(b.tokens)::BIGINT AS raw_tokens, count(*) AS n_blocks,
-                string_agg(b.text, chr(10) ORDER BY b.key) AS raw_text
+                string_agg(b.text, chr(10) ORDER BY b.pos, b.sub) AS raw_text
          FROM b JOIN walk w USING (doc_id, group_pos, rn) GROUP BY 1, 2, 3)"""
 
 
@@ -116,6 +120,15 @@ def q_extract_blocks(spark, sf):
     return page_blocks(spark, sf)
 
 
+@register("malformed_pages", sql=f"""
+SELECT count(*) AS n_pages, count(*) FILTER (coalesce(html, '') = '') AS n_empty,
+       count(*) FILTER (regexp_matches({SQL_BODY}, '(?i)<(!--|script\\b|style\\b|/?[a-z][^<>]*(<|$))')) AS n_malformed
+FROM pages""")
+def q_malformed_pages(spark, sf):
+    """A3: pages without text or with markup that breaks off."""
+    return C.malformed_pages(table(spark, sf, "pages"))
+
+
 @register("attach_headings", sql=f"""
 SELECT doc_id, pos, kind, array_to_string(headings, ' > ') AS headings, group_pos
 FROM ({sql_headed(SQL_PAGE_BLOCKS)})""")
@@ -171,7 +184,7 @@ WITH RECURSIVE f AS ({_CLASSIFY_SQL}),
 {sql_chunks_ctes(sql_headed(SQL_LINE_BLOCKS.replace('FROM documents)', 'FROM documents WHERE doc_id IN (SELECT doc_id FROM f WHERE accepted))')), DEFAULT_POLICY.chunk_pack_limit)},
 ix AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY group_pos, chunk_no) - 1)::BIGINT AS chunk_index,
               {_ctx_sql(DEFAULT_POLICY.chunk_max_tokens)} FROM ch)
-SELECT sha256(f.filename || ':' || CAST(ix.chunk_index AS VARCHAR)) AS id, f.filename, f.file_type, ix.chunk_index,
+SELECT sha256(CAST(f.doc_id AS VARCHAR) || ':' || CAST(ix.chunk_index AS VARCHAR)) AS id, f.filename, f.file_type, ix.chunk_index,
        ix.raw_tokens AS raw_token_count, ix.contextualized_tokens AS contextualized_token_count,
        md5(ix.raw_text) AS contents_md5
 FROM ix JOIN f USING (doc_id)""")

@@ -185,12 +185,12 @@ SELECT page_id, CASE WHEN url IS NULL OR url = '' THEN 'unknown source'
   ELSE regexp_replace(regexp_replace(regexp_replace(url, '(?i)\\.pdf\\.pdf$', '.pdf'),
          '^https?www\\.[^.]+\\.[a-z]{2,}[a-z]*?([A-Z])', '\\1'), '^[/_\\-\\s]+', '') END AS display_name
 FROM (SELECT page_id, url FROM pages UNION ALL
-      SELECT page_id + 1000000, regexp_replace(regexp_replace(url, '^(https?)://', '\\1'), '[^A-Za-z0-9.]', '_', 'g') || '.pdf.PDF' FROM pages)""")
+      SELECT -page_id - 1, regexp_replace(regexp_replace(url, '^(https?)://', '\\1'), '[^A-Za-z0-9.]', '_', 'g') || '.pdf.PDF' FROM pages)""")
 def q_pretty_source(spark, sf):
     """Display clean-up of source names (page URLs, raw and as
     URL-derived file names)."""
     p = table(spark, sf, "pages")
-    alt = p.select((F.col("page_id") + 1000000).alias("page_id"), F.concat(
+    alt = p.select((-F.col("page_id") - 1).alias("page_id"), F.concat(
         F.regexp_replace(F.regexp_replace("url", r"^(https?)://", "$1"), r"[^A-Za-z0-9.]", "_"),
         F.lit(".pdf.PDF")).alias("url"))
     both = p.select("page_id", "url").unionByName(alt)

@@ -54,7 +54,7 @@ def _updates(spark, sf):
                                                    F.lit(2).alias("version"))
     upd3 = d.filter(F.col("id") % 14 == 0).select("id", F.concat("contents", F.lit(" [v3]")).alias("contents"),
                                                      F.lit(3).alias("version"))
-    new = d.filter(F.col("id") % 11 == 0).select((F.col("id") + 1000000).alias("id"), "contents",
+    new = d.filter(F.col("id") % 11 == 0).select((-F.col("id") - 1).alias("id"), "contents",
                                                     F.lit(1).alias("version"))
     return base, upd.unionByName(upd3).unionByName(new)
 
@@ -63,7 +63,7 @@ def _updates(spark, sf):
 WITH base AS (SELECT doc_id AS id, text AS contents, 1 AS version FROM documents),
 upd AS (SELECT doc_id AS id, text || ' [v2]' AS contents, 2 AS version FROM documents WHERE doc_id % 7 = 0
         UNION ALL SELECT doc_id, text || ' [v3]', 3 FROM documents WHERE doc_id % 14 = 0
-        UNION ALL SELECT doc_id + 1000000, text, 1 FROM documents WHERE doc_id % 11 = 0),
+        UNION ALL SELECT -doc_id - 1, text, 1 FROM documents WHERE doc_id % 11 = 0),
 win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) rn FROM upd) WHERE rn = 1)
 SELECT id, version, md5(contents) AS contents_md5 FROM base WHERE id NOT IN (SELECT id FROM win)
 UNION ALL SELECT id, version, md5(contents) FROM win""")
@@ -126,7 +126,7 @@ def q_filter_time_range(spark, sf):
 WITH f AS ({_CLASSIFY_SQL}),
 c AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
       WHERE length(trim(line)) > 0 GROUP BY doc_id)
-SELECT substr(sha256(f.filename), 1, 16) AS job_id, f.filename,
+SELECT substr(sha256(CAST(f.doc_id AS VARCHAR)), 1, 16) AS job_id, f.filename,
        CASE WHEN f.accepted THEN 'SUCCESS' ELSE 'FAILURE' END AS status,
        CASE WHEN f.accepted THEN coalesce(c.n, 0) END::BIGINT AS chunks_ingested,
        CASE WHEN NOT f.accepted THEN f.error END AS error
@@ -137,8 +137,7 @@ def q_ingest_ledger(spark, sf):
     d = table(spark, sf, "documents")
     lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(
         F.length(F.trim("line")) > 0)
-    chunks = lines.join(files.select("doc_id", "filename"), "doc_id")
-    return CT.ingest_ledger(files, chunks, "filename")
+    return CT.ingest_ledger(files, lines, "doc_id")
 
 
 @register("list_documents", sql="""

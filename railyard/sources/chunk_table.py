@@ -56,22 +56,24 @@ def scan_documents(spark: SparkSession, path: str, allow: Sequence[str] = ACCEPT
     return classify_files(df, "path", allow)
 
 
-def upsert_chunks(base: DataFrame, updates: DataFrame, key: str = "id",
-                  version_col: Optional[str] = None) -> DataFrame:
-    """A4: insert or replace by key.  Within ``updates`` the latest version
-    per key wins (``version_col`` desc); base rows with an updated key are
-    removed by an anti-join, the winners are appended."""
-    if version_col is not None:
-        w = Window.partitionBy(key).orderBy(F.col(version_col).desc_nulls_last())
-        updates = updates.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
-    else:  # no version: the row that sorts last wins, so reruns agree
-        order = F.to_json(F.struct(*[F.col(c) for c in updates.columns]))
-        w = Window.partitionBy(key).orderBy(order.desc())
-        updates = updates.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+def upsert_chunks(base: DataFrame, updates: DataFrame, key: str, version_col: str) -> DataFrame:
+    """A4: insert or replace by key. Within ``updates`` the latest version per
+    key wins (``version_col`` descending, nulls last; of equal versions the row
+    that sorts last, so reruns agree); base rows with an updated key go."""
+    order = F.to_json(F.struct(*[F.col(c) for c in updates.columns]))
+    w = Window.partitionBy(key).orderBy(F.col(version_col).desc_nulls_last(), order.desc())
+    updates = updates.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
     kept = base.join(updates.select(key), key, "left_anti")
     return kept.unionByName(updates, allowMissingColumns=True)
 
 
+def replace_documents(base: DataFrame, updates: DataFrame, documents: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+    """A4 by document: all base rows of ``documents`` go, ``updates`` come."""
+    gone = documents.select(F.col(doc_col).alias("__gone")).distinct()
+    kept = base.join(gone, base[doc_col].eqNullSafe(gone["__gone"]), "left_anti")
+    return kept.unionByName(updates, allowMissingColumns=True)
+
+
 def delete_chunks(base: DataFrame, ids: Optional[DataFrame] = None,
                   metadata_filter: Optional[dict] = None, delete_all: bool = False,
                   key: str = "id", metadata_col: Optional[str] = "metadata") -> DataFrame:
@@ -116,15 +118,16 @@ def bucket_range_filter(start: str, end: str, ts_col: str = "created_at") -> Col
             & (F.col(ts_col) < F.lit(end).cast("timestamp_ntz")))
 
 
-def ingest_ledger(files: DataFrame, chunks: DataFrame, file_key: str = "filename",
+def ingest_ledger(files: DataFrame, chunks: DataFrame, doc_key: str = "doc_id", filename: str = "filename",
                   job_id: Optional[Column] = None) -> DataFrame:
     """One row per file: SUCCESS with chunk count, or FAILURE with the
-    error text; a rejected file never fails the job."""
-    counts = chunks.groupBy(file_key).agg(F.count("*").alias("chunks_ingested"))
-    j = files.join(counts, file_key, "left")
-    jid = job_id if job_id is not None else F.sha2(F.col(file_key), 256).substr(1, 16)
+    error text; a rejected file never fails the job. Files are told apart by
+    ``doc_key`` (a document id or path), not by name."""
+    counts = chunks.groupBy(doc_key).agg(F.count("*").alias("chunks_ingested"))
+    j = files.join(counts, doc_key, "left")
+    jid = job_id if job_id is not None else F.sha2(F.col(doc_key).cast("string"), 256).substr(1, 16)
     status = F.when(F.col("accepted") & F.col("error").isNull(), F.lit("SUCCESS")).otherwise(F.lit("FAILURE"))
-    return j.select(jid.alias("job_id"), F.col(file_key).alias("filename"), status.alias("status"),
+    return j.select(jid.alias("job_id"), F.col(filename).alias("filename"), status.alias("status"),
                     F.when(status == "SUCCESS", F.coalesce(F.col("chunks_ingested"), F.lit(0)))
                     .cast("long").alias("chunks_ingested"),
                     F.when(status == "FAILURE", F.col("error")).alias("error"))

@@ -244,12 +244,13 @@ def stream_ingest(docs: DataFrame, sink: str, checkpoint: str,
         raise q.exception()
 
 
-def latest_chunks(spark: SparkSession, sink: str, key: str = "id") -> DataFrame:
-    """Read the ingest sink keeping the newest batch's version of each id."""
-    from pyspark.sql import Window
+def latest_chunks(spark: SparkSession, sink: str, doc_col: str = "doc_id") -> DataFrame:
+    """Read the ingest sink keeping, of each document, the chunks of the newest
+    batch that holds it: a file that has shrunk leaves none of its old chunks."""
     df = spark.read.parquet(sink)
-    w = Window.partitionBy(key).orderBy(F.col("batch").desc())
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "batch")
+    newest = df.groupBy(F.col(doc_col).alias("__doc")).agg(F.max("batch").alias("__newest"))
+    cond = df[doc_col].eqNullSafe(newest["__doc"]) & (df["batch"] == newest["__newest"])
+    return df.join(newest, cond, "left_semi").drop("batch")
 
 
 _pickle_processors_by_value()

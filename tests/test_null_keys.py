@@ -59,12 +59,13 @@ def test_typed_metadata(spark):
     assert delete_chunks(df, delete_all=True).count() == 0
 
 
-def test_upsert_without_version_is_deterministic(spark):
+def test_upsert_of_equal_versions_is_deterministic(spark):
     base = spark.createDataFrame([("x", "old")], "id string, v string")
     new = [("x", "b"), ("x", "c"), ("x", "a")]
     for rows in (new, new[::-1]):
-        got = upsert_chunks(base, spark.createDataFrame(rows, "id string, v string")).collect()
-        assert [tuple(r) for r in got] == [("x", "c")]
+        got = upsert_chunks(base, spark.createDataFrame(rows, "id string, v string").withColumn("ver", F.lit(1)),
+                            "id", "ver").collect()
+        assert [tuple(r) for r in got] == [("x", "c", 1)]
 
 
 def test_first_seen_turn_is_the_earliest(spark):

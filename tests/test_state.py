@@ -104,9 +104,48 @@ def test_extract_blocks_malformed_html(spark):
             "<!-- <p>hidden</p> --><h2>Deep</h2><p>last</p><footer>foot</footer></body></html>")
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
     got = [(r["kind"], r["level"], r["text"]) for r in C.extract_blocks(df).orderBy("pos").collect()]
-    assert got == [("title", None, "T & C"), ("heading", 1, "Top"), ("paragraph", None, "First para"),
+    assert got == [("title", None, "T & C"), ("list_item", None, "skip"), ("heading", 1, "Top"), ("paragraph", None, "First para"),
                    ("paragraph", None, "Second <ok>"), ("list_item", None, "item one"),
-                   ("list_item", None, "item two"), ("heading", 2, "Deep"), ("paragraph", None, "last")]
+                   ("list_item", None, "item two"), ("heading", 2, "Deep"), ("paragraph", None, "last"),
+                   ("paragraph", None, "foot")]
+
+
+def test_extract_blocks_keeps_all_text(spark):
+    pages = [(1, "<!DOCTYPE html><div>one<p>two</p>three</div><table><tr><td>four<th>five</table><pre>a < b</pre>"
+                 "<blockquote>six</blockquote><header>seven</header><hr>eight"),
+             (2, "plain text, x <3"), (3, ""), (4, None), (5, "<p>fine</p><div class='x"), (6, "<p>a<!-- open"),
+             (7, "<p>ok</p><script>var a = '<';")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    got = {}
+    for r in C.extract_blocks(df).orderBy("doc_id", "pos").collect():
+        got.setdefault(r["doc_id"], []).append((r["kind"], r["text"]))
+    assert [t for _, t in got[1]] == ["one", "two", "three", "four", "five", "a < b", "six", "seven", "eight"]
+    assert {k for k, _ in got[1]} == {"paragraph"}
+    assert got[2] == [("paragraph", "plain text, x <3")] and 3 not in got and 4 not in got
+    assert tuple(C.malformed_pages(df).first()) == (7, 2, 3)
+
+
+def test_same_names_and_shrinking_files(spark, tmp_path):
+    from railyard.plans.ingest import ingest_documents
+    from railyard.streaming.streams import latest_chunks
+    files = CT.classify_files(spark.createDataFrame([(1, "a/x.pdf"), (2, "b/x.pdf")], "doc_id long, path string"),
+                              "path").withColumn("file_path", F.col("path"))
+
+    def blocks(n):
+        rows = [(1, i, "paragraph", None, f"{i} " + "w" * 150) for i in range(n)] + [(2, 0, "paragraph", None, "other")]
+        return spark.createDataFrame(rows, "doc_id long, pos long, kind string, level int, text string")
+
+    pol = DEFAULT_POLICY.with_(chunk_max_tokens=50, heading_token_reserve=0)
+    old, new = ingest_documents(blocks(9), files, pol), ingest_documents(blocks(4), files, pol)
+    assert old.count() == old.select("id").distinct().count() == 10
+    kept = ingest_documents(blocks(4), files.filter("doc_id = 1"), pol, base=old)
+    assert sorted((r["doc_id"], r["chunk_index"]) for r in kept.collect()) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0)]
+    ledger = CT.ingest_ledger(files, new).collect()
+    assert sorted(r["chunks_ingested"] for r in ledger) == [1, 4] and len({r["job_id"] for r in ledger}) == 2
+    sink = str(tmp_path / "sink")
+    for batch, df in enumerate((old, new.filter("doc_id = 1"))):
+        df.write.parquet(f"{sink}/batch={batch}")
+    assert latest_chunks(spark, sink).groupBy("doc_id").count().orderBy("doc_id").collect() == [(1, 4), (2, 1)]
 
 
 def test_upsert_and_delete(spark):
