@@ -196,7 +196,7 @@ def turn_frame(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.reverse("embedding").alias("embedding"))
     ts = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 86400 +
                              F.col("turn") * (10 + (F.col("conv_id") % 4) * 20) * 60).cast("timestamp_ntz")
-    t = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.col("conv_id").alias("session_id"),
+    t = c.select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), F.col("conv_id").alias("session_id"),
                  "turn", ts.alias("ts"), F.col("text").alias("message"),
                  ((F.col("conv_id") * 8 + F.col("turn")) % F.lit(n)).alias("vec_id"))
     return t.join(e, "vec_id", "left").drop("vec_id")
@@ -211,7 +211,7 @@ def turn_answers(spark, sf, retrieved):
     status = F.coalesce(F.element_at(F.create_map(*[x for kk, v in STATUS.items() for x in (F.lit(kk), F.lit(v))]),
                                      (k % 17).cast("int")), F.lit("ok"))
     base = u.join(a, ["conv_id", "turn"], "left").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.coalesce("answer", F.lit("")).alias("answer"),
+        F.concat_ws(":", "conv_id", "turn").alias("turn_id"), F.coalesce("answer", F.lit("")).alias("answer"),
         (k % 5 != 0).alias("enough_context"), (k % 11 == 0).alias("needs_human"), status.alias("agent_status"),
         (k % 3 == 0).alias("__bad"))
     w = Window.partitionBy("turn_id").orderBy("distance", F.col("chunk_id").cast("long"))
@@ -239,7 +239,7 @@ def routed_with_retrieval(spark, sf):
     hits = vector_topk_batch(e, q, max(RP.top_k, 1), id_col="vec_id", query_id="query_id", query_vec="__qv",
                              materialize=True)
     guarded = retrieve_knowledge(q, e, RP, id_col="vec_id", payload=d, payload_id="doc_id", content="text",
-                                 filename="source", file_type="lang", hits=hits)
+                                 filename="source", file_type="lang", hits=hits, materialize=True)
     retrieved = surviving_chunks(guarded)
     answers = turn_answers(spark, sf, retrieved)
     return route_turns(turns, answers, e, RP, hits=hits, guarded=guarded, id_col="vec_id"), retrieved, guarded
@@ -252,7 +252,7 @@ _M = RP.messages
 _DIST = "list_cosine_distance(tq.qv::DOUBLE[], e.embedding::DOUBLE[])"
 
 SQL_ROUTE_CTES = f"""
-  tv AS (SELECT conv_id, turn, conv_id * 1000 + turn AS turn_id, text AS message,
+  tv AS (SELECT conv_id, turn, concat_ws(':', conv_id, turn) AS turn_id, text AS message,
                 TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(conv_id AS INTEGER))
                   + to_minutes(CAST(turn * (10 + (conv_id % 4) * 20) AS BIGINT)) AS ts,
                 (conv_id * 8 + turn) % (SELECT count(*) FROM embeddings) AS vec_id
@@ -394,7 +394,7 @@ def q_escalation_queue(spark, sf):
 
 def turn_answers_flags(spark, sf):
     c = table(spark, sf, "conversations").filter(F.col("role") == "user")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"),
+    return c.select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"),
                     ((F.col("conv_id") + F.col("turn")) % 11 == 0).alias("ans_human"))
 
 
