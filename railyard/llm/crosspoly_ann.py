@@ -85,6 +85,34 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def meet_group(found: pa.Table, asking: pa.Table, k: int) -> pa.Table:
+    """The k nearest of ``found`` (id, v) for each row of ``asking``, exact, ties to
+    the smaller id; rows of the query's own id are left out."""
+    ids, x = found.column("id").to_numpy(), _matrix(found.column("v"))
+    qid, q = asking.column("id").to_numpy(), _matrix(asking.column("v"))
+    parts = []
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    square = (x * x).sum(1) if len(x) else np.zeros(0)
+    for i in range(0, len(q) if len(ids) else 0, 256):
+        a, names = q[i:i + 256], qid[i:i + 256]
+        rough = square[None] - 2 * (a @ x.T)
+        rough[names[:, None] == ids[None]] = np.inf
+        kth = min(k, len(ids)) - 1
+        # all that may tie with the k-th, by a margin over the rounding of the fast form;
+        # infinite, so all finite ones, where fewer than k are left
+        bound = np.partition(rough, kth, 1)[:, kth] + 1e-9 * (1 + square.max())
+        r, c = np.nonzero((rough <= bound[:, None]) & np.isfinite(rough))
+        d = np.sqrt(((x[c] - a[r]) ** 2).sum(1))
+        o = np.lexsort((ids[c], d, r))
+        r, c, d = r[o], c[o], d[o]
+        nth = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c, d = r[nth < k], c[nth < k], d[nth < k]
+        parts.append(pa.table({"query_id": names[r], "vec_id": ids[c], "score": d}))
+    return pa.concat_tables(parts) if parts else pa.table(
+        {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+
 def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10,
             tables: int = 4, probes: int = 32, hashes: int | None = None, seed: int = 7,
             piece: int = 2048) -> DataFrame:
@@ -146,28 +174,7 @@ def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
              .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots"))
 
     def meet(found: pa.Table, asking: pa.Table) -> pa.Table:
-        ids, x = found.column("id").to_numpy(), _matrix(found.column("v"))
-        qid, q = asking.column("id").to_numpy(), _matrix(asking.column("v"))
-        parts = []
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
-        square = (x * x).sum(1) if len(x) else np.zeros(0)
-        for i in range(0, len(q) if len(ids) else 0, 256):
-            a, names = q[i:i + 256], qid[i:i + 256]
-            rough = square[None] - 2 * (a @ x.T)
-            rough[names[:, None] == ids[None]] = np.inf
-            take = min(len(ids), k + 1)
-            # all that may tie with the k-th, by a margin over the rounding of the fast form
-            bound = np.partition(rough, take - 1, 1)[:, min(k, take) - 1] + 1e-9 * (1 + square.max())
-            r, c = np.nonzero((rough <= bound[:, None]) & np.isfinite(rough))
-            d = np.sqrt(((x[c] - a[r]) ** 2).sum(1))
-            o = np.lexsort((ids[c], d, r))
-            r, c, d = r[o], c[o], d[o]
-            nth = np.arange(len(r)) - np.searchsorted(r, r)
-            r, c, d = r[nth < k], c[nth < k], d[nth < k]
-            parts.append(pa.table({"query_id": names[r], "vec_id": ids[c], "score": d}))
-        return pa.concat_tables(parts) if parts else pa.table(
-            {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        return meet_group(found, asking, k)
 
     keys = ["tab", "bucket", "slot"]
     hits = (left.groupBy(*keys).cogroup(right.groupBy(*keys))

@@ -12,6 +12,7 @@ from array import array
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,24 @@ def test_nearest_edge_vectors(spark):
     assert crosspoly_ann.nearest(_vectors(spark, []), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 9, 10, 11, 12, 40, 200, 300, 2048])
+def test_meet_group_equals_a_full_sort(n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 24))
+    q = np.concatenate([rng.normal(size=(3000, 24)), x[:50]])  # own ids are left out
+    qid = np.concatenate([np.arange(10_000, 13_000), np.arange(min(n, 50))])
+
+    def table(ids, v):
+        return pa.table({"id": pa.array(ids, pa.int64()), "v": pa.array(list(v), pa.list_(pa.float64()))})
+
+    order = rng.permutation(n)
+    got = crosspoly_ann.meet_group(table(order, x[order]), table(qid, q), 10).to_pandas()
+    mine = {i: list(g.vec_id) for i, g in got.groupby("query_id")}
+    for i, v in zip(qid, q):
+        d = np.sqrt(((x - v) ** 2).sum(1))
+        assert mine.get(i, []) == [j for j in np.lexsort((np.arange(n), d)) if j != i][:10]
+
+
 def test_two_hashes_probe_distinct_buckets():
     signs = crosspoly_ann.hadamard_signs(3, 2, 16, 1)
     x = np.random.default_rng(0).normal(size=(20, 13))
