@@ -92,6 +92,20 @@ def test_meet_group_equals_a_full_sort(n):
         assert mine.get(i, []) == [j for j in np.lexsort((np.arange(n), d)) if j != i][:10]
 
 
+def test_recall_does_not_fall_with_size(spark):
+    """140,000 rows of 8 dimensions with one probe: a size that once switched to two hashes."""
+    x = np.random.default_rng(0).normal(size=(140_000, 8))
+    flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, 8, dtype=np.int32), x.reshape(-1))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": flat}))
+    got = crosspoly_ann.nearest(df, F.col("id") < 200, probes=1).toPandas()
+    hit = 0
+    for q in range(200):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id))
+    assert hit / 2_000 >= 0.97
+
+
 def test_two_hashes_probe_distinct_buckets():
     signs = crosspoly_ann.hadamard_signs(3, 2, 16, 1)
     x = np.random.default_rng(0).normal(size=(20, 13))
