@@ -5,6 +5,9 @@
   of the row count by default; every row goes to its nearest cell and the index
   is written as parquet partitioned by cell under the shared checkpoint folder.
   Only the centroids (``ncells x dim``) reach the driver.
+* ``nprobe`` is measured when the index is built and kept with it: the least
+  number of cells that holds ``RECALL`` of the exact ``SAMPLE_K`` nearest rows of
+  ``SAMPLE`` rows taken as queries (in the order of a hash of their ids).
 * Search (E6): each query picks its ``nprobe`` nearest centroids, then queries
   and rows of a cell meet in blocks (:mod:`railyard.operators.block_topk`).
   Both sides of a large cell are cut, from counts by cell that are joined on,
@@ -24,13 +27,18 @@ from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from railyard.operators.block_topk import QUERY_BLOCK, ROW_BLOCK, block_count, block_topk, dealt, vectors_by_size
 from railyard.operators.search import vector_topk_batch
 from railyard.session import scratch_path
 
 
+#: Queries of the sample by which a build chooses nprobe, neighbours of each, and the
+#: share of them to be found: above the floor of 0.9 by more than the sample's error.
+SAMPLE, SAMPLE_K, RECALL = 512, 10, 0.95
+
+
 @dataclass
 class IvfIndex:
     path: str
@@ -40,6 +48,8 @@ class IvfIndex:
     #: The indexed rows themselves, searched once the index is dropped.
     flat: Optional[DataFrame] = None
     dropped: bool = False
+    #: Cells to probe, as measured at build time.
+    nprobe: int = 1
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
@@ -60,7 +70,34 @@ def ann_index_build(corpus: DataFrame, ncells: Optional[int] = None, id_col: str
     out = model.transform(feats).select(id_col, vec_col, F.col("cell").cast("int"))
     path = path or scratch_path(spark, "ivf_index")
     out.write.mode("overwrite").partitionBy("cell").parquet(path)
-    return IvfIndex(path, cents, id_col, vec_col, corpus)
+    index = IvfIndex(path, cents, id_col, vec_col, corpus)
+    index.nprobe = measured_nprobe(index, spark)
+    return index
+
+
+def measured_nprobe(index: IvfIndex, spark: SparkSession, sample: int = SAMPLE, k: int = SAMPLE_K,
+                    recall: float = RECALL) -> int:
+    """The least number of cells that holds ``recall`` of the exact ``k`` nearest
+    rows of ``sample`` rows of the index, all cells if there is nothing to measure."""
+    rows = index.frame(spark).select(F.col(index.id_col).alias("id"), F.col(index.vec_col).alias("vec"), "cell")
+    asked = (rows.filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample)
+             .select(F.col("id").alias("query_id"), "vec"))
+    exact = vector_topk_batch(rows, asked, k, vec_col="vec", query_vec="vec", exclude_self=True).filter(
+        "distance is not null")
+    found = exact.join(rows.select("id", "cell"), "id").select("query_id", "id", "cell")
+    order = asked.mapInArrow(_probe_fn(spark.sparkContext.broadcast(index.centroids), len(index.centroids)),
+                             T.StructType([T.StructField("cell", T.IntegerType()), *asked.schema.fields]),
+                             ).withColumn("nth", F.monotonically_increasing_id())
+    first = F.min("nth").over(Window.partitionBy("query_id"))
+    order = order.select("query_id", "cell", (F.col("nth") - first + 1).alias("nth"))
+    need = (found.join(order, ["query_id", "cell"]).groupBy("query_id", "id").agg(F.min("nth").alias("nth"))
+            .groupBy("nth").count().orderBy("nth").collect())  # at most a row per cell
+    total, seen = sum(r["count"] for r in need), 0
+    for r in need:
+        seen += r["count"]
+        if seen >= recall * total:
+            return int(r["nth"])
+    return len(index.centroids)
 
 
 def ann_index_open_or_build(corpus: DataFrame, snapshot: str, ncells: Optional[int] = None, id_col: str = "id",
@@ -69,8 +106,8 @@ def ann_index_open_or_build(corpus: DataFrame, snapshot: str, ncells: Optional[i
 
     The index lives under the shared checkpoint folder at a path derived
     from ``snapshot`` (e.g. the corpus location and modification time) and
-    the build parameters; centroids are stored next to the rows as a small
-    parquet table, so a later job (or another driver) reopens the index
+    the build parameters; centroids and ``nprobe`` are stored next to the rows as a
+    small parquet table, so a later job (or another driver) reopens the index
     without re-running k-means.
     """
     import hashlib
@@ -78,20 +115,20 @@ def ann_index_open_or_build(corpus: DataFrame, snapshot: str, ncells: Optional[i
 
     from railyard.session import ensure_checkpoint_dir
     spark = corpus.sparkSession
-    key = hashlib.sha1(f"{snapshot}|{ncells}|{seed}|{id_col}|{vec_col}".encode()).hexdigest()[:16]
+    key = hashlib.sha1(f"{snapshot}|{ncells}|{seed}|{id_col}|{vec_col}|{SAMPLE}|{SAMPLE_K}|{RECALL}".encode()).hexdigest()[:16]
     base = os.path.join(ensure_checkpoint_dir(spark), f"ivf-{key}")
     rows_path, cent_path = os.path.join(base, "rows"), os.path.join(base, "centroids")
     try:
         c = spark.read.parquet(cent_path).orderBy("cell").collect()
         cents = np.asarray([r["centroid"] for r in c], dtype=np.float64)
         if len(cents):
-            return IvfIndex(rows_path, cents, id_col, vec_col, corpus)
+            return IvfIndex(rows_path, cents, id_col, vec_col, corpus, nprobe=c[0]["nprobe"])
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":  # else it is not built yet
             raise
     idx = ann_index_build(corpus, ncells, id_col, vec_col, seed=seed, path=rows_path)
-    spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(idx.centroids)],
-                          "cell int, centroid array<double>").write.mode("overwrite").parquet(cent_path)
+    spark.createDataFrame([(i, [float(x) for x in v], idx.nprobe) for i, v in enumerate(idx.centroids)],
+                          "cell int, centroid array<double>, nprobe int").write.mode("overwrite").parquet(cent_path)
     return idx
 
 
@@ -105,8 +142,9 @@ def _probe_fn(bc, nprobe: int):
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cents = bc.value
         p = min(nprobe, len(cents))
+        step = max(1, min(2_048, 65_536 // p))  # rows out of a slice are bounded too
         for batch in batches:
-            for part in (batch.slice(at, 2_048) for at in range(0, batch.num_rows, 2_048)):
+            for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
                 at, unit = vectors_by_size(part.column("vec")).get(cents.shape[1], (np.zeros(0, np.int64), None))
                 if not len(at):
                     continue
@@ -118,9 +156,10 @@ def _probe_fn(bc, nprobe: int):
     return probe
 
 
-def ann_topk(index: IvfIndex, queries: DataFrame, k: int = 5, nprobe: int = 4, *, query_id: str = "query_id",
+def ann_topk(index: IvfIndex, queries: DataFrame, k: int = 5, nprobe: Optional[int] = None, *, query_id: str = "query_id",
              query_vec: str = "embedding", query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
-    """Approximate top-k (exact when ``nprobe`` reaches the number of cells)."""
+    """Approximate top-k, by the index's own ``nprobe`` if none is given (exact
+    when it reaches the number of cells)."""
     spark = queries.sparkSession
     if index.dropped:
         return vector_topk_batch(index.flat, queries, k, id_col=index.id_col, vec_col=index.vec_col,
@@ -129,7 +168,7 @@ def ann_topk(index: IvfIndex, queries: DataFrame, k: int = 5, nprobe: int = 4, *
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec"))
     if rows.schema["vec"].dataType != asked.schema["vec"].dataType:
         rows, asked = (d.withColumn("vec", F.col("vec").cast("array<double>")) for d in (rows, asked))
-    probes = asked.mapInArrow(_probe_fn(spark.sparkContext.broadcast(index.centroids), nprobe), T.StructType(
+    probes = asked.mapInArrow(_probe_fn(spark.sparkContext.broadcast(index.centroids), nprobe or index.nprobe), T.StructType(
         [T.StructField("cell", T.IntegerType()), *asked.schema.fields]))
     n_c = rows.groupBy("cell").agg(block_count(F.count(F.lit(1)), row_block).alias("n_c"))
     n_q = probes.groupBy("cell").agg(block_count(F.count(F.lit(1)), query_block).alias("n_q"))

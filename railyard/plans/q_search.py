@@ -169,9 +169,6 @@ def q_gate_threshold_sweep(spark, sf):
     return G.gate_threshold_sweep(g, "on_topic", SWEEP)
 
 
-NPROBE = 16
-
-
 def ivf(spark, sf):
     """The IVF index of this embeddings snapshot (opened if already built)."""
     import os
@@ -189,10 +186,10 @@ def q_ann_index_build(spark, sf):
         "vec_id", "cell")
 
 
-def _ann(spark, sf, nprobe):
+def _ann(spark, sf, all_cells=False):
     from railyard.operators.ann import ann_topk
     index = ivf(spark, sf)
-    a = ann_topk(index, emb_queries(spark, sf), 6, nprobe or len(index.centroids))
+    a = ann_topk(index, emb_queries(spark, sf), 6, len(index.centroids) if all_cells else None)
     # drop the self match, then keep 5 (the exact search excludes self)
     a = a.filter(F.col("query_id") != F.col("id")).drop("rank")
     from pyspark.sql import Window
@@ -202,21 +199,21 @@ def _ann(spark, sf, nprobe):
 
 @register("ann_topk")
 def q_ann_topk(spark, sf):
-    """Approximate top-5 probing 16 cells; rows-only (see ann_recall)."""
-    return _ann(spark, sf, NPROBE)
+    """Approximate top-5 probing as many cells as the build measured; rows-only (see ann_recall)."""
+    return _ann(spark, sf)
 
 
 @register("ann_topk_all_cells", sql=f"""
 SELECT query_id, id, round(distance, 6) AS distance, rank FROM ({sql_topk(5)})""")
 def q_ann_topk_all_cells(spark, sf):
     """E6 probing every cell: must equal the exact search."""
-    return _ann(spark, sf, None)
+    return _ann(spark, sf, all_cells=True)
 
 
 @register("ann_recall")
 def q_ann_recall(spark, sf):
-    """recall@5 of the 16-probe IVF search against the exact search."""
+    """recall@5 of the IVF search against the exact search."""
     from railyard.operators.ann import recall_at_k
-    r = recall_at_k(_ann(spark, sf, NPROBE), topk_all(spark, sf, 5))
+    r = recall_at_k(_ann(spark, sf), topk_all(spark, sf, 5))
     return r.agg(F.count("*").alias("n_queries"), F.avg("recall").alias("mean_recall"),
                  F.min("recall").alias("min_recall"))

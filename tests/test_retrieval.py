@@ -191,6 +191,21 @@ def test_ivf_all_cells_is_exact_and_plan_is_cogroup(spark):
     assert "Cartesian" not in plan and "NestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ann_recall_holds_as_the_table_grows(spark, sf):
+    from railyard.plans.registry import queries
+    assert queries()["ann_recall"](spark, f"/root/testdata/{sf}").first()["mean_recall"] >= 0.9
+
+
+def test_nprobe_is_kept_with_the_index(spark):
+    from railyard.operators.ann import ann_index_open_or_build
+    rng = np.random.default_rng(6)
+    corpus = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 8)))],
+                                   "id long, embedding array<float>")
+    built, opened = (ann_index_open_or_build(corpus, "nprobe-test") for _ in range(2))
+    assert 1 <= opened.nprobe == built.nprobe <= len(opened.centroids)
+
+
 def test_topk_blocks_agree(spark):
     """Small blocks, text ids, vectors of other lengths, nulls, repeated rows and ties."""
     rng = np.random.default_rng(9)
