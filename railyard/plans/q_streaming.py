@@ -26,23 +26,49 @@ from railyard.streaming import streams as K
 SENTINEL_TS = "2100-01-01 00:00:00"
 
 
-def staged(spark, df, name, files=1, sentinel=None, order_col=None):
-    """Write the input for a file stream.  With ``order_col`` the rows are
-    written as ``files`` consecutive range slices, one write each, so file
-    modification order (the file source's order) follows ``order_col``."""
+#: Rows of a file that is written in time order, and of a micro-batch over such files.
+FILE_ROWS, BATCH_ROWS = 1_000_000, 8_000_000
+
+
+def staged(spark, df, name, files):
+    """Write the input for a file stream, in no order."""
+    base = scratch_path(spark, name)
+    path = os.path.join(base, "in")
+    df.repartition(files).write.mode("overwrite").parquet(path)
+    return base, path, df.schema
+
+
+def staged_in_order(spark, df, name, sentinel=None, ts_col="ts", id_col="event_id"):
+    """Write the input for a file stream as files that follow event time.
+
+    One write by ranges of (time, id) makes as many files as the rows need, at
+    least 4; a row without an id lies at its time. The file source goes by
+    modification time, so the files get theirs in the order of their ranges.
+    Also returns the files of a micro-batch: half of them, or BATCH_ROWS.
+    """
     base = scratch_path(spark, name)
     path = os.path.join(base, "in")
-    if order_col is None:
-        df.repartition(files).write.mode("overwrite").parquet(path)
-    else:
-        lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
-        step = (hi - lo) // files + 1
-        for i in range(files):
-            part = df.filter((F.col(order_col) >= lo + i * step) & (F.col(order_col) < lo + (i + 1) * step))
-            part.coalesce(1).write.mode("append").parquet(path)
+    rows = df.count()
+    df.repartitionByRange(max(4, -(-rows // FILE_ROWS)), ts_col, id_col).write.mode("overwrite").parquet(path)
+    files = times_by_part(spark, path)
     if sentinel is not None:
         sentinel.write.mode("append").parquet(path)
-    return base, path, df.schema
+    return base, path, df.schema, -(-files // max(2, -(-rows // BATCH_ROWS)))
+
+
+def times_by_part(spark, path):
+    """Set the files' modification times to follow their part numbers, a second
+    apart and in the past; the number of files."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")]
+    found.sort(key=lambda f: int(f.getPath().getName().split("-")[1]))
+    start = min(f.getModificationTime() for f in found) // 1000 - len(found)
+    for i, f in enumerate(found):
+        fs.setTimes(f.getPath(), (start + i) * 1000, -1)
+        if fs.getFileStatus(f.getPath()).getModificationTime() != (start + i) * 1000:
+            raise RuntimeError(f"{path}: this store keeps no modification times, so files cannot be ordered")
+    return len(found)
 
 
 def drain(spark, stream, base, mode="append"):
@@ -52,13 +78,13 @@ def drain(spark, stream, base, mode="append"):
 
 
 def events_input(spark, sf, name, sentinel=False, cols=("event_id", "ts", "user_id", "event_type", "props")):
-    """Events as 4 time-ordered files (``event_id`` follows time)."""
+    """Events as files in the order of time and ``event_id``."""
     ev = table(spark, sf, "events").select(*cols)
     s = None
     if sentinel:
         s = ev.limit(1).select(*[F.lit(-1).cast(ev.schema[c].dataType).alias(c) if c != "ts"
                                  else F.lit(SENTINEL_TS).cast("timestamp_ntz").alias("ts") for c in cols])
-    return staged(spark, ev, name, 4, s, order_col="event_id")
+    return staged_in_order(spark, ev, name, s)
 
 
 @register("stream_guard_turns")
@@ -83,8 +109,8 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
 FROM e GROUP BY user_id, ep""")
 def q_stream_sessions(spark, sf):
     """K2: 1 h idle-timeout sessions from the event stream (equals J3 epochs)."""
-    base, path, schema = events_input(spark, sf, "k2", sentinel=True, cols=("event_id", "ts", "user_id"))
-    s = K.stream_sessions(K.file_stream(spark, path, schema, 2), 3600)
+    base, path, schema, per = events_input(spark, sf, "k2", sentinel=True, cols=("event_id", "ts", "user_id"))
+    s = K.stream_sessions(K.file_stream(spark, path, schema, per), 3600)
     out = drain(spark, s, base).filter(F.col("user_id") >= 0)
     return out.select("user_id", ts_text(F.col("session.start").cast("timestamp_ntz")).alias("session_start"),
                       ts_text(F.col("session.end").cast("timestamp_ntz")).alias("session_end"), "n_events")
@@ -109,9 +135,9 @@ SELECT user_id, event_id, capped FROM walk""")
 def q_stream_history_state(spark, sf):
     """K3: keyed state (last write, stored count) with TTL 24 h refreshed on
     write and a cap of 5 messages; equals the batch session fold."""
-    base, path, schema = events_input(spark, sf, "k3", cols=("event_id", "ts", "user_id"))
+    base, path, schema, per = events_input(spark, sf, "k3", cols=("event_id", "ts", "user_id"))
     K.use_rocksdb(spark)
-    s = K.stream_history_state(K.file_stream(spark, path, schema, 2), _K3P, "user_id", "event_id", "ts")
+    s = K.stream_history_state(K.file_stream(spark, path, schema, per), _K3P, "user_id", "event_id", "ts")
     out = drain(spark, s, base)
     return out.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), F.col("flag").alias("capped"))
 
@@ -122,8 +148,8 @@ SELECT user_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S.%f') AS wi
 FROM events GROUP BY user_id, date_trunc('minute', ts)""")
 def q_stream_rate_limit(spark, sf):
     """K4: messages per user and minute, limit 1 (tumbling windows)."""
-    base, path, schema = events_input(spark, sf, "k4", sentinel=True, cols=("event_id", "ts", "user_id"))
-    s = K.stream_rate_limit(K.file_stream(spark, path, schema, 2), 1)
+    base, path, schema, per = events_input(spark, sf, "k4", sentinel=True, cols=("event_id", "ts", "user_id"))
+    s = K.stream_rate_limit(K.file_stream(spark, path, schema, per), 1)
     out = drain(spark, s, base).filter(F.col("user_id") >= 0)
     return out.select("user_id", ts_text(F.col("w.start").cast("timestamp_ntz")).alias("window_start"), "n",
                       "over_limit")
@@ -159,9 +185,9 @@ def doc_files_from(d):
 def q_stream_embedding_dedup(spark, sf):
     """K6: embed a key at most once per 24 h (exact keyed state); equals
     D6 (oracle: embedding_cache_replay)."""
-    base, path, schema = events_input(spark, sf, "k6", cols=("event_id", "ts", "user_id"))
+    base, path, schema, per = events_input(spark, sf, "k6", cols=("event_id", "ts", "user_id"))
     K.use_rocksdb(spark)
-    s = K.stream_embedding_dedup(K.file_stream(spark, path, schema, 2), 86400, "user_id", "event_id", "ts")
+    s = K.stream_embedding_dedup(K.file_stream(spark, path, schema, per), 86400, "user_id", "event_id", "ts")
     out = drain(spark, s, base)
     return out.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"),
                       ts_text(F.timestamp_micros("t").cast("timestamp_ntz")).alias("ts"), F.col("flag").alias("cache_hit"))
@@ -172,8 +198,8 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S.%f') AS window_start,
 FROM events GROUP BY 1, 2""")
 def q_stream_outcome_windows(spark, sf):
     """K7: outcomes (event types) per day window with a watermark."""
-    base, path, schema = events_input(spark, sf, "k7", sentinel=True, cols=("event_id", "ts", "user_id", "event_type"))
-    s = K.stream_outcome_windows(K.file_stream(spark, path, schema, 2), "event_type")
+    base, path, schema, per = events_input(spark, sf, "k7", sentinel=True, cols=("event_id", "ts", "user_id", "event_type"))
+    s = K.stream_outcome_windows(K.file_stream(spark, path, schema, per), "event_type")
     out = drain(spark, s, base).filter(F.col("event_type") != "-1")
     return out.select(ts_text(F.col("w.start").cast("timestamp_ntz")).alias("window_start"), "event_type", "n")
 
@@ -183,10 +209,10 @@ def q_stream_misses(spark, sf):
     """K8: consecutive error events per user with keyed state; equals J10
     (oracle: repeated_miss_escalation)."""
     ev = table(spark, sf, "events").select("event_id", "ts", "user_id", (F.col("event_type") == "error").alias("miss"))
-    base, path, schema = staged(spark, ev, "k8", 4, order_col="event_id")
+    base, path, schema, per = staged_in_order(spark, ev, "k8")
     K.use_rocksdb(spark)
-    s = K.stream_misses(K.file_stream(spark, path, schema, 2), 2, "user_id", "event_id", "ts", "miss")
-    out = drain(spark, s, base).join(ev.select(F.col("event_id").alias("id"), "miss"), "id")
+    s = K.stream_misses(K.file_stream(spark, path, schema, per), 2, "user_id", "event_id", "ts", "miss")
+    out = drain(spark, s, base)
     return out.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "miss",
                       F.col("run").alias("miss_run"), F.col("flag").alias("force_escalation"))
 

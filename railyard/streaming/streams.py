@@ -193,7 +193,7 @@ class MissRunProcessor(_SortedProcessor):
             run = run + 1 if m else 0
             runs.append(run)
         out = pd.DataFrame({"key": key[0], "id": pdf["id"].to_numpy(), "t": pdf["t"].to_numpy(),
-                            "flag": [r >= self.n for r in runs], "run": runs})
+                            "flag": [r >= self.n for r in runs], "run": runs, "miss": pdf["miss"].to_numpy()})
         return out, (int(run), 0)
 
 
@@ -225,7 +225,7 @@ def stream_embedding_dedup(requests: DataFrame, ttl_seconds: int, key_col: str,
 def stream_misses(turns: DataFrame, n: int, key_col: str, id_col: str, ts_col: str, miss_col: str) -> DataFrame:
     """K8: forced escalation after n consecutive misses, stream twin of J10."""
     k = _keyed(turns, key_col, id_col, ts_col, (F.col(miss_col).alias("miss"),))
-    return k.groupBy("key").transformWithStateInPandas(MissRunProcessor(n), _OUT + ", run long", "Append", "None")
+    return k.groupBy("key").transformWithStateInPandas(MissRunProcessor(n), _OUT + ", run long, miss boolean", "Append", "None")
 
 
 # --------------------------------------------------------------------- K5

@@ -242,3 +242,33 @@ def test_two_level_scans_match_single_bucket(spark):
     m_b = {tuple(r) for r in J.repeated_miss_escalation(miss, 2, bucket=F.floor(F.col("turn") / 2).cast("long"))
            .select("session_id", "turn", "miss_run").collect()}
     assert m_a == m_b
+
+
+def test_streams_keep_events_without_an_id(spark, tmp_path):
+    """Null ids spread over time and one id far out: no event is lost or late."""
+    from railyard.plans import catalog
+    Q = catalog.q_streaming
+    rows = [(None if i % 7 == 3 else 10 ** 9 if i == 50 else i, T0 + dt.timedelta(hours=i), i % 5,
+             "error" if i % 3 else "view", "{}") for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, props string"
+                          ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    sf = str(tmp_path)
+    want = {}
+    for _, ts, _, kind, _ in rows:
+        want[str(ts.date()), kind] = want.get((str(ts.date()), kind), 0) + 1
+    got = Q.q_stream_outcome_windows(spark, sf).collect()
+    assert {(r["window_start"][:10], r["event_type"]): r["n"] for r in got} == want
+    runs = {}
+    for eid, _, user, kind, _ in rows:
+        runs.setdefault(user, []).append((eid, kind == "error"))
+    missed = []
+    for user, seq in runs.items():
+        run = 0
+        for eid, miss in seq:
+            run = run + 1 if miss else 0
+            missed.append((user, eid, miss, run, run >= 2))
+    got = [(r["user_id"], r["event_id"], r["miss"], r["miss_run"], r["force_escalation"])
+           for r in Q.q_stream_misses(spark, sf).collect()]
+    assert sorted(got, key=str) == sorted(missed, key=str)
+    files = spark.read.parquet(Q.events_input(spark, sf, "order")[1]).groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 4 and max(r["count"] for r in files) < 200
