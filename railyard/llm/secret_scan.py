@@ -25,7 +25,7 @@ ALLOWED = (
 )
 WINDOW = 20
 #: Least bits per character over a window, by the class its characters belong to.
-BITS = {"hex": 3.0, "base64": 3.75}
+BITS = {"hex": 3.0, "lower": 3.5, "upper": 3.5, "base64": 3.75}
 
 
 def _matches(text: DataFrame, kind: str, pattern: str, group: int, least: int) -> DataFrame:
@@ -61,10 +61,11 @@ def entropy_spans(candidates: DataFrame, window: int = WINDOW, bits: dict = BITS
     Every character is a row. A sliding frame per (candidate, character) counts
     its occurrences in the window that it enters and in the one that it leaves;
     the running sums of the two gains differ by the window's sum of c log2 c, so
-    each window's entropy follows from the last one's by two counts. Classes:
-    ``hex`` (lower-case digits a-f only, with digits and letters) and ``base64``
-    (digits with upper and lower case). The span runs from the first window that
-    qualifies to the last.
+    each window's entropy follows from the last one's by two counts. Classes, all
+    with digits and letters: ``hex`` (0-9 and a-f or A-F, of one case), ``lower``
+    and ``upper`` (digits and letters of that case only, as base 36 and base 32)
+    and ``base64`` (digits with upper and lower case). The span runs from the
+    first window that qualifies in any class to the last.
     """
     one = ["id", "key", "start"]
     chars = candidates.select(*one, F.posexplode(F.split("hit", "")).alias("pos", "ch")).filter("ch <> ''")
@@ -84,11 +85,15 @@ def entropy_spans(candidates: DataFrame, window: int = WINDOW, bits: dict = BITS
                .withColumn("digits", inside("ch between '0' and '9'"))
                .withColumn("upper", inside("ch between 'A' and 'Z'"))
                .withColumn("lower", inside("ch between 'a' and 'z'"))
-               .withColumn("hexes", inside("ch between '0' and '9' or ch between 'a' and 'f'")))
+               .withColumn("hexes", inside("ch between '0' and '9' or ch between 'a' and 'f'"))
+               .withColumn("heads", inside("ch between '0' and '9' or ch between 'A' and 'F'")))
     h = F.log2(F.lit(float(window))) - (F.col("inflow") - F.col("gone")) / window
-    mixed = (F.col("digits") > 0) & (F.col("lower") > 0)
-    hot = ((F.col("hexes") == window) & mixed & (h >= bits["hex"])) | (
-        mixed & (F.col("upper") > 0) & (h >= bits["base64"]))
+    digits, lower, upper = (F.col(c) for c in ("digits", "lower", "upper"))
+    one_case = (digits > 0) & (digits < window)
+    hot = (one_case & ((F.col("hexes") == window) | (F.col("heads") == window)) & (h >= bits["hex"])
+           | one_case & (digits + lower == window) & (h >= bits["lower"])
+           | one_case & (digits + upper == window) & (h >= bits["upper"])
+           | (digits > 0) & (lower > 0) & (upper > 0) & (h >= bits["base64"]))
     return (counted.filter(F.col("pos") >= window - 1).filter(hot).groupBy(*one)
             .agg((F.min("pos") - (window - 1)).alias("first"), (F.max("pos") + 1).alias("last"))
             .select("id", "key", F.lit("entropy").alias("kind"), (F.col("start") + F.col("first")).alias("start"),

@@ -326,6 +326,17 @@ def test_entropy_windows_match_direct_counts(spark):
     assert got == {i: s for i, _, at, h in hits if (s := _entropy_span(h, at))}
 
 
+@pytest.mark.parametrize("alphabet, n", [("0123456789ABCDEF", 40), ("abcdefghijklmnopqrstuvwxyz0123456789", 40),
+                                         ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32)])
+def test_entropy_finds_each_class(spark, alphabet, n):
+    rng = random.Random(11)
+    rows = [(i, f"see {''.join(rng.choices(alphabet, k=n))} here") for i in range(200)]
+    rows.append((200, "see internationalisation2internationalisation here"))
+    rows.append((201, "see ORDERORDERORDER0001ORDER here"))
+    got = {r.doc_id: r.n_entropy for r in secret_scan.secret_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] for i in range(200)) >= 190 and got[200] == got[201] == 0
+
+
 def test_allowed_strings_are_left_alone(spark):
     rows = [(1, "see 123e4567-e89b-12d3-a456-426614174000 ok"), (2, "id Zx81kQpT0vRb7LmN4wYc done"), (3, "thisIsAnExampleKey9Zx81kQpT0vRb7")]
     got = {r.doc_id: r.spans for r in secret_scan.secret_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
