@@ -1,11 +1,14 @@
 """Column helpers for text: Unicode strip/split, token counts, normalisation.
 
-All helpers return JVM Column expressions (no Python UDF), so callers keep
-whole-stage codegen.
+All helpers return JVM Column expressions, so callers keep whole-stage codegen;
+only a token counter that the user supplies runs in Python, on Arrow batches.
 """
 
 from __future__ import annotations
 
+from typing import Callable, Optional, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from railyard.policy import WS_CLASS
@@ -37,6 +40,23 @@ def approx_tokens(col) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(_c(col), F.lit(""))) / 4)).cast("long")
 
 
+#: Token counts of a batch of texts, e.g. ``lambda texts: [len(e.ids) for e in tok.encode_batch(texts)]``.
+Counter = Optional[Callable[[Sequence[str]], Sequence[int]]]
+
+
+def token_count(col, counter: Counter = None) -> Column:
+    """Tokens of a text by ``counter``, or by :func:`approx_tokens`. A count below
+    1 is 1, as with the default rule; null counts as the empty text."""
+    if counter is None:
+        return approx_tokens(col)
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series(counter(["" if t is None else t for t in texts]), dtype="int64").clip(lower=1)
+
+    return count(_c(col))
+
+
 def normalize_for_embedding(col) -> Column:
     """Newline to blank before embedding (carriage returns are kept)."""
     return F.replace(_c(col), F.lit("\n"), F.lit(" "))

@@ -7,18 +7,20 @@
   tags are dropped and the common named entities decoded.
 * Headings are carried by windows over ``pos`` (C1).
 * Packing (C2) is the greedy rule "add the next block while the sum of token
-  counts stays within the limit, never across a heading".  It is a
-  sequential fold, run with ``aggregate`` per (document, heading group) on
-  an array of (position, tokens) only; the text is re-attached by an
-  equi-join, so the fold's memory is 16 bytes per block.
+  counts stays within the limit, never across a heading".  Prefix sums tell
+  for every block where the next chunk would begin if one began here; the
+  chunks that do begin are the orbit of the group's first block
+  (``functions.orbit``).  A heading group of any size is spread over tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from railyard.functions.scan import join_same
-from railyard.functions.text import approx_tokens
+from railyard.functions.orbit import orbit
+from railyard.functions.scan import join_same, running
+from railyard.functions.text import Counter, token_count
+from railyard.session import materialized
 
 # ---------------------------------------------------------------------------
 # Inline tags and entities of the HTML block extractor.
@@ -119,54 +121,77 @@ def attach_headings(blocks: DataFrame) -> DataFrame:
             .drop(*[f"__p{n}" for n in range(1, 7)], *[f"__t{n}" for n in range(1, 7)]))
 
 
-def split_oversized(blocks: DataFrame, limit: int) -> DataFrame:
+def split_oversized(blocks: DataFrame, limit: int, counter: Counter = None) -> DataFrame:
     """Blocks whose token count alone exceeds the limit are cut into pieces
-    of ``4 * limit`` characters (the token rule is ``len // 4``)."""
+    of ``4 * limit`` characters (the default token rule is ``len // 4``).
+
+    ``counter``: see :func:`railyard.functions.text.token_count`; a piece that
+    another counter finds longer than the limit is a chunk of its own."""
     width = 4 * limit
     n = F.greatest(F.lit(1), F.ceil(F.length("text") / width)).cast("int")
     return (blocks.withColumn("sub", F.explode(F.sequence(F.lit(0), n - 1)))
             .withColumn("text", F.substr(F.col("text"), F.col("sub") * width + 1, F.lit(width)))
-            .withColumn("tokens", approx_tokens("text")))
+            .withColumn("tokens", token_count("text", counter)))
+
+
+_GROUP = ["doc_id", "group_pos"]
+
+
+def _next_starts(pieces: DataFrame, limit: int) -> DataFrame:
+    """``doc_id, group_pos, pos, sub, idx, next``: the place of each piece in its
+    group and of the first piece that no longer fits a chunk begun at it.
+
+    ``next`` is a range window over the tokens before a piece. Windows are cut
+    into stretches of ``limit * 64`` tokens, and the pieces in the first ``limit``
+    tokens of a stretch also stand, as a look-ahead, in the one before."""
+    order = [F.col("pos"), F.col("sub")]
+    bucket = F.floor(F.col("pos") / F.lit(1024)).cast("long")
+    df = running(pieces.select(*_GROUP, "pos", "sub", "tokens"), _GROUP, order, bucket,
+                 {"idx": ("count", F.lit(1)), "__end": ("sum", F.col("tokens"))})
+    width = 64 * limit
+    df = (df.withColumn("idx", F.col("idx") - 1).withColumn("__from", F.col("__end") - F.col("tokens"))
+          .withColumn("__cut", F.floor(F.col("__from") / F.lit(width)).cast("long")))
+    ahead = (F.col("__cut") > 0) & (F.col("__from") % width <= limit)
+    df = df.withColumn("__own", F.explode(F.when(ahead, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    df = df.withColumn("__cut", F.when(F.col("__own"), F.col("__cut")).otherwise(F.col("__cut") - 1))
+    w = Window.partitionBy(*_GROUP, "__cut").orderBy("__from").rangeBetween(0, limit)
+    df = df.withColumn("__m", F.max(F.struct("idx", "__end")).over(w)).filter("__own")
+    # the last piece that begins within the limit opens the next chunk, unless it fits too: then it is the last of all
+    nxt = F.when(F.col("__m.__end") > F.col("__from") + limit, F.col("__m.idx")).otherwise(F.col("__m.idx") + 1)
+    return df.select(*_GROUP, "pos", "sub", "idx", F.greatest(nxt, F.col("idx") + 1).alias("next"))
 
 
-def pack_chunks(blocks: DataFrame, limit: int) -> DataFrame:
+def pack_chunks(blocks: DataFrame, limit: int, counter: Counter = None) -> DataFrame:
     """Greedy packing of content blocks within (doc, heading group).
 
     Input: output of :func:`attach_headings`.  Output: one row per chunk with
     ``doc_id, group_pos, chunk_no, headings, raw_text, raw_tokens, n_blocks``.
+    ``counter`` counts the tokens of a text (default: ``approx_tokens``).
     """
     content = blocks.filter(F.col("kind").isin("paragraph", "list_item"))
-    pieces = split_oversized(content, limit).withColumn("key", F.struct("pos", "sub"))
-    key_type = f"array<{dict(pieces.dtypes)['key']}>"
-    groups = pieces.groupBy("doc_id", "group_pos").agg(
-        F.array_sort(F.collect_list(F.struct("key", "tokens"))).alias("b"))
-    init = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast(key_type).alias("starts"))
-    fold = F.aggregate("b", init, lambda acc, x: F.when(
-        (acc["s"] + x["tokens"] > limit) & (acc["s"] > 0),
-        F.struct(x["tokens"].cast("long").alias("s"), F.concat(acc["starts"], F.array(x["key"])).alias("starts"))
-    ).otherwise(F.struct((acc["s"] + x["tokens"]).alias("s"),
-                         F.when(F.size(acc["starts"]) == 0, F.array(x["key"])).otherwise(acc["starts"]).alias("starts"))))
-    starts = groups.select("doc_id", "group_pos", fold["starts"].alias("starts"))
-    assigned = join_same(pieces, starts, ["doc_id", "group_pos"]).withColumn(
-        "chunk_no", (F.size(F.filter("starts", lambda s: s <= F.col("key"))) - 1).cast("long"))
+    pieces = split_oversized(content, limit, counter)
+    places = materialized(_next_starts(pieces, limit), "pack-places")
+    chunks = orbit(places, _GROUP).select(*_GROUP, F.col("nth").alias("chunk_no"),
+                                          F.explode(F.sequence(F.col("idx"), F.col("next") - 1)).alias("idx"))
+    places = join_same(places.drop("next"), chunks, [*_GROUP, "idx"]).select("doc_id", "pos", "sub", "chunk_no")
+    assigned = join_same(pieces, places, ["doc_id", "pos", "sub"])
     return (assigned.groupBy("doc_id", "group_pos", "chunk_no").agg(
         F.first("headings").alias("headings"),
-        F.array_sort(F.collect_list(F.struct("key", "text"))).alias("__parts"),
+        F.array_sort(F.collect_list(F.struct("pos", "sub", "text"))).alias("__parts"),  # at most limit tokens
         F.sum("tokens").cast("long").alias("raw_tokens"),
         F.count("*").alias("n_blocks"))
         .withColumn("raw_text", F.array_join(F.transform("__parts", lambda p: p["text"]), "\n"))
         .drop("__parts"))
 
 
-def contextualize(chunks: DataFrame, max_tokens: int) -> DataFrame:
+def contextualize(chunks: DataFrame, max_tokens: int, counter: Counter = None) -> DataFrame:
     """Embed text = headings above the raw text; falls back to the raw
     text when that exceeds ``max_tokens``."""
     ctx = F.concat_ws("\n", F.array_join(F.coalesce("headings", F.array().cast("array<string>")), "\n"), "raw_text")
     ctx = F.when(F.size(F.coalesce("headings", F.array())) > 0, ctx).otherwise(F.col("raw_text"))
-    over = approx_tokens(ctx) > max_tokens
-    return (chunks.withColumn("fell_back", over)
-            .withColumn("content", F.when(over, F.col("raw_text")).otherwise(ctx))
-            .withColumn("contextualized_tokens", approx_tokens("content")))
+    df = chunks.withColumn("__ctx", ctx).withColumn("fell_back", token_count("__ctx", counter) > max_tokens)
+    return (df.withColumn("content", F.when(F.col("fell_back"), F.col("raw_text")).otherwise(F.col("__ctx")))
+            .withColumn("contextualized_tokens", token_count("content", counter)).drop("__ctx"))
 
 
 def chunk_index(chunks: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from railyard.functions.orbit import orbit
 from railyard.functions.scan import hour_bucket, join_same, previous, running
-from railyard.functions.text import approx_tokens, is_blank, ustrip
+from railyard.functions.text import Counter, is_blank, token_count, ustrip
 from railyard.policy import DEFAULT_POLICY, WS_CLASS, Policy
+from railyard.session import materialized
 
 
 def _c(x) -> Column:
@@ -147,9 +149,12 @@ def render_transcript(messages: DataFrame, max_lines: int = 6, session_col: str
                      "\n").alias("transcript"))
 
 
+TRANSCRIPT_HEAD, MESSAGE_HEAD = "[earlier lines]", "[new message]"
+
+
 def condenser_input(messages: DataFrame, max_lines: int = 6, session_col: str = "session_id",
                     turn_col: str = "turn", msg_col: str = "text", rewritten: str | None = None,
-                    bucket_size: int = 1024) -> DataFrame:
+                    bucket_size: int = 1024, heads: tuple[str, str] = (TRANSCRIPT_HEAD, MESSAGE_HEAD)) -> DataFrame:
     """Per user message, the transcript of the rendered lines before it
     (at most ``max_lines``); first turns and empty transcripts pass the
     message unchanged, others get the condenser prompt.  A ``rewritten``
@@ -178,8 +183,7 @@ def condenser_input(messages: DataFrame, max_lines: int = 6, session_col: str =
     t = t.withColumn("__prev", prev)
     transcript = F.array_join("__prev", "\n")
     needs = F.size("__prev") > 0
-    prompt = F.concat(F.lit("Conversation transcript:\n"), transcript, F.lit("\n\nLatest customer message:\n"),
-                      F.col(msg_col))
+    prompt = F.concat(F.lit(heads[0] + "\n"), transcript, F.lit("\n\n" + heads[1] + "\n"), F.col(msg_col))
     out = t.withColumns({"needs_rewrite": needs, "condenser_prompt": F.when(needs, prompt)})
     q = F.col(msg_col)
     if rewritten:
@@ -227,12 +231,25 @@ def handoff_outcome(no_context: Column, refuse_when_no_context: bool, enough_con
     return outcome, ~oos
 
 
+def escalation_signals(routed: DataFrame) -> DataFrame:
+    """The routed turns that need a person, one row each: ``turn_id,
+    session_id, turn, reason``. ``routed`` also carries ``ans_human``, whether
+    the model itself asked for one."""
+    reason = (F.when(F.col("capped"), F.lit("session_cap"))
+              .when(F.col("agent_outcome") != "ok", F.concat(F.lit("agent:"), F.col("agent_outcome")))
+              .when(F.col("ans_human"), F.lit("model")).otherwise(F.lit("keyword")))
+    return routed.filter("needs_human").select("turn_id", "session_id", "turn", reason.alias("reason"))
+
+
 def trim_history_tokens(messages: DataFrame, budget: int, session_col: str = "session_id",
-                        turn_col: str = "turn", tokens_col: str = "tokens", bucket_size: int = 1024) -> DataFrame:
+                        turn_col: str = "turn", tokens_col: str = "tokens", bucket_size: int = 1024,
+                        counter: Counter = None) -> DataFrame:
     """Keep the most recent messages whose running token sum (newest
     first) stays within the budget.  The running sum is a two-level scan
-    over turn buckets (newest bucket first)."""
-    df = messages.withColumn("__tok", F.coalesce(F.col(tokens_col), approx_tokens("text")))
+    over turn buckets (newest bucket first).  A message without a count in
+    ``tokens_col``, or all if there is no such column, is counted by ``counter``."""
+    counted = token_count("text", counter)
+    df = messages.withColumn("__tok", F.coalesce(F.col(tokens_col), counted) if tokens_col in messages.columns else counted)
     bucket = -F.floor(F.col(turn_col) / F.lit(bucket_size)).cast("long")
     df = running(df, [session_col], [F.col(turn_col).desc()], bucket, {"running_tokens": ("sum", F.col("__tok"))})
     return df.filter(F.col("running_tokens") <= budget).drop("__tok")
@@ -264,49 +281,61 @@ def session_fold(turns: DataFrame, policy: Policy = DEFAULT_POLICY, session_col:
     Only successful turns write (``messages_per_turn`` messages, trimmed to
     ``history_cap``) and refresh the TTL; a turn with input allowed is
     capped when the stored count is at least ``max_turns_per_session``.
-    The state is sequential, so each session is cut at gaps >= TTL between
-    consecutive turns (a guaranteed reset; found with two-level scans, so a
-    hot session is not one window task) and each piece is folded with
-    ``aggregate`` over (row, time, flags).  The fold emits only the capped
-    *intervals* (one per epoch that reaches the cap), so it appends at most
-    once per epoch; capped rows are found by an equi-join back on
-    (session, piece) and an interval test.
+
+    A cap needs ``c = ceil(cap / messages_per_turn)`` writes without a pause of
+    the TTL between two of them. So for every write that could be a session's
+    first since a reset, the write that fills it is ``c - 1`` places on, and the
+    next first write is the earliest one a TTL after that: a pointer per write,
+    found by equi-joins and two-level scans. The first writes that do occur are
+    the orbit of the first one after each pause (``functions.orbit``), and a turn
+    is capped if the last filling write before it is less than a TTL old. All
+    steps are split by hour or block, so a session may hold any number of turns.
+    A turn without a time is never capped and writes nothing.
+
+    ``turns`` is materialised, as it is read three times.
     """
     ttl = policy.session_ttl_seconds * 1_000_000
-    cap, n, trim = policy.max_turns_per_session, policy.messages_per_turn, policy.history_cap
-    order = [F.col(ts_col), F.col(turn_col)]
-    bucket = hour_bucket(ts_col)
-    df = turns.withColumn("__t", F.unix_micros(F.col(ts_col).cast("timestamp")))
-    df = previous(df, [session_col], order, bucket, "__t", "__prev_t")
-    df = df.withColumn("__brk", F.when((F.col("__t") - F.col("__prev_t")) >= ttl, 1).otherwise(0))
-    df = running(df, [session_col], order, bucket, {"__rk": ("count", F.lit(1)), "__seg": ("sum", F.col("__brk"))})
-    xs = df.groupBy(session_col, "__seg").agg(F.array_sort(F.collect_list(F.struct(
-        "__rk", "__t", F.col(input_ok).alias("ok"), F.col(eligible).alias("el")))).alias("xs"))
-    iv_t = "array<struct<a:bigint,b:bigint>>"
-    init = F.struct(F.lit(-(2 ** 62)).cast("long").alias("last"), F.lit(0).cast("long").alias("stored"),
-                    F.lit(-1).cast("long").alias("capfrom"), F.array().cast(iv_t).alias("ivs"))
-
-    def step(acc, x):
-        expired = (acc["stored"] > 0) & ((x["__t"] - acc["last"]) >= ttl)
-        stored0 = F.when(expired, F.lit(0).cast("long")).otherwise(acc["stored"])
-        ivs0 = F.when(expired & (acc["capfrom"] >= 0),
-                      F.concat(acc["ivs"], F.array(F.struct(acc["capfrom"].alias("a"), x["__rk"].alias("b"))))
-                      ).otherwise(acc["ivs"])
-        capfrom0 = F.when(expired, F.lit(-1).cast("long")).otherwise(acc["capfrom"])
-        keep = F.struct(acc["last"].alias("last"), stored0.alias("stored"), capfrom0.alias("capfrom"),
-                        ivs0.alias("ivs"))
-        capped = F.struct(acc["last"].alias("last"), stored0.alias("stored"),
-                          F.when(capfrom0 < 0, x["__rk"]).otherwise(capfrom0).alias("capfrom"), ivs0.alias("ivs"))
-        success = F.struct(x["__t"].alias("last"), F.least(stored0 + n, F.lit(trim).cast("long")).alias("stored"),
-                           capfrom0.alias("capfrom"), ivs0.alias("ivs"))
-        return (F.when(~x["ok"], keep).when(stored0 >= cap, capped)
-                .when(x["el"], success).otherwise(keep))
-
-    def finish(acc):
-        return F.when(acc["capfrom"] >= 0, F.concat(acc["ivs"], F.array(F.struct(
-            acc["capfrom"].alias("a"), F.lit(2 ** 62).cast("long").alias("b"))))).otherwise(acc["ivs"])
-
-    ivs = xs.select(session_col, "__seg", F.aggregate("xs", init, step, finish).alias("__ivs"))
-    out = join_same(df, ivs, [session_col, "__seg"])
-    capped = F.col(input_ok) & F.exists("__ivs", lambda iv: (F.col("__rk") >= iv["a"]) & (F.col("__rk") < iv["b"]))
-    return out.withColumn("capped", capped).drop("__t", "__prev_t", "__rk", "__brk", "__seg", "__ivs")
+    # a history cap below the session cap lets the store never fill
+    fills = policy.history_cap >= policy.max_turns_per_session
+    if policy.max_turns_per_session <= 0:
+        return turns.withColumn("capped", F.col(input_ok))
+    if not fills or policy.messages_per_turn <= 0:
+        return turns.withColumn("capped", F.lit(False))
+    c = -(-policy.max_turns_per_session // policy.messages_per_turn)
+    key, bucket = [session_col], hour_bucket(ts_col)
+    df = materialized(turns.withColumn("__row", F.monotonically_increasing_id()), "fold-turns")
+    slim = df.select(*key, ts_col, turn_col, "__row", F.unix_micros(F.col(ts_col).cast("timestamp")).alias("__t"),
+                     F.coalesce(F.col(input_ok), F.lit(False)).alias("__ok"), F.col(eligible).alias("__el"))
+    slim = slim.withColumn("__ok", F.col("__ok") & F.col("__t").isNotNull())
+    slim = slim.withColumn("__el", F.col("__ok") & F.coalesce(F.col("__el"), F.lit(False)))
+    slim = running(slim, key, [F.col(ts_col), F.col(turn_col), F.col("__row")], bucket,
+                   {"__rk": ("count", F.lit(1)), "__n": ("sum", F.col("__el").cast("long"))})
+    slim = materialized(slim.withColumn("__w", F.col("__n") - 1).drop("__n"), "fold-places")
+
+    # writes of sessions that can fill at all, cut at pauses of the TTL
+    writes = slim.filter("__el").select(*key, "__w", "__t", "__rk")
+    able = writes.filter(F.col("__w") == c - 1).select(*key)  # one row per session
+    writes = join_same(writes, able, key, "left_semi")
+    by_time = F.floor(F.col("__t") / F.lit(3_600_000_000)).cast("long")
+    writes = previous(writes, key, [F.col("__w")], by_time, "__t", "__prev")
+    pause = F.col("__prev").isNull() | (F.col("__t") - F.col("__prev") >= ttl)
+    writes = running(writes, key, [F.col("__w")], by_time, {"__seg": ("max", F.when(pause, F.col("__w")))})
+    writes = materialized(writes.drop("__prev"), "fold-writes")
+    full = writes.select(*key, (F.col("__w") - (c - 1)).alias("__w"), F.col("__seg").alias("__fseg"),
+                         F.col("__t").alias("__ft"), F.col("__rk").alias("__frk"))
+    starts = join_same(writes.select(*key, "__seg", "__w"), full, [*key, "__w"]).filter("__fseg = __seg").drop("__fseg")
+    # of the writes in time order, the first that is not before the filling write's time + TTL
+    probes = starts.select(*key, "__w", (F.col("__ft") + ttl).alias("__t"), F.lit(0).alias("__kind"))
+    both = probes.unionByName(writes.select(*key, "__w", "__t", F.lit(1).alias("__kind")))
+    both = running(both, key, [F.col("__t"), F.col("__kind"), F.col("__w")], by_time, {"__to": ("sum", F.col("__kind"))})
+    nxt = both.filter("__kind = 0").select(*key, "__w", F.col("__to").alias("__next"))
+    links = join_same(writes.select(*key, "__seg", "__w"), nxt, [*key, "__w"], "left")
+    links = materialized(links.select(*key, "__seg", (F.col("__w") - F.col("__seg")).alias("idx"),
+                                      (F.col("__next") - F.col("__seg")).alias("next")), "fold-links")
+    first = orbit(links, [*key, "__seg"]).select(*key, (F.col("__seg") + F.col("idx")).alias("__w"))
+    fill = join_same(starts, first, [*key, "__w"]).select(*key, F.col("__frk").alias("__rk"), F.col("__ft").alias("__fill"))
+
+    marked = join_same(slim, fill, [*key, "__rk"], "left")
+    marked = running(marked, key, [F.col("__rk")], bucket, {"__last": ("max", F.col("__fill"))}, inclusive=False)
+    capped = F.col("__ok") & F.coalesce(F.col("__t") - F.col("__last") < ttl, F.lit(False))
+    return df.join(marked.select("__row", capped.alias("capped")), "__row").drop("__row")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from railyard.functions.quantiles import exact_quantiles
+from railyard.functions.scan import join_same
 from railyard.functions.vectors import norm
 from railyard.operators.search import vector_topk_batch
 from railyard.policy import DEFAULT_POLICY, Policy
@@ -70,16 +72,18 @@ def gate_policy(gate: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
 
 
 def gate_distance_probe(gate: DataFrame, group_col: str) -> DataFrame:
-    """Distribution of best distances per group, regardless of verdict."""
+    """Distribution of best distances per group, regardless of verdict.
+    Quantiles are exact, and no group is buffered."""
     d = F.col("best_distance")
-    return gate.groupBy(group_col).agg(
+    totals = gate.groupBy(group_col).agg(
         F.count("*").alias("n_queries"),
         F.count(d).alias("n_with_distance"),
         F.min(d).alias("min_distance"),
-        F.percentile(d, 0.5).alias("p50_distance"),
-        F.percentile(d, 0.9).alias("p90_distance"),
         F.max(d).alias("max_distance"),
     )
+    mid = exact_quantiles(gate, group_col, "best_distance", (0.5, 0.9)).withColumnsRenamed(
+        {"q0": "p50_distance", "q1": "p90_distance"})
+    return join_same(totals, mid, [group_col], "left")
 
 
 def gate_threshold_sweep(gate: DataFrame, on_topic: str, thresholds: list[float]) -> DataFrame:

@@ -14,6 +14,7 @@ from railyard.functions.text import ustrip
 from railyard.policy import WS_CLASS
 
 SYSTEM_TEXT = "Answer the question using only the retrieved information. Say so when it is not enough."
+QUESTION_HEAD, CONTEXT_HEAD = "[question]", "[chunks]"
 
 
 def context_json(results: DataFrame, keep: Sequence[str], query_col: str = "query_id",
@@ -28,14 +29,15 @@ def context_json(results: DataFrame, keep: Sequence[str], query_col: str = "quer
 
 
 def assemble_prompt(df: DataFrame, question: str = "question", context: str = "context_json",
-                    system_text: str = SYSTEM_TEXT) -> DataFrame:
+                    system_text: str = SYSTEM_TEXT, question_head: str = QUESTION_HEAD,
+                    context_head: str = CONTEXT_HEAD) -> DataFrame:
     """Chat messages (system, user question, retrieved context) as an
     ``array<struct<role, content>>`` column ``messages``."""
     msg = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))
     return df.withColumn("messages", F.array(
         msg("system", F.lit(system_text)),
-        msg("user", F.concat(F.lit("# User question:\n"), F.col(question))),
-        msg("assistant", F.concat(F.lit("# Retrieved information:\n"), F.coalesce(F.col(context), F.lit("[]"))))))
+        msg("user", F.concat(F.lit(question_head + "\n"), F.col(question))),
+        msg("assistant", F.concat(F.lit(context_head + "\n"), F.coalesce(F.col(context), F.lit("[]"))))))
 
 
 def turn_wide_event(routed: DataFrame, survivors: DataFrame, turn_col: str = "turn_id") -> DataFrame:
@@ -60,9 +62,28 @@ def outcome_funnel(events: DataFrame, outcome_col: str = "outcome") -> DataFrame
     return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def outcome_rollup(events: DataFrame, stage_col: str, category_col: str) -> DataFrame:
-    """L2 addition: ``rollup(stage, category)`` counts."""
-    return events.rollup(stage_col, category_col).agg(F.count("*").alias("n"))
+def outcome_rollup(events: DataFrame, outcome_col: str = "outcome") -> DataFrame:
+    """L2: turns by ``rollup(stage, category)`` of the outcome; ``level`` is 0 for a
+    (stage, category), 1 for a stage and 3 for all turns."""
+    stage, category = (F.split_part(outcome_col, F.lit(":"), F.lit(i)) for i in (1, 2))
+    df = events.select(stage.alias("stage"), F.nullif(category, F.lit("")).alias("category"))
+    return df.rollup("stage", "category").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
+
+
+#: The router's stages, in the order in which a turn meets them.
+STAGES = ("input_guard", "conversation_guard", "relevance_gate", "agent")
+
+
+def stage_survivors(events: DataFrame, outcome_col: str = "outcome") -> DataFrame:
+    """L2: for each stage the turns that reach it, that it refuses and that go on.
+    One aggregation whatever the number of stages."""
+    stage = F.split_part(outcome_col, F.lit(":"), F.lit(1))
+    wide = events.agg(F.count("*").alias("all"), *[F.count(F.when(stage == s, 1)).alias(f"r{i}") for i, s in enumerate(STAGES)])
+    rows, before = [], "all"
+    for i, s in enumerate(STAGES):
+        rows.append(f"{i}, '{s}', {before}, r{i}, {before} - r{i}")
+        before += f" - r{i}"
+    return wide.selectExpr(f"stack({len(STAGES)}, {', '.join(rows)}) AS (place, stage, reached, refused, passed)")
 
 
 def context_budget(turns: DataFrame, window_tokens: int = 128000, reply_cap: int = 1024) -> DataFrame:

@@ -76,6 +76,15 @@ def join_payload(hits: DataFrame, corpus: DataFrame, id_col: str, cols: list, ho
     return hits.join(corpus.select(F.col(id_col).alias("id"), *cols), "id", how)
 
 
+def hit_payload(hits: DataFrame, corpus: DataFrame, id_col: str, cols: list) -> DataFrame:
+    """Like :func:`join_payload`, for long texts: the corpus is first cut to the
+    rows that were hit, so that only those are moved (Spark may broadcast the
+    ids by size), and then joined to the hits. ``hits`` should be materialised,
+    as it is read twice."""
+    ids = hits.select("id").distinct()
+    return join_payload(hits, corpus.join(ids, corpus[id_col] == ids["id"], "left_semi"), id_col, cols)
+
+
 def vector_topk_filtered(corpus: DataFrame, queries: DataFrame, k: int = 5, *,
                          corpus_filter=None, **kw) -> DataFrame:
     """Filters apply before the limit (exact for a flat scan)."""

@@ -125,8 +125,8 @@ def q_render_transcript(spark, sf):
 
 @register("condenser_input", sql=f"""
 SELECT conv_id, turn, len(prev) > 0 AS needs_rewrite,
-       CASE WHEN len(prev) > 0 THEN 'Conversation transcript:' || chr(10) || array_to_string(prev, chr(10)) ||
-            chr(10) || chr(10) || 'Latest customer message:' || chr(10) || text END AS condenser_prompt,
+       CASE WHEN len(prev) > 0 THEN {Q.q(J.TRANSCRIPT_HEAD)} || chr(10) || array_to_string(prev, chr(10)) ||
+            chr(10) || chr(10) || {Q.q(J.MESSAGE_HEAD)} || chr(10) || text END AS condenser_prompt,
        text AS gate_query
 FROM (SELECT conv_id, turn, role, text,
              coalesce(list(line) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {LINES} PRECEDING AND 1 PRECEDING),
@@ -383,13 +383,22 @@ q AS (SELECT CASE WHEN capped THEN 'session_cap' WHEN agent_eff <> 'ok' THEN 'ag
 SELECT reason, count(*) AS n FROM q GROUP BY reason""")
 def q_escalation_queue(spark, sf):
     """Escalation signals counted by reason."""
-    r = routed(spark, sf).join(
-        turn_answers_flags(spark, sf), "turn_id", "left")
-    q = r.filter(F.col("needs_human")).select(
-        F.when(F.col("capped"), F.lit("session_cap"))
-        .when(F.col("agent_outcome") != "ok", F.concat(F.lit("agent:"), F.col("agent_outcome")))
-        .when(F.col("ans_human"), F.lit("model")).otherwise(F.lit("keyword")).alias("reason"))
-    return q.groupBy("reason").agg(F.count("*").alias("n"))
+    signals = J.escalation_signals(routed(spark, sf).join(turn_answers_flags(spark, sf), "turn_id", "left"))
+    return signals.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@register("escalation_signals", sql=f"""
+WITH RECURSIVE {SQL_ROUTE_CTES}
+SELECT conv_id, turn, CASE WHEN capped THEN 'session_cap' WHEN agent_eff <> 'ok' THEN 'agent:' || agent_eff
+                           WHEN ans_human THEN 'model' ELSE 'keyword' END AS reason, md5(message) AS message_md5
+FROM rt WHERE input_allowed AND (capped OR (NOT gate_refused AND (agent_eff <> 'ok' OR ans_human
+      OR {SQL_MENTIONS.replace('text', 'message')})))""")
+def q_escalation_signals(spark, sf):
+    """One row per turn handed to a person: session, turn, reason and message."""
+    signals = J.escalation_signals(routed(spark, sf).join(turn_answers_flags(spark, sf), "turn_id", "left"))
+    msgs = turn_frame(spark, sf).select("turn_id", "message")
+    return signals.join(msgs, "turn_id").select(F.col("session_id").alias("conv_id"), "turn", "reason",
+                                                F.md5("message").alias("message_md5"))
 
 
 def turn_answers_flags(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from railyard.functions.scan import join_same, running
 from railyard.functions.text import approx_tokens
 from railyard.operators import output_guards as OG
 from railyard.operators import reports as R
@@ -34,8 +35,8 @@ cx AS (SELECT query_id AS turn_id,
        FROM mk WHERE stage IS NULL GROUP BY query_id)
 SELECT tv.conv_id, tv.turn, CAST(to_json([
   struct_pack(role := 'system', content := {Q.q(R.SYSTEM_TEXT)}),
-  struct_pack(role := 'user', content := '# User question:' || chr(10) || tv.message),
-  struct_pack(role := 'assistant', content := '# Retrieved information:' || chr(10) || coalesce(cx.cj, '[]'))])
+  struct_pack(role := 'user', content := {Q.q(R.QUESTION_HEAD)} || chr(10) || tv.message),
+  struct_pack(role := 'assistant', content := {Q.q(R.CONTEXT_HEAD)} || chr(10) || coalesce(cx.cj, '[]'))])
   AS VARCHAR) AS messages
 FROM tv LEFT JOIN cx USING (turn_id)""")
 def q_assemble_prompt(spark, sf):
@@ -79,6 +80,24 @@ def q_outcome_funnel(spark, sf):
     return R.outcome_funnel(wide(spark, sf))
 
 
+@register("outcome_rollup", sql=_L1_SQL + """,
+sc AS (SELECT split_part(outcome, ':', 1) AS stage, nullif(split_part(outcome, ':', 2), '') AS category FROM l1)
+SELECT stage, category, count(*) AS n, GROUPING(stage, category) AS level FROM sc GROUP BY ROLLUP (stage, category)""")
+def q_outcome_rollup(spark, sf):
+    """L2: turns by stage and category with subtotals."""
+    return R.outcome_rollup(wide(spark, sf))
+
+
+@register("stage_survivors", sql=_L1_SQL + f""",
+st(place, stage) AS (VALUES {', '.join(f"({i}, '{s}')" for i, s in enumerate(R.STAGES))}),
+l2 AS (SELECT coalesce(place, 99) AS out_at FROM l1 LEFT JOIN st ON st.stage = split_part(outcome, ':', 1))
+SELECT st.place, st.stage, count(*) FILTER (out_at >= st.place) AS reached, count(*) FILTER (out_at = st.place) AS refused,
+       count(*) FILTER (out_at > st.place) AS passed FROM st, l2 GROUP BY st.place, st.stage""")
+def q_stage_survivors(spark, sf):
+    """L2: turns that reach, fail and pass each stage of the router."""
+    return R.stage_survivors(wide(spark, sf))
+
+
 @register("context_budget", sql=f"""
 WITH RECURSIVE {SQL_ROUTE_CTES},
 ht AS (SELECT conv_id, turn, coalesce(sum(greatest(1, floor(length(coalesce(text, '')) / 4))::BIGINT) OVER
@@ -97,9 +116,9 @@ def q_context_budget(spark, sf):
     """L3: token budget per user turn against a 128k window."""
     _, _, guarded = routed_with_retrieval(spark, sf)
     c = table(spark, sf, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    ht = c.select("conv_id", "turn", "role", F.coalesce(F.sum(approx_tokens("text")).over(w), F.lit(0))
-                  .alias("history_tokens")).filter(F.col("role") == "user").drop("role")
+    ht = running(c.select("conv_id", "turn", "role", approx_tokens("text").alias("tokens")), ["conv_id"], [F.col("turn")],
+                 F.floor(F.col("turn") / 1024).cast("long"), {"history_tokens": ("sum", F.col("tokens"))}, inclusive=False)
+    ht = ht.filter(F.col("role") == "user").drop("role", "tokens")
     t = turn_frame(spark, sf).select("turn_id", F.col("session_id").alias("conv_id"), "turn",
                                      approx_tokens("message").alias("message_tokens"))
     t = t.join(ht, ["conv_id", "turn"]).join(
@@ -133,8 +152,10 @@ def q_stale_citation_report(spark, sf):
     t = turn_frame(spark, sf).select("turn_id", "session_id", "turn")
     w = Window.partitionBy("turn_id").orderBy("distance", F.col("chunk_id").cast("long"))
     top1 = retrieved.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").select("turn_id", "chunk_id")
-    cc = t.join(top1, "turn_id", "left").withColumn(
-        "prev", F.lag("chunk_id").over(Window.partitionBy("session_id").orderBy("turn")))
+    cc = running(t.join(top1, "turn_id", "left"), ["session_id"], [F.col("turn")],
+                 F.floor(F.col("turn") / 1024).cast("long"), {"nth": ("count", F.lit(1))})
+    before = cc.select("session_id", (F.col("nth") + 1).alias("nth"), F.col("chunk_id").alias("prev"))
+    cc = join_same(cc, before, ["session_id", "nth"], "left").drop("nth")
     k = F.col("session_id") + F.col("turn")
     cits = (cc.filter(F.col("chunk_id").isNotNull()).select("turn_id", "session_id", "turn", F.lit(0).alias("p"), "chunk_id")
             .unionByName(cc.filter(F.col("prev").isNotNull() & (k % 4 == 0)).select(

@@ -35,8 +35,7 @@ _CLASSIFY_SQL = f"""
          lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1)) AS file_type,
          lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1)) IN ('.pdf', '.docx') AS accepted,
          CASE WHEN NOT lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1)) IN ('.pdf', '.docx')
-              THEN 'Unsupported file type: ' || regexp_extract(path, '(\\.[^./\\\\]+)$', 1)
-                   || '. Only .pdf and .docx are supported.' END AS error
+              THEN 'suffix ''' || lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1)) || ''' is not one of .pdf, .docx' END AS error
   FROM ({_FILES_SQL})"""
 
 
@@ -47,6 +46,30 @@ def q_scan_documents(spark, sf):
         "doc_id", "path", "filename", "file_type", "accepted", "error")
 
 
+TEXT_FILES = (".txt",)
+
+
+@register("scan_files", sql="""
+SELECT coalesce(source, '__HIVE_DEFAULT_PARTITION__') AS source, '.txt' AS file_type, true AS accepted,
+       (sum(strlen(coalesce(text, '')) + 1))::BIGINT AS n_bytes, NULL::VARCHAR AS error
+FROM documents WHERE lang IN ('en', 'de') GROUP BY 1
+UNION ALL SELECT coalesce(source, '__HIVE_DEFAULT_PARTITION__'), '.gz', false, NULL,
+       'suffix ''.gz'' is not one of .txt'
+FROM documents WHERE lang IS NULL OR lang NOT IN ('en', 'de') GROUP BY 1""")
+def q_scan_files(spark, sf):
+    """A2: the documents written as files, plain or compressed by language and in a
+    folder per source, are scanned as binary files; compressed ones are rejected."""
+    d = table(spark, sf, "documents").select("source", "lang", F.coalesce("text", F.lit("")).alias("value"))
+    plain = F.coalesce(F.col("lang").isin("en", "de"), F.lit(False))
+    base = scratch_path(spark, "scan")
+    for part, codec in ((plain, "none"), (~plain, "gzip")):
+        d.filter(part).drop("lang").write.mode("append").partitionBy("source").option("compression", codec).text(base)
+    files = CT.scan_documents(spark, base, TEXT_FILES)
+    source = F.regexp_extract("path", r"/source=([^/]*)/", 1)
+    return (files.groupBy(source.alias("source"), "file_type", "accepted", "error")
+            .agg(F.sum(F.when(F.col("accepted"), F.col("length"))).alias("n_bytes")))
+
+
 def _updates(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("contents"))
     base = d.withColumn("version", F.lit(1))

@@ -6,9 +6,9 @@ from typing import Optional
 
 from pyspark.sql import DataFrame, functions as F
 
-from railyard.functions.text import approx_tokens
+from railyard.functions.text import Counter, token_count
 from railyard.operators.retrieval_guards import apply_retrieval_guards, format_context
-from railyard.operators.search import join_payload, vector_topk_batch
+from railyard.operators.search import hit_payload, vector_topk_batch
 from railyard.policy import DEFAULT_POLICY, Policy
 from railyard.session import ensure_checkpoint_dir
 
@@ -17,22 +17,23 @@ def search_candidates(queries: DataFrame, corpus: DataFrame, k: int, *, query_id
                       query_vec: str = "embedding", id_col: str = "id", vec_col: str = "embedding",
                       content: str = "content", filename: str = "filename", file_type: str = "file_type",
                       exclude_self: bool = False, payload: Optional[DataFrame] = None,
-                      payload_id: Optional[str] = None, hits: Optional[DataFrame] = None) -> DataFrame:
-    """Top-k hits with the payload the guards need; token counts are computed
-    JVM-side on the scan, text is attached only to the hits.  ``payload``
-    (with key ``payload_id``) supplies the text when vectors and text live
-    in different tables; otherwise the corpus carries both."""
+                      payload_id: Optional[str] = None, hits: Optional[DataFrame] = None,
+                      counter: Counter = None) -> DataFrame:
+    """Top-k hits with the payload the guards need; tokens are counted and text
+    is attached only for the hits.  ``payload`` (with key ``payload_id``)
+    supplies the text when vectors and text live in different tables; otherwise
+    the corpus carries both.  ``counter`` counts the tokens of a text."""
     if hits is None:
         q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("__qv"))
         hits = vector_topk_batch(corpus, q, k, id_col=id_col, vec_col=vec_col, query_id="query_id",
-                                 query_vec="__qv", exclude_self=exclude_self)
+                                 query_vec="__qv", exclude_self=exclude_self, materialize=True)
     hits = hits.filter(F.col("rank") <= k)
     cols = [F.col(content).alias("content"), F.col(filename).alias("filename"),
-            F.col(file_type).alias("file_type"), approx_tokens(content).alias("token_count")]
+            F.col(file_type).alias("file_type"), token_count(content, counter).alias("token_count")]
     if payload is None:
-        c = join_payload(hits, corpus, id_col, cols)
+        c = hit_payload(hits, corpus, id_col, cols)
     else:
-        c = join_payload(hits, payload, payload_id or id_col, cols)
+        c = hit_payload(hits, payload, payload_id or id_col, cols)
     return c.withColumnRenamed("id", "chunk_id").withColumn(
         "token_count", F.coalesce(F.col("token_count"), F.lit(1).cast("long")))
 

@@ -4,12 +4,14 @@
 * Time windows (K2, K4, K7) use ``withWatermark`` with ``session_window`` /
   ``window`` in append mode; rows later than the watermark are dropped and
   reported in ``numRowsDroppedByWatermark``.
-* Sequential per-key rules (K3, K6, K8) use ``transformWithStateInPandas``
-  with O(1) value state per key (RocksDB state store).  Rows of a key that
-  arrive in one micro-batch are applied in (time, id) order.
-* Ingest (K5) is ``foreachBatch``: every micro-batch is chunked and written
-  to its own batch folder, so a replayed batch overwrites itself
-  (idempotent); readers keep the newest version of each chunk id.
+* Sequential per-key rules (K3, K6, K8) use ``transformWithStateInPandas`` in
+  event time (RocksDB state store). A row waits in its key's list state until
+  the watermark has passed it; a timer then applies all rows that are due in
+  (time, id) order. So rows may arrive in any order within the watermark delay,
+  over any number of micro-batches, and the result is that of the batch rule.
+  A key whose state can no longer matter leaves the store by timer.
+* Ingest (K5) is ``foreachBatch`` into the chunk store of
+  ``railyard.sources.chunk_store``: a replayed batch overwrites itself.
 
 ``events.ts`` is ``timestamp_ntz``; watermarks need ``timestamp``, so the
 helpers cast it (session time zone UTC).
@@ -17,11 +19,10 @@ helpers cast it (session time zone UTC).
 
 from __future__ import annotations
 
-import os
-from typing import Callable, Iterator, Optional
+from typing import Iterator, Optional
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from railyard.operators.input_guards import evaluate_input, mentions_human
@@ -53,13 +54,32 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
     return r.load(path)
 
 
-def run_available_now(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
-    """Drain everything available into a parquet sink, then stop."""
+def run_available_now(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> list:
+    """Drain everything available into a parquet sink, then stop; the progress
+    reports of its micro-batches."""
     q = (stream.writeStream.format("parquet").outputMode(mode).option("path", sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    return list(q.recentProgress)
+
+
+def watched(events: DataFrame, name: str = "arrived") -> DataFrame:
+    """``events`` with their number observed per micro-batch."""
+    return events.observe(name, F.count(F.lit(1)).alias("n"))
+
+
+def late_row_report(spark: SparkSession, progress: list, name: str = "arrived") -> DataFrame:
+    """K7: one row per micro-batch: rows that arrived, the watermark in force and
+    the rows (partial sums, where Spark sums before the shuffle) that came too
+    late for it. ``progress`` is what :func:`run_available_now` returns."""
+    rows = []
+    for p in progress:
+        seen = p.observedMetrics.get(name)
+        rows.append((p.batchId, int(seen["n"]) if seen is not None else 0, p.eventTime.get("watermark"),
+                     sum(s.numRowsDroppedByWatermark for s in p.stateOperators)))
+    return spark.createDataFrame(rows, "batch long, n_arrived long, watermark string, n_dropped long")
 
 
 # --------------------------------------------------------------------- K1
@@ -94,13 +114,22 @@ def stream_rate_limit(events: DataFrame, limit: int, key_col: str = "user_id", t
             .withColumn("over_limit", F.col("n") > limit))
 
 
-def rate_limit_exact(events: DataFrame, limit: int, key_col: str = "user_id", ts_col: str = "ts") -> DataFrame:
-    """K4 batch form: messages in the 60 s up to and including each one."""
-    from pyspark.sql import Window
-    t = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    w = Window.partitionBy(key_col).orderBy(t).rangeBetween(-60_000_000 + 1, 0)
-    return events.withColumn("n_last_minute", F.count("*").over(w)).withColumn(
-        "over_limit", F.col("n_last_minute") > limit)
+def rate_limit_exact(events: DataFrame, limit: int, key_col: str = "user_id", ts_col: str = "ts",
+                     seconds: int = 60) -> DataFrame:
+    """K4 batch form: messages of the key in the ``seconds`` up to and including
+    each one. Every row goes to its own stretch of that length and, as a
+    forerunner only, to the next, so a hot key is one window per stretch. Null
+    keys are a key of their own; rows without a time count nothing."""
+    width = seconds * 1_000_000
+    df = events.withColumn("__t", F.unix_micros(F.col(ts_col).cast("timestamp")))
+    df = df.withColumn("__at", F.floor(F.col("__t") / F.lit(width)).cast("long"))
+    df = df.withColumn("__own", F.explode(F.when(F.col("__t").isNull(), F.array(F.lit(True)))
+                                          .otherwise(F.array(F.lit(True), F.lit(False)))))
+    df = df.withColumn("__at", F.when(F.col("__own"), F.col("__at")).otherwise(F.col("__at") + 1))
+    w = Window.partitionBy(key_col, "__at").orderBy("__t").rangeBetween(-width + 1, 0)
+    n = F.when(F.col("__t").isNull(), F.lit(0)).otherwise(F.count("*").over(w))
+    return (df.withColumn("n_last_minute", n).filter("__own").drop("__t", "__at", "__own")
+            .withColumn("over_limit", F.col("n_last_minute") > limit))
 
 
 def stream_outcome_windows(events: DataFrame, outcome_col: str, ts_col: str = "ts", window: str = "1 day",
@@ -119,134 +148,220 @@ def dedup_within_watermark(requests: DataFrame, key_cols: list, ts_col: str = "t
 
 
 # --------------------------------------------------------------------- K3, K6, K8
-class _SortedProcessor(StatefulProcessor):
-    """Applies ``step`` to a key's rows in (t, id) order with one value state."""
+_PENDING = "t long, has_id boolean, id long, flag boolean"
+_OUT = "gk string, t long, has_id boolean, id long, flag boolean"
 
-    state_schema = "v1 long, v2 long"
+
+class OrderedProcessor(StatefulProcessor):
+    """Applies ``run`` to a key's rows in (t, id) order, rows without an id first.
+
+    ``pending`` holds the rows that the watermark has not passed yet, ``due`` the
+    time of the key's next timer. Input at or before the watermark is dropped by
+    Spark before it gets here, so rows that are due can have no forerunner left.
+    """
+
+    state_schema = "v long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("s", self.state_schema)
+        self.handle = handle
+        self.pending = handle.getListState("pending", _PENDING)
+        self.due = handle.getValueState("due", "ms long")
+        self.state = handle.getValueState("state", self.state_schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t", "id"], kind="stable")
-        st = self.state.get() if self.state.exists() else None
-        out, st = self.run(key, pdf, st)
-        self.state.update(st)
-        yield out
+        first = None
+        for pdf in rows:
+            new = list(zip(pdf["t"].tolist(), pdf["has_id"].tolist(), pdf["id"].tolist(), pdf["flag"].tolist()))
+            self.pending.appendList(new)
+            least = min(r[0] for r in new)
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self._wake(first, timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        self.due.clear()
+        waiting = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
+        ready = sorted(r for r in waiting if r[0] <= now)
+        rest = [r for r in waiting if r[0] > now]
+        if ready:
+            if rest:
+                self.pending.put(rest)
+            else:
+                self.pending.clear()
+            n = len(ready)
+            cols = {"gk": [key[0]] * n, "t": [r[0] for r in ready], "has_id": [r[1] for r in ready],
+                    "id": [r[2] for r in ready], **self.run(ready)}
+            yield pd.DataFrame(cols)
+        ends = self.ends()
+        if ends is not None and ends <= now and not rest:
+            self.forget()
+        times = [r[0] for r in rest] + ([ends] if ends is not None and ends > now else [])
+        if times:
+            self._wake(min(times), now // 1000)
+
+    def _wake(self, at_us: int, watermark_ms: int) -> None:
+        """A timer at the first millisecond that is not before ``at_us`` and that the
+        watermark has yet to pass, as a timer in the past need not fire."""
+        ms = max(-(-at_us // 1000), watermark_ms + 1)
+        if not self.due.exists() or ms < self.due.get()[0]:
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
+
+    def run(self, ready: list) -> dict:
+        """Output columns of the rows, in order; reads and writes the key's state."""
+        raise NotImplementedError
+
+    def ends(self) -> Optional[int]:
+        """Microsecond from which on the key's state no longer matters; None if it has no such time."""
+        return None
+
+    def forget(self) -> None:
+        self.state.clear()
 
     def close(self) -> None:
         pass
 
 
-class SessionCapProcessor(_SortedProcessor):
-    """K3: per session (last write, stored count): the TTL is refreshed on
-    write only, the store is trimmed, a turn is capped at the limit."""
+class HistoryProcessor(OrderedProcessor):
+    """K3: the messages that a session keeps. A write appends the turn's messages
+    and trims to the newest ``trim``; a session idle for the TTL since its last
+    write is empty; a turn is capped, and writes nothing, when ``cap`` messages
+    are stored. An idle session's state goes by timer at last write + TTL."""
+
+    state_schema = "last long"
 
     def __init__(self, ttl_us: int, cap: int, per_turn: int, trim: int):
         self.ttl_us, self.cap, self.per_turn, self.trim = ttl_us, cap, per_turn, trim
 
-    def run(self, key, pdf, st):
-        last, stored = (st[0], st[1]) if st else (None, 0)
-        capped = []
-        for t in pdf["t"].to_numpy():
-            if stored > 0 and last is not None and t - last >= self.ttl_us:
-                stored = 0
-            if stored >= self.cap:
-                capped.append(True)
-            else:
-                capped.append(False)
-                stored = min(stored + self.per_turn, self.trim)
-                last = int(t)
-        out = pd.DataFrame({"key": key[0], "id": pdf["id"].to_numpy(), "t": pdf["t"].to_numpy(), "flag": capped})
-        return out, (int(last) if last is not None else -1, int(stored))
-
-
-class CacheReplayProcessor(_SortedProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.stored = handle.getListState("stored", "has_id boolean, id long")
+
+    def run(self, ready):
+        last = self.state.get()[0] if self.state.exists() else None
+        kept = [tuple(m) for m in self.stored.get()] if self.stored.exists() else []
+        capped, lists, wrote = [], [], False
+        for t, has_id, id_, _ in ready:
+            if kept and t - last >= self.ttl_us:
+                kept = []
+            capped.append(len(kept) >= self.cap)
+            if not capped[-1]:
+                kept = (kept + [(has_id, id_)] * self.per_turn)[-self.trim:]
+                last, wrote = t, True
+            lists.append([i if h else None for h, i in kept])
+        if wrote:
+            self.state.update((last,))
+            self.stored.put(kept)
+        return {"flag": capped, "kept": lists}
+
+    def ends(self):
+        return self.state.get()[0] + self.ttl_us if self.state.exists() else None
+
+    def forget(self):
+        self.state.clear()
+        self.stored.clear()
+
+
+class CacheReplayProcessor(OrderedProcessor):
     """K6 (exact): a miss sets expiry = t + TTL, a hit never extends it."""
 
     def __init__(self, ttl_us: int):
         self.ttl_us = ttl_us
 
-    def run(self, key, pdf, st):
-        expiry = st[0] if st else -(2 ** 62)
+    def run(self, ready):
+        expiry = self.state.get()[0] if self.state.exists() else -(2 ** 62)
         hits = []
-        for t in pdf["t"].to_numpy():
-            if t >= expiry:
-                hits.append(False)
-                expiry = int(t) + self.ttl_us
-            else:
-                hits.append(True)
-        out = pd.DataFrame({"key": key[0], "id": pdf["id"].to_numpy(), "t": pdf["t"].to_numpy(), "flag": hits})
-        return out, (int(expiry), 0)
+        for t, *_ in ready:
+            hits.append(t < expiry)
+            if not hits[-1]:
+                expiry = t + self.ttl_us
+        self.state.update((expiry,))
+        return {"flag": hits}
 
+    def ends(self):
+        return self.state.get()[0] if self.state.exists() else None
 
-class MissRunProcessor(_SortedProcessor):
-    """K8: consecutive-miss counter, reset on a hit; the run length rides on ``t``'s twin column."""
 
-    def __init__(self, n: int):
-        self.n = n
-
-    def run(self, key, pdf, st):
-        run = st[0] if st else 0
-        runs = []
-        for m in pdf["miss"].to_numpy():
-            run = run + 1 if m else 0
-            runs.append(run)
-        out = pd.DataFrame({"key": key[0], "id": pdf["id"].to_numpy(), "t": pdf["t"].to_numpy(),
-                            "flag": [r >= self.n for r in runs], "run": runs, "miss": pdf["miss"].to_numpy()})
-        return out, (int(run), 0)
-
-
-_OUT = "key long, id long, t long, flag boolean"
+class MissRunProcessor(OrderedProcessor):
+    """K8: consecutive misses, reset by a hit. A key without an open run has no
+    state; with ``forget_us`` an open run ends that long after its last miss."""
 
+    state_schema = "run long, last long"
 
-def _keyed(df: DataFrame, key_col: str, id_col: str, ts_col: str, extra: tuple = ()) -> DataFrame:
-    return df.select(F.col(key_col).alias("key"), F.col(id_col).alias("id"),
-                     F.unix_micros(F.col(ts_col).cast("timestamp")).alias("t"), *extra)
+    def __init__(self, n: int, forget_us: Optional[int] = None):
+        self.n, self.forget_us = n, forget_us
 
-
-def stream_history_state(events: DataFrame, policy: Policy, key_col: str, id_col: str, ts_col: str) -> DataFrame:
-    """K3: capped flag per turn (stream twin of ``session_fold`` with every
-    turn eligible)."""
-    k = _keyed(events, key_col, id_col, ts_col)
-    proc = SessionCapProcessor(policy.session_ttl_seconds * 1_000_000, policy.max_turns_per_session,
-                               policy.messages_per_turn, policy.history_cap)
-    return k.groupBy("key").transformWithStateInPandas(proc, _OUT, "Append", "None")
+    def run(self, ready):
+        run, last = self.state.get() if self.state.exists() else (0, 0)
+        runs = []
+        for t, _, _, miss in ready:
+            if self.forget_us is not None and run and t - last >= self.forget_us:
+                run = 0
+            run, last = (run + 1 if miss else 0), t
+            runs.append(run)
+        if run:
+            self.state.update((run, last))
+        else:
+            self.state.clear()
+        return {"flag": [r >= self.n for r in runs], "run": runs, "miss": [r[3] for r in ready]}
+
+    def ends(self):
+        if self.forget_us is None or not self.state.exists():
+            return None
+        return self.state.get()[1] + self.forget_us
+
+
+def _ordered(events: DataFrame, processor: OrderedProcessor, more: str, key_col: str, id_col: str, ts_col: str,
+             watermark: str, flag: Optional[str] = None) -> DataFrame:
+    """key, id, t (microseconds), flag and further columns of ``processor``.
+    A null key is a key of its own; rows without a time cannot be placed and are
+    left out, as event-time windows leave them out."""
+    key_type = dict(events.dtypes)[key_col]
+    k = (events.withColumn(ts_col, F.col(ts_col).cast("timestamp")).filter(F.col(ts_col).isNotNull())
+         .withWatermark(ts_col, watermark)
+         .select(F.when(F.col(key_col).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(key_col).cast("string"))).alias("gk"),
+                 ts_col, F.unix_micros(ts_col).alias("t"), F.col(id_col).isNotNull().alias("has_id"),
+                 F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")).alias("id"),
+                 (F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(False)).alias("flag")))
+    out = k.groupBy("gk").transformWithStateInPandas(processor, _OUT + more, "Append", "EventTime")
+    rest = [c for c in out.columns if c not in ("gk", "t", "has_id", "id")]
+    return out.select(F.when(F.col("gk") != "-", F.substring("gk", 2, 1 << 30)).cast(key_type).alias("key"),
+                      F.when(F.col("has_id"), F.col("id")).alias("id"), "t", *rest)
+
+
+def stream_history_state(events: DataFrame, policy: Policy, key_col: str, id_col: str, ts_col: str,
+                         watermark: str = "1 hour") -> DataFrame:
+    """K3: key, id, t, flag (capped) and ``kept``: ids of the session's stored
+    messages after the event. With every turn eligible this is the stream twin
+    of ``session_fold``; with a cap above ``history_cap`` it is ``append_history``
+    within the epochs of ``expire_sessions``."""
+    proc = HistoryProcessor(policy.session_ttl_seconds * 1_000_000, policy.max_turns_per_session,
+                            policy.messages_per_turn, policy.history_cap)
+    return _ordered(events, proc, ", kept array<long>", key_col, id_col, ts_col, watermark)
 
 
 def stream_embedding_dedup(requests: DataFrame, ttl_seconds: int, key_col: str, id_col: str,
-                           ts_col: str) -> DataFrame:
+                           ts_col: str, watermark: str = "1 hour") -> DataFrame:
     """K6 (exact): hit/miss per request, stream twin of D6."""
-    k = _keyed(requests, key_col, id_col, ts_col)
-    return k.groupBy("key").transformWithStateInPandas(CacheReplayProcessor(ttl_seconds * 1_000_000), _OUT,
-                                                       "Append", "None")
+    return _ordered(requests, CacheReplayProcessor(ttl_seconds * 1_000_000), "", key_col, id_col, ts_col, watermark)
 
 
-def stream_misses(turns: DataFrame, n: int, key_col: str, id_col: str, ts_col: str, miss_col: str) -> DataFrame:
-    """K8: forced escalation after n consecutive misses, stream twin of J10."""
-    k = _keyed(turns, key_col, id_col, ts_col, (F.col(miss_col).alias("miss"),))
-    return k.groupBy("key").transformWithStateInPandas(MissRunProcessor(n), _OUT + ", run long, miss boolean", "Append", "None")
+def stream_misses(turns: DataFrame, n: int, key_col: str, id_col: str, ts_col: str, miss_col: str,
+                  watermark: str = "1 hour", forget_seconds: Optional[int] = None) -> DataFrame:
+    """K8: forced escalation after n consecutive misses, stream twin of J10; a
+    null ``miss_col`` counts as a hit."""
+    forget = None if forget_seconds is None else forget_seconds * 1_000_000
+    return _ordered(turns, MissRunProcessor(n, forget), ", run long, miss boolean", key_col, id_col, ts_col, watermark,
+                    flag=miss_col)
 
 
 # --------------------------------------------------------------------- K5
-def stream_ingest(docs: DataFrame, sink: str, checkpoint: str,
-                  ingest: Callable[[DataFrame], DataFrame]) -> None:
-    """K5: every micro-batch of new documents is ingested and written to
-    ``sink/batch=<id>`` (overwrite, so a replayed batch is idempotent)."""
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        ingest(batch).write.mode("overwrite").parquet(os.path.join(sink, f"batch={batch_id}"))
-
-    q = (docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
-
-
 def latest_chunks(spark: SparkSession, sink: str, doc_col: str = "doc_id") -> DataFrame:
-    """Read the ingest sink keeping, of each document, the chunks of the newest
-    batch that holds it: a file that has shrunk leaves none of its old chunks."""
+    """Read plain batch folders keeping, of each document, the chunks of the newest
+    batch that holds it: a file that has shrunk leaves none of its old chunks.
+    The chunk store also knows documents that have no chunk any more."""
     df = spark.read.parquet(sink)
     newest = df.groupBy(F.col(doc_col).alias("__doc")).agg(F.max("batch").alias("__newest"))
     cond = df[doc_col].eqNullSafe(newest["__doc"]) & (df["batch"] == newest["__newest"])
