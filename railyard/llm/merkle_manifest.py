@@ -169,7 +169,8 @@ def proofs(leaves: DataFrame, group: str = "lang", order: str = "doc_id", carry:
     ascend by their key, null first, bytewise. An empty table gives no rows.
     """
     kept = [order, *[c for c in carry if c not in (group, order)]]
-    rows = leaves.select(F.col(group).alias("grp"), *kept, F.col("leaf").alias("node"))
+    # written first, as the range sort reads its input twice
+    rows = written(leaves.select(F.col(group).alias("grp"), *kept, F.col("leaf").alias("node")), "merkle-hashed")
     rows = written(numbered(rows, ["grp", order, "node"], "merkle-rows", per="grp"), "merkle-leaves")
     sizes = written(rows.groupBy("grp").agg(F.count("*").alias("leaves")), "merkle-sizes")
     groups = written(numbered(sizes, ["grp"], "merkle-order")
