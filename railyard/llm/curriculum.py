@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, unused, written
 
 #: (weight at the start, weight at the end) per source rank, repeating; the
 #: integral over the run of a linear schedule is the mean: 3, 1, 2.
@@ -103,14 +103,14 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     mix = curriculum_mix(docs, id_col, text_col, source_col, **how)
     whole = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(1.0))
+    own_id, key, copies, at, of, target, copy = unused(docs, "_id", "_key", "_copies", "_at", "_of", "_target", "_copy")
     picks = (mix.withColumn("copies", whole)
-             .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-             .agg(F.ceil(F.avg("copies")).cast("int").alias("_copies"), F.min("position").alias("_at"),
-                  F.min("source_size").alias("_of"), F.min("target").alias("_target"))
-             .filter("_copies > 0"))
-    rows = docs.join(picks, docs[id_col].eqNullSafe(picks["_id"])
-                     & (F.xxhash64(docs[text_col]) == picks["_key"]))
-    copy = F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy")
-    at = F.col("_at") + F.when(F.col("_target") > 0, F.col("_copy") * F.col("_of") / F.col("_target")).otherwise(0.0)
-    return (rows.select(*docs.columns, "_at", "_of", "_target", copy)
-            .sort(at, F.col(id_col)).select(*docs.columns))
+             .groupBy(F.col("doc_id").alias(own_id), F.col("text_key").alias(key))
+             .agg(F.ceil(F.avg("copies")).cast("int").alias(copies), F.min("position").alias(at),
+                  F.min("source_size").alias(of), F.min("target").alias(target))
+             .filter(F.col(copies) > 0))
+    rows = docs.join(picks, docs[id_col].eqNullSafe(picks[own_id])
+                     & (F.xxhash64(docs[text_col]) == picks[key]))
+    nth = F.explode(F.sequence(F.lit(0), F.col(copies) - 1)).alias(copy)
+    place = F.col(at) + F.when(F.col(target) > 0, F.col(copy) * F.col(of) / F.col(target)).otherwise(0.0)
+    return rows.select(*docs.columns, at, of, target, nth).sort(place, F.col(id_col)).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, unused, written
 
 
 def normal_text(text_col: str = "text"):
@@ -76,9 +76,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 runs: int = 64, fan_in: int = 4) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all its columns kept."""
+    own, keep_id, keep_digest = unused(docs, "_digest", "_keep_id", "_keep_digest")
     kept = (exact_dedup(docs, id_col, text_col, runs, fan_in).filter("kept")
-            .select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest")))
-    rows = docs.withColumn("_digest", F.unhex(F.sha2(F.encode(normal_text(text_col), "UTF-8"), 256)))
-    mine = rows.join(kept, rows[id_col].eqNullSafe(kept["_keep_id"])
-                     & (rows["_digest"] == kept["_keep_digest"]), "left_semi")
-    return mine.dropDuplicates([id_col, "_digest"]).drop("_digest")
+            .select(F.col("doc_id").alias(keep_id), F.unhex("text_sha256").alias(keep_digest)))
+    rows = docs.withColumn(own, F.unhex(F.sha2(F.encode(normal_text(text_col), "UTF-8"), 256)))
+    mine = rows.join(kept, rows[id_col].eqNullSafe(kept[keep_id]) & (rows[own] == kept[keep_digest]), "left_semi")
+    return mine.dropDuplicates([id_col, own]).drop(own)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, unused, written
 
 SKETCH_BITS, SLICE_BITS = 20, 14
 LEAF = 8
@@ -512,6 +512,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = found.filter("root is not null").groupBy("root").agg(F.min(key).alias("k")).select("k._id", "k._key")
     empty = found.filter("root is null").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     keep = first.union(empty).distinct()
-    rows = docs.withColumn("_text_key", F.xxhash64(text_col))
-    cond = rows[id_col].eqNullSafe(keep["_id"]) & (rows["_text_key"] == keep["_key"])
-    return rows.join(keep, cond, "left_semi").dropDuplicates([id_col, "_text_key"]).drop("_text_key")
+    own, keep_id, keep_key = unused(docs, "_text_key", "_id", "_key")
+    keep = keep.select(F.col("_id").alias(keep_id), F.col("_key").alias(keep_key))
+    rows = docs.withColumn(own, F.xxhash64(text_col))
+    cond = rows[id_col].eqNullSafe(keep[keep_id]) & (rows[own] == keep[keep_key])
+    return rows.join(keep, cond, "left_semi").dropDuplicates([id_col, own]).drop(own)

@@ -251,7 +251,6 @@ def _cache(path: str) -> ChunkCache:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     return ChunkCache(lambda new: [array("I", e.ids).tobytes()
                                    for e in tok.encode_batch(new, add_special_tokens=False)])
 
@@ -269,8 +268,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
-    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), tie)
+    order = [F.col("doc_id").asc_nulls_first(), tie]  # the hash deals out the rows of one id
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, shard = _cache(tokenizer_path), TaskContext.get().partitionId()

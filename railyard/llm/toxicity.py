@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 #: A general list of insults and second-person words in four languages.
 INSULTS = frozenset("""
@@ -169,12 +169,13 @@ class BoostedTrees:
         return self.base + sum((self._walk(binned, t) for t in self.trees), np.zeros(len(x)))
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing least-squares fit (pool adjacent violators)."""
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the non-decreasing weighted least-squares fit (pool adjacent violators)."""
+    weight = np.ones(len(y)) if weight is None else weight
     order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []  # sum of y, count, lowest score, highest score
-    for s, t in zip(score[order], y[order], strict=True):
-        blocks.append([float(t), 1.0, s, s])
+    blocks: list[list[float]] = []  # weighted sum of y, weight, lowest score, highest score
+    for s, t, w in zip(score[order], y[order], weight[order], strict=True):
+        blocks.append([float(t * w), float(w), s, s])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
@@ -193,7 +194,7 @@ class ToxicModel:
 
     def score(self, texts: list[str], codes: WordCodes) -> np.ndarray:
         x = features(texts, codes, self.weights, self.insult)
-        if self.trees is None:  # too few labels of either kind: the general list alone
+        if self.trees is None:  # too few labels of either kind (see fit): the general list alone
             return 1 - np.exp(-x[:, FEATURES.index("insult_count")])
         margin = self.trees.margin(x)
         # a little of the margin keeps the order inside the flat parts
@@ -213,15 +214,25 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int = 1
     """A model from at most ``max_rows`` labelled documents, chosen by a hash of
     their id among the rows of ``labels`` (doc_id, toxic) that satisfy
     ``may_learn``; null labels and ids are left out, of repeated labels the
-    largest counts.
+    largest counts. Toxic rows may fill half of the sample, the rarer label up to
+    all of its rows; the calibration weighs each row by the labels it stands
+    for, so scores keep the full table's share of toxic documents.
+
+    With fewer than ``least`` labels of either kind, trees and calibration cannot
+    be fitted: a score is then 1 - exp(-hits of the general list).
 
     The lexicon holds the general list and the words and stems whose presence
     is significantly more likely in toxic documents, counted by Spark. Scores of
     three held-out folds feed the calibration, the trees are fitted on all.
     """
-    rows = (labels.filter(may_learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-            .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+    known = (labels.filter(may_learn & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    full = dict(known.groupBy("toxic").count().collect())  # two rows
+    n_bad = min(full.get(1, 0), max(max_rows // 2, max_rows - full.get(0, 0)))
+    rows = None
+    for kind, n in ((1, n_bad), (0, max_rows - n_bad)):
+        part = known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        rows = part if rows is None else rows.union(part)
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = written(text.join(F.broadcast(rows), "doc_id"), "labelled")  # at most max_rows ids
     counts = dict(sample.groupBy("toxic").count().collect())
@@ -260,7 +271,10 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int = 1
     out = np.zeros(len(y))
     for k in range(3):
         out[fold == k] = BoostedTrees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
-    model.trees, model.knots = BoostedTrees().fit(x, y), isotonic(out, y)
+    weight = np.where(y == 1, full[1] / y.sum(), full[0] / (1 - y).sum())
+    shift = float(np.log(full[1] / full[0]) - np.log(y.sum() / (1 - y).sum()))
+    model.trees, model.knots = BoostedTrees().fit(x, y), isotonic(out + shift, y, weight)
+    model.trees.base += shift
     return model
 
 
@@ -295,4 +309,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_co
                text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more."""
     model = fit(docs, labels, may_learn(), id_col=id_col, text_col=text_col, **how)
-    return docs.withColumn("_score", score_column(model, text_col)).filter(F.col("_score") < threshold).drop("_score")
+    score, = unused(docs, "_score")
+    return docs.withColumn(score, score_column(model, text_col)).filter(F.col(score) < threshold).drop(score)
