@@ -13,6 +13,12 @@
   Both sides of a large cell are cut, from counts by cell that are joined on,
   so a task's memory grows with neither rows nor queries.
 * Probing every cell makes the search exact (equal to E3).
+* :func:`ann_topk_pruned` is exact without that: a cell's radius is the widest
+  angle between its centroid and its rows, so by the triangle inequality no row
+  of a cell is nearer to a query than the angle to the centroid less the radius.
+  The query's nearest cells give a k-th distance, and only cells that may beat
+  it are searched. How many that are is the data's doing: few where the rows
+  form clusters, nearly all where they do not.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from railyard.operators.block_topk import QUERY_BLOCK, ROW_BLOCK, block_count, block_topk, dealt, vectors_by_size
 from railyard.operators.search import vector_topk_batch
-from railyard.session import scratch_path
+from railyard.session import materialized, scratch_path
 
 
 #: Queries of the sample by which a build chooses nprobe, neighbours of each, and the
@@ -50,6 +56,8 @@ class IvfIndex:
     dropped: bool = False
     #: Cells to probe, as measured at build time.
     nprobe: int = 1
+    #: Widest angle between a cell's centroid and its rows; -1 for an empty cell.
+    radii: Optional[np.ndarray] = None
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
@@ -71,10 +79,34 @@ def ann_index_build(corpus: DataFrame, ncells: Optional[int] = None, id_col: str
     path = path or scratch_path(spark, "ivf_index")
     out.write.mode("overwrite").partitionBy("cell").parquet(path)
     index = IvfIndex(path, cents, id_col, vec_col, corpus)
+    index.radii = cell_radii(index, spark)
     index.nprobe = measured_nprobe(index, spark)
     return index
 
 
+def cell_radii(index: IvfIndex, spark: SparkSession) -> np.ndarray:
+    """The widest angle of each cell, -1 where a cell has no row."""
+    bc = spark.sparkContext.broadcast(index.centroids)
+
+    def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.full(len(bc.value), -1.0)
+        for batch in batches:
+            cells = batch.column("cell").to_numpy(zero_copy_only=False)
+            for dim, (at, unit) in vectors_by_size(batch.column("vec")).items():
+                if dim == bc.value.shape[1]:
+                    near = np.einsum("ij,ij->i", unit, bc.value[cells[at]])
+                    np.maximum.at(out, cells[at], np.arccos(np.clip(near, -1.0, 1.0)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], ["cell", "angle"])
+
+    rows = index.frame(spark).select("cell", F.col(index.vec_col).alias("vec"))
+    found = (rows.mapInArrow(widest, "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("angle"))
+             .collect())  # a row per cell
+    out = np.full(len(index.centroids), -1.0)
+    for r in found:
+        out[r["cell"]] = r["angle"]
+    return out
+
+
 def measured_nprobe(index: IvfIndex, spark: SparkSession, sample: int = SAMPLE, k: int = SAMPLE_K,
                     recall: float = RECALL) -> int:
     """The least number of cells that holds ``recall`` of the exact ``k`` nearest
@@ -115,20 +147,21 @@ def ann_index_open_or_build(corpus: DataFrame, snapshot: str, ncells: Optional[i
 
     from railyard.session import ensure_checkpoint_dir
     spark = corpus.sparkSession
-    key = hashlib.sha1(f"{snapshot}|{ncells}|{seed}|{id_col}|{vec_col}|{SAMPLE}|{SAMPLE_K}|{RECALL}".encode()).hexdigest()[:16]
+    key = hashlib.sha1(f"{snapshot}|{ncells}|{seed}|{id_col}|{vec_col}|{SAMPLE}|{SAMPLE_K}|{RECALL}|radii".encode()).hexdigest()[:16]
     base = os.path.join(ensure_checkpoint_dir(spark), f"ivf-{key}")
     rows_path, cent_path = os.path.join(base, "rows"), os.path.join(base, "centroids")
     try:
         c = spark.read.parquet(cent_path).orderBy("cell").collect()
         cents = np.asarray([r["centroid"] for r in c], dtype=np.float64)
         if len(cents):
-            return IvfIndex(rows_path, cents, id_col, vec_col, corpus, nprobe=c[0]["nprobe"])
+            return IvfIndex(rows_path, cents, id_col, vec_col, corpus, nprobe=c[0]["nprobe"],
+                            radii=np.asarray([r["radius"] for r in c], dtype=np.float64))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":  # else it is not built yet
             raise
     idx = ann_index_build(corpus, ncells, id_col, vec_col, seed=seed, path=rows_path)
-    spark.createDataFrame([(i, [float(x) for x in v], idx.nprobe) for i, v in enumerate(idx.centroids)],
-                          "cell int, centroid array<double>, nprobe int").write.mode("overwrite").parquet(cent_path)
+    spark.createDataFrame([(i, [float(x) for x in v], idx.nprobe, float(idx.radii[i])) for i, v in enumerate(idx.centroids)],
+                          "cell int, centroid array<double>, nprobe int, radius double").write.mode("overwrite").parquet(cent_path)
     return idx
 
 
@@ -156,6 +189,80 @@ def _probe_fn(bc, nprobe: int):
     return probe
 
 
+def _beating_fn(bc, bc_radii, first: int):
+    """(cell, query_id, vec) of the cells beyond a query's ``first`` nearest that
+    may hold a row nearer than the query's ``bound``; all of them if it is null."""
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cents, radii = bc.value, bc_radii.value
+        step = max(1, min(2_048, 65_536 // len(cents)))
+        for batch in batches:
+            for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
+                at, unit = vectors_by_size(part.column("vec")).get(cents.shape[1], (np.zeros(0, np.int64), None))
+                if not len(at):
+                    continue
+                cos = unit @ cents.T
+                bound = part.column("bound").to_numpy(zero_copy_only=False)[at]
+                reach = np.where(np.isnan(bound), np.inf, np.arccos(np.clip(1.0 - bound, -1.0, 1.0)) + 1e-6)
+                ok = (np.arccos(np.clip(cos, -1.0, 1.0)) - radii <= reach[:, None]) & (radii >= 0)
+                seen = np.argsort(1.0 - cos, axis=1, kind="stable")[:, :first]
+                ok[np.arange(len(at))[:, None], seen] = False
+                line, cell = np.nonzero(ok)
+                rows = pa.array(at[line])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell.astype(np.int32)), part.column("query_id").take(rows), part.column("vec").take(rows)],
+                    ["cell", "query_id", "vec"])
+    return probe
+
+
+def _met(index: IvfIndex, rows: DataFrame, probes: DataFrame, k: int, query_block: int, row_block: int) -> DataFrame:
+    """Top-k between the probing queries and the rows of each cell."""
+    n_c = rows.groupBy("cell").agg(block_count(F.count(F.lit(1)), row_block).alias("n_c"))
+    n_q = probes.groupBy("cell").agg(block_count(F.count(F.lit(1)), query_block).alias("n_q"))
+    blocks = F.broadcast(n_c.join(n_q, "cell"))  # a row per cell
+    q_side = dealt(probes.join(blocks, "cell"), ["query_id", "vec"], F.col("n_q"), F.col("n_c"))
+    c_side = dealt(rows.join(blocks, "cell"), ["id", "vec"], F.col("n_c"), F.col("n_q"))
+    return block_topk(q_side, c_side, k, query_block=query_block)
+
+
+def _sides(index: IvfIndex, queries: DataFrame, query_id: str, query_vec: str) -> tuple[DataFrame, DataFrame]:
+    rows = index.frame(queries.sparkSession).select("cell", F.col(index.id_col).alias("id"), F.col(index.vec_col).alias("vec"))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec"))
+    if rows.schema["vec"].dataType != asked.schema["vec"].dataType:
+        rows, asked = (d.withColumn("vec", F.col("vec").cast("array<double>")) for d in (rows, asked))
+    return rows, asked
+
+
+def ann_topk_pruned(index: IvfIndex, queries: DataFrame, k: int = 5, first: int = 2, *, query_id: str = "query_id",
+                    query_vec: str = "embedding", query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK,
+                    report: bool = False) -> DataFrame:
+    """E6, exact: the top-k of the ``first`` nearest cells bounds the rest, and
+    cells that cannot beat it are left out. Rows of other lengths than the
+    index's vectors, or without a direction, are no candidates.
+
+    With ``report``, one row per query instead: query_id and the number of
+    index rows its cells hold (``n_visited``) out of ``n_rows``."""
+    spark = queries.sparkSession
+    if index.dropped:
+        return vector_topk_batch(index.flat, queries, k, id_col=index.id_col, vec_col=index.vec_col,
+                                 query_id=query_id, query_vec=query_vec)
+    rows, asked = _sides(index, queries, query_id, query_vec)
+    cents, radii = (spark.sparkContext.broadcast(x) for x in (index.centroids, index.radii))
+    schema = T.StructType([T.StructField("cell", T.IntegerType()), *asked.schema.fields])
+    near = asked.mapInArrow(_probe_fn(cents, first), schema)
+    hits = materialized(_met(index, rows, near, k, query_block, row_block), "ann-first")
+    bound = hits.filter(F.col("rank") == k).select(F.col("query_id").alias("__q"), F.col("distance").alias("bound"))
+    bounded = asked.join(bound, asked["query_id"] == bound["__q"], "left").drop("__q")
+    far = materialized(bounded.mapInArrow(_beating_fn(cents, radii, first), schema), "ann-far")
+    if report:
+        size = rows.groupBy("cell").agg(F.count("*").alias("n"))
+        total = size.agg(F.sum("n")).first()[0] or 0
+        return (near.union(far).join(F.broadcast(size), "cell").groupBy("query_id")  # a row per cell
+                .agg(F.sum("n").alias("n_visited")).withColumn("n_rows", F.lit(total)))
+    both = hits.drop("rank").union(_met(index, rows, far, k, query_block, row_block).drop("rank"))
+    w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("id").asc())
+    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def ann_topk(index: IvfIndex, queries: DataFrame, k: int = 5, nprobe: Optional[int] = None, *, query_id: str = "query_id",
              query_vec: str = "embedding", query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """Approximate top-k, by the index's own ``nprobe`` if none is given (exact
@@ -164,18 +271,10 @@ def ann_topk(index: IvfIndex, queries: DataFrame, k: int = 5, nprobe: Optional[i
     if index.dropped:
         return vector_topk_batch(index.flat, queries, k, id_col=index.id_col, vec_col=index.vec_col,
                                  query_id=query_id, query_vec=query_vec)
-    rows = index.frame(spark).select("cell", F.col(index.id_col).alias("id"), F.col(index.vec_col).alias("vec"))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec"))
-    if rows.schema["vec"].dataType != asked.schema["vec"].dataType:
-        rows, asked = (d.withColumn("vec", F.col("vec").cast("array<double>")) for d in (rows, asked))
+    rows, asked = _sides(index, queries, query_id, query_vec)
     probes = asked.mapInArrow(_probe_fn(spark.sparkContext.broadcast(index.centroids), nprobe or index.nprobe), T.StructType(
         [T.StructField("cell", T.IntegerType()), *asked.schema.fields]))
-    n_c = rows.groupBy("cell").agg(block_count(F.count(F.lit(1)), row_block).alias("n_c"))
-    n_q = probes.groupBy("cell").agg(block_count(F.count(F.lit(1)), query_block).alias("n_q"))
-    blocks = F.broadcast(n_c.join(n_q, "cell"))  # a row per cell
-    q_side = dealt(probes.join(blocks, "cell"), ["query_id", "vec"], F.col("n_q"), F.col("n_c"))
-    c_side = dealt(rows.join(blocks, "cell"), ["id", "vec"], F.col("n_c"), F.col("n_q"))
-    return block_topk(q_side, c_side, k, query_block=query_block)
+    return _met(index, rows, probes, k, query_block, row_block)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from railyard.functions.scan import previous, running
 from railyard.functions.text import normalize_for_embedding
+from railyard.session import materialized
 
 Encoder = Callable[[pd.Series], list]
 
@@ -75,21 +76,19 @@ def embedding_cache_lookup(texts: DataFrame, cache: DataFrame, model: str, text_
     embedded and returned as new cache entries.
 
     Returns ``(result, new_entries)``; ``result`` keeps every input row and
-    adds ``text_sha``, ``embedding`` and ``cache_hit``.
+    adds ``text_sha``, ``embedding`` and ``cache_hit``. Each distinct missing
+    text is embedded once; its vectors are materialised, the texts are not.
     """
-    t = texts.withColumn("text_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    c = (cache.filter(F.col("model") == F.lit(model))
-         .select("text_sha", F.col("embedding").alias("__cached"))
-         .dropDuplicates(["text_sha"]))
-    j = t.join(c, "text_sha", "left")
-    hits = j.filter(F.col("__cached").isNotNull()).withColumnRenamed("__cached", "embedding") \
-        .withColumn("cache_hit", F.lit(True))
-    misses = embed_batch(j.filter(F.col("__cached").isNull()).drop("__cached"), text_col, encoder, dim) \
-        .withColumn("cache_hit", F.lit(False))
-    result = hits.unionByName(misses)
-    new_entries = (misses.select(F.lit(model).alias("model"), "text_sha", "embedding")
-                   .dropDuplicates(["text_sha"])
-                   .withColumn("set_at", now if now is not None else F.current_timestamp()))
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    held = (cache.filter((F.col("model") == F.lit(model)) & F.col("embedding").isNotNull())
+            .select("text_sha", "embedding").dropDuplicates(["text_sha"]))
+    missing = (texts.select(sha.alias("text_sha"), F.col(text_col).alias("__text")).dropDuplicates(["text_sha"])
+               .join(held.select("text_sha"), "text_sha", "left_anti"))
+    made = materialized(embed_batch(missing, "__text", encoder, dim).select("text_sha", "embedding"), "embedded")
+    known = held.withColumn("cache_hit", F.lit(True)).union(made.withColumn("cache_hit", F.lit(False)))
+    result = texts.withColumn("text_sha", sha).join(known, "text_sha")
+    new_entries = made.select(F.lit(model).alias("model"), "text_sha", "embedding").withColumn(
+        "set_at", now if now is not None else F.current_timestamp())
     return result, new_entries
 
 

@@ -40,11 +40,20 @@ def assemble_prompt(df: DataFrame, question: str = "question", context: str = "c
         msg("assistant", F.concat(F.lit(context_head + "\n"), F.coalesce(F.col(context), F.lit("[]"))))))
 
 
-def turn_wide_event(routed: DataFrame, survivors: DataFrame, turn_col: str = "turn_id") -> DataFrame:
+def turn_wide_event(routed: DataFrame, survivors: DataFrame, turn_col: str = "turn_id",
+                    times: DataFrame | None = None) -> DataFrame:
     """L1: one row per turn with outcome, gate distance, survivors,
-    citations and generation count (2 when a grounding retry happened)."""
+    citations and generation count (2 when a grounding retry happened).
+
+    ``times`` (``turn_col, started_at, finished_at``) adds ``duration_ms``, null
+    for a turn that it does not hold or that has not finished."""
     n_surv = survivors.groupBy(turn_col).agg(F.count("*").alias("retrieval_survivors"))
     out = routed.join(n_surv, turn_col, "left")
+    extra = []
+    if times is not None:
+        us = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("finished_at", "started_at")]
+        out = out.join(times.select(turn_col, F.floor((us[0] - us[1]) / 1000).alias("duration_ms")), turn_col, "left")
+        extra = ["duration_ms"]
     retried = F.col("agent_outcome") == "ungrounded_after_retry"
     return out.select(
         turn_col, "session_id", "turn", F.coalesce("refused_reason", F.lit("answered")).alias("outcome"),
@@ -53,7 +62,7 @@ def turn_wide_event(routed: DataFrame, survivors: DataFrame, turn_col: str = "tu
         F.size("citations").cast("long").alias("citations"), retried.alias("retried"),
         F.when(F.coalesce(F.col("refused_reason"), F.lit("")).rlike("^(input_guard|conversation_guard|relevance_gate)"),
                F.lit(0))
-        .when(retried, F.lit(2)).otherwise(F.lit(1)).cast("long").alias("generations"))
+        .when(retried, F.lit(2)).otherwise(F.lit(1)).cast("long").alias("generations"), *extra)
 
 
 def outcome_funnel(events: DataFrame, outcome_col: str = "outcome") -> DataFrame:

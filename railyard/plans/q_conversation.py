@@ -28,8 +28,9 @@ from railyard.plans.q_search import topk_all, sql_topk
 from railyard.plans.registry import register
 from railyard.operators.search import vector_topk_batch
 from railyard.plans.retrieval import retrieve_knowledge
-from railyard.plans.route import route_turns, surviving_chunks
+from railyard.plans.route import agent_hits, route_turns, surviving_chunks
 from railyard.policy import DEFAULT_POLICY
+from railyard.session import materialized
 from railyard.sources.tables import table
 
 CAP, TRIM, LINES = 5, 5, 3
@@ -339,6 +340,30 @@ def q_route_turns(spark, sf):
     return route_flat(routed(spark, sf))
 
 
+SQL_ROUTE_CALLS = SQL_ROUTE.replace("FROM tq JOIN embeddings e ON tq.qv IS NOT NULL) WHERE rank", """
+    FROM (SELECT tv.turn_id, CASE WHEN (tv.conv_id + tv.turn) % 3 = 0 THEN e.embedding ELSE list_reverse(e.embedding) END AS qv
+          FROM tv LEFT JOIN embeddings e ON e.vec_id = tv.vec_id) tq
+    JOIN embeddings e ON tq.qv IS NOT NULL) WHERE rank""")
+
+
+@register("route_turns_calls", sql=SQL_ROUTE_CALLS)
+def q_route_turns_calls(spark, sf):
+    """J13 with the agent's own searches: the gate goes by the turn's vector, the
+    citations by the last call, which every third turn makes with another vector."""
+    turns, e, d = turn_frame(spark, sf), table(spark, sf, "embeddings"), table(spark, sf, "documents")
+    first = turns.select("turn_id", F.lit(1).alias("call_no"), "embedding")
+    again = turns.filter((F.col("session_id") + F.col("turn")) % 3 == 0).select(
+        "turn_id", F.lit(2).alias("call_no"), F.reverse("embedding").alias("embedding"))
+    calls = materialized(first.union(again), "calls")
+    q = turns.select(F.col("turn_id").alias("query_id"))
+    hits = agent_hits(calls, e, max(RP.top_k, 1), "vec_id")
+    guarded = retrieve_knowledge(q, e, RP, id_col="vec_id", payload=d, payload_id="doc_id", content="text",
+                                 filename="source", file_type="lang", hits=hits, materialize=True)
+    answers = turn_answers(spark, sf, surviving_chunks(guarded))
+    return route_flat(route_turns(turns, answers, e, RP, calls=calls, id_col="vec_id", payload=d, payload_id="doc_id",
+                                  content="text", filename="source", file_type="lang"))
+
+
 @register("escalate_on_refusal", sql=f"""
 WITH RECURSIVE {SQL_ROUTE_CTES}
 SELECT conv_id, turn, gate_refused, gate_refused AND {SQL_MENTIONS.replace('text', 'message')} AS escalate FROM rt""")

@@ -58,13 +58,18 @@ SELECT rt.turn_id, rt.conv_id AS session_id, rt.turn, coalesce(refused_reason, '
        CASE WHEN refused_reason IS NULL THEN n_kept ELSE 0 END AS citations,
        agent_eff = 'ungrounded_after_retry' AS retried,
        CASE WHEN regexp_matches(coalesce(refused_reason, ''), '^(input_guard|conversation_guard|relevance_gate)') THEN 0
-            WHEN agent_eff = 'ungrounded_after_retry' THEN 2 ELSE 1 END AS generations
+            WHEN agent_eff = 'ungrounded_after_retry' THEN 2 ELSE 1 END AS generations,
+       (250 + (rt.conv_id % 5) * 700)::BIGINT AS duration_ms
 FROM rt LEFT JOIN ns USING (turn_id))"""
 
 
 def wide(spark, sf):
+    """A turn ends 250 ms after it came, and 700 ms later for each fifth of its conversation's number."""
     r, retrieved, _ = routed_with_retrieval(spark, sf)
-    return R.turn_wide_event(r, retrieved)
+    t = turn_frame(spark, sf)
+    ms = 250 + F.pmod(F.col("session_id"), F.lit(5)) * 700
+    end = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + ms * 1000)
+    return R.turn_wide_event(r, retrieved, times=t.select("turn_id", F.col("ts").alias("started_at"), end.alias("finished_at")))
 
 
 @register("turn_wide_event", sql=_L1_SQL + " SELECT * FROM l1")

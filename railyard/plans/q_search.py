@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from railyard.functions.vectors import cosine_distance
 from railyard.operators import gate as G
 from railyard.operators import search as S
 from railyard.plans.registry import register
@@ -186,10 +187,11 @@ def q_ann_index_build(spark, sf):
         "vec_id", "cell")
 
 
-def _ann(spark, sf, all_cells=False):
-    from railyard.operators.ann import ann_topk
+def _ann(spark, sf, all_cells=False, pruned=False):
+    from railyard.operators.ann import ann_topk, ann_topk_pruned
     index = ivf(spark, sf)
-    a = ann_topk(index, emb_queries(spark, sf), 6, len(index.centroids) if all_cells else None)
+    a = (ann_topk_pruned(index, emb_queries(spark, sf), 6) if pruned
+         else ann_topk(index, emb_queries(spark, sf), 6, len(index.centroids) if all_cells else None))
     # drop the self match, then keep 5 (the exact search excludes self)
     a = a.filter(F.col("query_id") != F.col("id")).drop("rank")
     from pyspark.sql import Window
@@ -210,6 +212,30 @@ def q_ann_topk_all_cells(spark, sf):
     return _ann(spark, sf, all_cells=True)
 
 
+@register("ann_topk_pruned", sql=f"""
+SELECT query_id, id, round(distance, 6) AS distance, rank FROM ({sql_topk(5)})""")
+def q_ann_topk_pruned(spark, sf):
+    """E6 with exact bounds from cell radii: equals the exact search."""
+    return _ann(spark, sf, pruned=True)
+
+
+@register("ann_distances", sql="""
+SELECT vec_id AS query_id, 5 AS n_hits, 0 AS n_wrong_distance, 0 AS n_out_of_order FROM embeddings""")
+def q_ann_distances(spark, sf):
+    """Hits of the approximate search per query, those whose distance is not
+    that of their vectors, and those nearer than the hit before them."""
+    e = table(spark, sf, "embeddings")
+    hits = _ann(spark, sf)
+    a, b = (e.select(F.col("vec_id").alias(i), F.col("embedding").alias(v)) for i, v in (("query_id", "__a"), ("id", "__b")))
+    full = hits.join(a, "query_id").join(b, "id")
+    wrong = F.abs(F.col("distance") - cosine_distance("__a", "__b")) > 1e-9
+    by_rank = F.array_sort(F.collect_list(F.struct("rank", "distance")))  # at most 5
+    out = full.groupBy("query_id").agg(F.count("*").alias("n_hits"), F.count(F.when(wrong, 1)).alias("n_wrong_distance"),
+                                       by_rank.alias("r"))
+    return out.withColumn("n_out_of_order", F.expr(
+        "size(filter(sequence(1, size(r)), i -> i > 1 AND element_at(r, i).distance < element_at(r, i - 1).distance))")).drop("r")
+
+
 @register("ann_recall")
 def q_ann_recall(spark, sf):
     """recall@5 of the IVF search against the exact search."""

@@ -250,6 +250,48 @@ def q_embed_batch(spark, sf):
     return e.select("doc_id", F.size("embedding").cast("long").alias("dim"), nrm.alias("norm"))
 
 
+def _letter_encoder():
+    """A user encoder that SQL can follow: length and vowels of a text."""
+    def encode(texts):
+        return [[float(len(t)), *[float(t.count(c)) for c in "aeiou"]] for t in texts]
+    return encode
+
+
+def _letters_sql(text: str) -> str:
+    return ", ".join([f"length({text}) AS e0"] + [f"length({text}) - length(replace({text}, '{c}', '')) AS e{i}"
+                                                  for i, c in enumerate("aeiou", 1)])
+
+
+def _components():
+    return [F.col("embedding")[i].cast("long").alias(f"e{i}") for i in range(6)]
+
+
+@register("embed_batch_encoder", sql=f"SELECT doc_id, {_letters_sql('t')} FROM "
+          "(SELECT doc_id, replace(coalesce(text, ''), chr(10), ' ') AS t FROM documents)")
+def q_embed_batch_encoder(spark, sf):
+    """D1 with a user encoder: the whole vector of every document."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return D.embed_batch(d, "text", _letter_encoder()).select("doc_id", *_components())
+
+
+@register("embedding_cache_vectors", sql=f"""
+WITH c AS (SELECT DISTINCT sha256(text) AS s FROM documents WHERE doc_id % 3 = 0)
+SELECT doc_id, c.s IS NOT NULL AS cache_hit, {', '.join(f"CASE WHEN c.s IS NULL THEN e{i} ELSE -e{i} END AS e{i}" for i in range(6))}
+FROM (SELECT doc_id, text, {_letters_sql('t')} FROM
+      (SELECT doc_id, text, replace(coalesce(text, ''), chr(10), ' ') AS t FROM documents)) d
+LEFT JOIN c ON c.s = sha256(d.text)""")
+def q_cache_vectors(spark, sf):
+    """The vectors of hits and misses; those in the cache are negated, so it
+    shows where each came from."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    seed = D.embed_batch(d.filter(F.col("doc_id") % 3 == 0), "text", _letter_encoder()).select(
+        F.lit("letters").alias("model"), F.sha2("text", 256).alias("text_sha"),
+        F.transform("embedding", lambda x: -x).alias("embedding"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("set_at"))
+    res, _new = D.embedding_cache_lookup(d, seed, "letters", "text", _letter_encoder())
+    return res.select("doc_id", "cache_hit", *_components())
+
+
 @register("embedding_cache_lookup", sql="""
 SELECT doc_id, sha256(text) AS text_sha,
        sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) AS cache_hit

@@ -21,6 +21,7 @@ from railyard.operators import output_guards as OG
 from railyard.operators.conversation import force_escalation, session_fold
 from railyard.operators.gate import gate_from_hits
 from railyard.operators.search import vector_topk_batch
+from railyard.operators.retrieval_guards import latest_retrieval
 from railyard.operators.input_guards import evaluate_input, mentions_human, refusal_message
 from railyard.plans.retrieval import retrieve_knowledge
 from railyard.policy import DEFAULT_POLICY, Policy
@@ -34,8 +35,17 @@ def surviving_chunks(guarded: DataFrame) -> DataFrame:
         F.col("c.distance").alias("distance"))
 
 
+def agent_hits(calls: DataFrame, corpus: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """Top-k hits of the last retrieval call of each turn; earlier calls are
+    replaced by it and not searched at all."""
+    last = latest_retrieval(calls).select(F.col("turn_id").alias("query_id"), F.col("embedding").alias("__qv"))
+    return vector_topk_batch(corpus, last, k, id_col=id_col, vec_col=vec_col, query_id="query_id", query_vec="__qv",
+                             materialize=True)
+
+
 def route_turns(turns: DataFrame, answers: DataFrame, corpus: DataFrame, policy: Policy = DEFAULT_POLICY, *,
                 hits: Optional[DataFrame] = None, guarded: Optional[DataFrame] = None,
+                calls: Optional[DataFrame] = None,
                 id_col: str = "id", vec_col: str = "embedding",
                 payload: Optional[DataFrame] = None, payload_id: Optional[str] = None,
                 content: str = "content", filename: str = "filename", file_type: str = "file_type") -> DataFrame:
@@ -45,10 +55,12 @@ def route_turns(turns: DataFrame, answers: DataFrame, corpus: DataFrame, policy:
     ``answers``: ``turn_id, answer, citations array<struct<chunk_id,source,score>>,
     enough_context, needs_human, agent_status`` ("ok" or one of
     ``AGENT_FAILURES``).  ``hits``: the unfiltered top-k search of the turn
-    vectors (``query_id = turn_id``); the gate reads its rank-1 distance and
-    the retrieval guards its rows, so one search serves both.  ``guarded``:
-    the retrieval-guard result per turn (``query_id, chunks``); computed with
-    :func:`retrieve_knowledge` when not given.
+    vectors (``query_id = turn_id``), for the gate: its rank-1 distance counts.
+    ``calls``: the searches the agent made on its own, ``turn_id, call_no,
+    embedding``; only a turn's last call is searched, and its result is what the
+    answer may cite.  Without ``calls`` the retrieval guards read ``hits``, so
+    one search serves both.  ``guarded``: the retrieval-guard result per turn
+    (``query_id, chunks``); computed with :func:`retrieve_knowledge` when not given.
     """
     msgs = policy.messages
     t = evaluate_input(turns, "message", policy)
@@ -59,6 +71,9 @@ def route_turns(turns: DataFrame, answers: DataFrame, corpus: DataFrame, policy:
                                  query_id="query_id", query_vec="__qv", materialize=True)
     gate = gate_from_hits(ok_q, hits, policy).withColumnRenamed("query_id", "turn_id")
     if guarded is None:
+        if calls is not None:
+            hits = agent_hits(calls.join(ok_q.select(F.col("query_id").alias("turn_id")), "turn_id", "left_semi"), corpus,
+                              max(policy.top_k, 1), id_col, vec_col)
         guarded = retrieve_knowledge(ok_q, corpus, policy, id_col=id_col, vec_col=vec_col, payload=payload,
                                      payload_id=payload_id, content=content, filename=filename,
                                      file_type=file_type, hits=hits)

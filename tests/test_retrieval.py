@@ -279,3 +279,43 @@ def test_stream_window_drops_late_rows(spark, tmp_path):
         return sum((o["numRowsDroppedByWatermark"] if isinstance(o, dict) else o.numRowsDroppedByWatermark)
                    for o in (ops or []))
     assert sum(drops(p) for p in q.recentProgress) >= 1
+
+
+def _clustered(spark, n, dim=16, centres=40, seed=3):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centres, dim))
+    x = c[rng.integers(centres, size=n)] + rng.normal(scale=0.05, size=(n, dim))
+    return x, spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<double>")
+
+
+def test_pruned_search_is_exact_and_visits_little_of_clusters(spark):
+    from railyard.operators.ann import ann_index_build, ann_topk_pruned
+    x, corpus = _clustered(spark, 3000)
+    index = ann_index_build(corpus)
+    asked = corpus.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    got = {}
+    for r in ann_topk_pruned(index, asked, 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 3000, 20):
+        assert got[q] == list(np.argsort(1 - unit @ unit[q], kind="stable")[:10])
+    report = ann_topk_pruned(index, asked, 10, report=True).collect()
+    assert len(report) == 150 and {r["n_rows"] for r in report} == {3000}
+    assert np.mean([r["n_visited"] / 3000 for r in report]) < 0.2
+
+
+def test_pruned_search_of_unclustered_and_odd_rows(spark):
+    from railyard.operators.ann import ann_index_build, ann_topk_pruned
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 6))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, [0.0] * 6), (901, None), (902, [1.0, 2.0])]
+    corpus = spark.createDataFrame(rows, "id long, embedding array<double>")
+    index = ann_index_build(corpus.filter("id < 902"), ncells=12)
+    asked = corpus.select(F.col("id").alias("query_id"), "embedding")
+    got = {}
+    for r in ann_topk_pruned(index, asked, 300, first=1).orderBy("query_id", "rank").collect():  # more than two cells hold
+        got.setdefault(r["query_id"], []).append(r["id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert set(got) == set(range(400))
+    for q in range(400):
+        assert [i for i in got[q] if i < 400][:300] == list(np.argsort(1 - unit @ unit[q], kind="stable")[:300])
