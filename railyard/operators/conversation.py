@@ -83,9 +83,10 @@ def load_history(messages: DataFrame, now: str, policy: Policy = DEFAULT_POLICY,
 def append_history(current: DataFrame, new: DataFrame, cap: int, session_col: str = "session_id",
                    turn_col: str = "turn") -> DataFrame:
     """Concatenate and keep the ``cap`` most recent messages per session.
-    Sessions without new messages are untouched (no refresh)."""
+    Sessions without new messages are untouched (no refresh). Messages of one
+    turn go by a hash of their columns, so reruns agree."""
     both = current.unionByName(new, allowMissingColumns=True)
-    w = _session_window(session_col, turn_col, desc=True)
+    w = Window.partitionBy(session_col).orderBy(F.col(turn_col).desc(), F.xxhash64(*both.columns))
     return both.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= cap).drop("__rn")
 
 

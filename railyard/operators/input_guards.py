@@ -3,13 +3,16 @@
 Order: length -> language -> pii -> jailbreak -> profanity.  The verdict is a
 single ``CASE WHEN`` chain, so for a row refused by an early guard the later
 regexes are never evaluated, and no guard needs a join or a Python UDF.
-Patterns are literals; Catalyst compiles each one once per task.
+Patterns are literals; Catalyst compiles each one once per task. Where a cheap
+condition tells that a pattern cannot match (``functions.regex_gate``), it is not
+run at all.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from railyard.functions.regex_gate import has_digit, lowered, may_match
 from railyard.functions.text import quoted_list, ustrip, ws_tokens
 from railyard.policy import DEFAULT_POLICY, ESCALATION_KEYWORDS, PROFANITY_STRIP_CHARS, Policy
 
@@ -46,20 +49,23 @@ def language_check(lang, policy: Policy = DEFAULT_POLICY):
                                      F.coalesce(_c(lang), F.lit("unknown"))))
 
 
-def pii_label(msg, policy: Policy = DEFAULT_POLICY) -> Column:
-    """first matching PII label in policy order, else null."""
+def pii_label(msg, policy: Policy = DEFAULT_POLICY, digit: Column | None = None) -> Column:
+    """first matching PII label in policy order, else null. ``digit``: whether
+    the message holds a digit, if that is known."""
     if not policy.block_pii_in_input:
         return F.lit(None).cast("string")
     m = _c(msg)
-    return F.coalesce(*[F.when(m.rlike(java_pii(p)), F.lit(label)) for label, p in policy.pii_patterns])
+    return F.coalesce(*[F.when(may_match(p, m, digit=digit) & m.rlike(java_pii(p)), F.lit(label))
+                        for label, p in policy.pii_patterns])
 
 
-def jailbreak_index(msg, policy: Policy = DEFAULT_POLICY) -> Column:
-    """1-based index of the first matching injection pattern, else null."""
+def jailbreak_index(msg, policy: Policy = DEFAULT_POLICY, low: Column | None = None) -> Column:
+    """1-based index of the first matching injection pattern, else null.
+    ``low``: the message as :func:`lowered` gives it, if that is at hand."""
     if not policy.block_jailbreak_attempts:
         return F.lit(None).cast("int")
     m = _c(msg)
-    return F.coalesce(*[F.when(m.rlike(java_jailbreak(p)), F.lit(i + 1))
+    return F.coalesce(*[F.when(may_match(p, low=low) & m.rlike(java_jailbreak(p)), F.lit(i + 1))
                         for i, p in enumerate(policy.jailbreak_patterns)])
 
 
@@ -84,13 +90,24 @@ def evaluate_input(df: DataFrame, msg: str = "message", policy: Policy = DEFAULT
     """first refusal wins, else first flag, else clean allow.
 
     Adds ``{prefix}allowed, {prefix}category, {prefix}reason, {prefix}flagged``.
+    Each finding is a column of its own, made only for rows that no earlier guard
+    refuses, so no pattern runs twice on a row.
     """
-    m = F.coalesce(F.col(msg), F.lit(""))
+    t = {k: f"__{prefix}{k}" for k in ("msg", "low", "digit", "len", "lang", "pii", "jb", "hits", "decision")}
+    m = F.col(t["msg"])
     len_bad, len_reason = length_check(m, policy)
     lang_bad, lang_reason = language_check(F.col(lang) if lang else None, policy)
-    pii = pii_label(m, policy)
-    jb = jailbreak_index(m, policy)
-    hits = profanity_hits(m, policy)
+    df = df.withColumn(t["msg"], F.coalesce(F.col(msg), F.lit("")))
+    df = df.withColumns({t["len"]: len_reason, t["lang"]: lang_reason, t["low"]: lowered(m), t["digit"]: has_digit(m)})
+    len_reason, lang_reason = F.col(t["len"]), F.col(t["lang"])
+    open_ = len_reason.isNull() & lang_reason.isNull()
+    df = df.withColumn(t["pii"], F.when(open_, pii_label(m, policy, F.col(t["digit"]))))
+    pii = F.col(t["pii"])
+    df = df.withColumn(t["jb"], F.when(open_ & pii.isNull(), jailbreak_index(m, policy, F.col(t["low"]))))
+    jb = F.col(t["jb"])
+    df = df.withColumn(t["hits"], F.when(open_ & pii.isNull() & jb.isNull(), profanity_hits(m, policy)))
+    hits = F.col(t["hits"])
+    len_bad, lang_bad = len_reason.isNotNull(), lang_reason.isNotNull()
 
     def dec(allowed, cat, reason, flagged):
         return F.struct(F.lit(allowed).alias("allowed"), F.lit(cat).cast("string").alias("category")
@@ -104,10 +121,9 @@ def evaluate_input(df: DataFrame, msg: str = "message", policy: Policy = DEFAULT
                 .when(F.size(hits) > 0, dec(True, "profanity",
                                             F.concat(F.lit("profanity tokens flagged: "), quoted_list(hits)), True))
                 .otherwise(dec(True, None, F.lit(None), False)))
-    tmp = f"__{prefix}decision"
-    return (df.withColumn(tmp, decision)
-            .withColumns({f"{prefix}{k}": F.col(f"{tmp}.{k}") for k in ("allowed", "category", "reason", "flagged")})
-            .drop(tmp))
+    return (df.withColumn(t["decision"], decision)
+            .withColumns({f"{prefix}{k}": F.col(f"{t['decision']}.{k}") for k in ("allowed", "category", "reason", "flagged")})
+            .drop(*t.values()))
 
 
 def refusal_message(allowed: Column, category: Column, reason: Column,

@@ -106,9 +106,11 @@ def retry_instruction(df: DataFrame, retrieved_count: str = "n_retrieved") -> Da
 
 def backfill_citations(answers: DataFrame, retrieved: DataFrame, turn_col: str = "turn_id") -> DataFrame:
     """I8: citation source = chunk filename, score = distance; unknown ids
-    are left unchanged.  Retrieved rows are deduplicated per (turn, chunk)."""
+    are left unchanged.  Of a chunk retrieved more than once in a turn the last
+    call counts (``call_no``, if there is one), as in the router."""
+    order = F.struct(*[c for c in ("call_no", "distance", "filename") if c in retrieved.columns])
     r = (retrieved.groupBy(turn_col, "chunk_id")
-         .agg(F.max_by(F.struct("filename", "distance"), "distance").alias("__r")))
+         .agg(F.max_by(F.struct("filename", "distance"), order).alias("__r")))
     ex = answers.select(turn_col, F.posexplode("citations").alias("__pos", "__c"))
     j = ex.join(r, [ex[turn_col] == r[turn_col], F.col("__c.chunk_id") == r["chunk_id"]], "left").select(
         ex[turn_col], "__pos",

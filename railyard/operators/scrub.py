@@ -1,14 +1,16 @@
 """Output text scrubs (I4, I5): PII redaction and profanity masking.
 
-Both are chains of ``regexp_replace`` / ``regexp_count`` over literal
-patterns: JVM-only, one projection, no UDF.  Profanity words have fixed
-lengths, so the equal-length mask is a literal per word.
+Both work on literal patterns: JVM-only, one projection, no UDF. A text is
+split once per PII label; the pieces give the count and the scrubbed text.
+Profanity words have fixed lengths, so the equal-length mask is a literal per word.
+Texts that cannot match a pattern (``functions.regex_gate``) are not searched for it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from railyard.functions.regex_gate import has_digit, may_match
 from railyard.operators.input_guards import java_pii
 from railyard.policy import DEFAULT_POLICY, REDACTED, Policy
 
@@ -28,16 +30,19 @@ def scrub_pii(df: DataFrame, text: str, out: str = "scrubbed", policy: Policy =
         for label, _ in policy.pii_patterns:
             df = df.withColumn(f"{count_prefix}{label}", F.lit(0).cast("int"))
         return df.withColumn("pii_counts", F.create_map().cast("map<string,int>")).drop(cur)
+    df = df.withColumn("__digit", has_digit(F.col(cur)))  # a replacement adds no digit
     for i, (label, p) in enumerate(policy.pii_patterns):
-        pat = java_pii(p)
-        nxt = f"__pii{i + 1}"
-        df = df.withColumns({f"{count_prefix}{label}": F.coalesce(F.regexp_count(F.col(cur), F.lit(pat)), F.lit(0)),
-                             nxt: F.regexp_replace(F.col(cur), pat, REDACTED)}).drop(cur)
+        pat, now = java_pii(p), F.col(cur)
+        pieces, nxt = f"__pieces{i}", f"__pii{i + 1}"
+        df = df.withColumn(pieces, F.when(may_match(p, now, digit=F.col("__digit")), F.split(now, pat, -1))
+                           .when(now.isNotNull(), F.array(now))).drop(cur)
+        df = df.withColumns({f"{count_prefix}{label}": F.coalesce(F.array_size(pieces) - 1, F.lit(0)),
+                             nxt: F.array_join(pieces, REDACTED)}).drop(pieces)
         cur = nxt
     counts = F.map_filter(F.create_map(*[x for label, _ in policy.pii_patterns
                                          for x in (F.lit(label), F.col(f"{count_prefix}{label}"))]),
                           lambda k, v: v > 0)
-    return df.withColumnRenamed(cur, out).withColumn("pii_counts", counts)
+    return df.withColumnRenamed(cur, out).withColumn("pii_counts", counts).drop("__digit")
 
 
 def profanity_pattern(word: str) -> str:

@@ -230,9 +230,10 @@ def routed(spark, sf):
     return routed_with_retrieval(spark, sf)[0]
 
 
-def routed_with_retrieval(spark, sf):
+def routed_with_retrieval(spark, sf, text=False):
     """(route output, surviving chunks, guarded retrieval) for the turn frame.
-    One search of the turn vectors feeds the gate (rank 1) and retrieval."""
+    One search of the turn vectors feeds the gate (rank 1) and retrieval; the
+    chunks' contents are moved only if the caller asks for ``text``."""
     turns = turn_frame(spark, sf)
     e = table(spark, sf, "embeddings")
     d = table(spark, sf, "documents")
@@ -240,7 +241,7 @@ def routed_with_retrieval(spark, sf):
     hits = vector_topk_batch(e, q, max(RP.top_k, 1), id_col="vec_id", query_id="query_id", query_vec="__qv",
                              materialize=True)
     guarded = retrieve_knowledge(q, e, RP, id_col="vec_id", payload=d, payload_id="doc_id", content="text",
-                                 filename="source", file_type="lang", hits=hits, materialize=True)
+                                 filename="source", file_type="lang", hits=hits, materialize=True, text=text)
     retrieved = surviving_chunks(guarded)
     answers = turn_answers(spark, sf, retrieved)
     return route_turns(turns, answers, e, RP, hits=hits, guarded=guarded, id_col="vec_id"), retrieved, guarded
@@ -358,7 +359,7 @@ def q_route_turns_calls(spark, sf):
     q = turns.select(F.col("turn_id").alias("query_id"))
     hits = agent_hits(calls, e, max(RP.top_k, 1), "vec_id")
     guarded = retrieve_knowledge(q, e, RP, id_col="vec_id", payload=d, payload_id="doc_id", content="text",
-                                 filename="source", file_type="lang", hits=hits, materialize=True)
+                                 filename="source", file_type="lang", hits=hits, materialize=True, text=False)
     answers = turn_answers(spark, sf, surviving_chunks(guarded))
     return route_flat(route_turns(turns, answers, e, RP, calls=calls, id_col="vec_id", payload=d, payload_id="doc_id",
                                   content="text", filename="source", file_type="lang"))

@@ -41,7 +41,7 @@ SELECT tv.conv_id, tv.turn, CAST(to_json([
 FROM tv LEFT JOIN cx USING (turn_id)""")
 def q_assemble_prompt(spark, sf):
     """System, question and retrieved-context messages per user turn."""
-    _, retrieved, guarded = routed_with_retrieval(spark, sf)
+    _, retrieved, guarded = routed_with_retrieval(spark, sf, text=True)
     ex = guarded.select(F.col("query_id").alias("turn_id"), F.posexplode("chunks").alias("rank", "c")).select(
         "turn_id", "rank", F.col("c.content").alias("content"))
     cj = R.context_json(ex, ["content", "category"], "turn_id")

@@ -187,12 +187,38 @@ def q_ann_index_build(spark, sf):
         "vec_id", "cell")
 
 
+@register("ann_index_cover", sql="SELECT vec_id, 1 AS n_cells, true AS inside FROM embeddings")
+def q_ann_index_cover(spark, sf):
+    """E5: every row lies in one cell of the index, within the cell's radius."""
+    index = ivf(spark, sf)
+    cells = spark.createDataFrame([(i, [float(x) for x in c], float(r)) for i, (c, r) in
+                                   enumerate(zip(index.centroids, index.radii))], "cell int, centroid array<double>, radius double")
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - cosine_distance("embedding", "centroid"))))
+    rows = index.frame(spark).join(F.broadcast(cells), "cell").withColumn("inside", angle <= F.col("radius") + 1e-6)  # sqrt(rows) cells
+    return rows.groupBy("vec_id").agg(F.count("*").alias("n_cells"), F.bool_and("inside").alias("inside"))
+
+
+@register("ann_topk_dropped", sql=f"""
+SELECT query_id, id, round(distance, 6) AS distance, rank FROM ({sql_topk(5)})""")
+def q_ann_topk_dropped(spark, sf):
+    """E5: after the index is dropped the same search reads the flat rows."""
+    from dataclasses import replace
+    from railyard.operators.ann import ann_index_drop, ann_topk
+    index = replace(ivf(spark, sf))
+    ann_index_drop(index)
+    return without_self(ann_topk(index, emb_queries(spark, sf), 6))
+
+
 def _ann(spark, sf, all_cells=False, pruned=False):
     from railyard.operators.ann import ann_topk, ann_topk_pruned
     index = ivf(spark, sf)
     a = (ann_topk_pruned(index, emb_queries(spark, sf), 6) if pruned
          else ann_topk(index, emb_queries(spark, sf), 6, len(index.centroids) if all_cells else None))
-    # drop the self match, then keep 5 (the exact search excludes self)
+    return without_self(a)
+
+
+def without_self(a):
+    """The 5 nearest of 6 without the self match, which the exact search excludes."""
     a = a.filter(F.col("query_id") != F.col("id")).drop("rank")
     from pyspark.sql import Window
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("id").asc())

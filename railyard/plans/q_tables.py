@@ -106,6 +106,15 @@ def q_delete_by_ids(spark, sf):
     return CT.delete_chunks(d, ids=ids).select(F.col("id").alias("doc_id"))
 
 
+@register("delete_all_chunks", sql="SELECT count(*) AS n_before, 0 AS n_after FROM documents")
+def q_delete_all(spark, sf):
+    """A5: delete everything; the emptied table keeps its schema."""
+    d = table(spark, sf, "documents")
+    left = CT.delete_chunks(d, delete_all=True)
+    assert left.schema == d.schema
+    return d.agg(F.count("*").alias("n_before")).withColumn("n_after", left.select(F.count("*")).scalar())
+
+
 @register("delete_chunks_by_metadata", sql="""
 SELECT doc_id FROM documents WHERE NOT (source = 'src3' AND lang = 'fr') OR source IS NULL OR lang IS NULL""")
 def q_delete_by_metadata(spark, sf):

@@ -76,7 +76,7 @@ def route_turns(turns: DataFrame, answers: DataFrame, corpus: DataFrame, policy:
                               max(policy.top_k, 1), id_col, vec_col)
         guarded = retrieve_knowledge(ok_q, corpus, policy, id_col=id_col, vec_col=vec_col, payload=payload,
                                      payload_id=payload_id, content=content, filename=filename,
-                                     file_type=file_type, hits=hits)
+                                     file_type=file_type, hits=hits, text=False)
     valid = guarded.select(F.col("query_id").alias("turn_id"), "chunks")
     guarded_ans = OG.apply_output_guards(OG.check_citations_inline(answers, valid), policy)
     t = t.join(gate, "turn_id", "left").join(

@@ -102,9 +102,13 @@ def week_bucket(ts) -> Column:
 
 
 def write_partitioned_chunk_table(df: DataFrame, path: str, ts_col: str = "created_at",
-                                  mode: str = "overwrite") -> None:
-    """Parquet partitioned by the 7-day bucket of ``ts_col``."""
-    (df.withColumn("week_bucket", F.date_format(week_bucket(ts_col), "yyyy-MM-dd"))
+                                  mode: str = "overwrite", files_per_bucket: int = 8) -> None:
+    """Parquet partitioned by the 7-day bucket of ``ts_col``. Rows are dealt
+    out by bucket and a hash of the row, so a bucket is written by at most
+    ``files_per_bucket`` tasks, and a large one by more than one."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_bucket))
+    bucket = F.date_format(week_bucket(ts_col), "yyyy-MM-dd")
+    (df.withColumn("week_bucket", bucket).repartition("week_bucket", salt)
      .write.mode(mode).partitionBy("week_bucket").parquet(path))
 
 

@@ -139,14 +139,6 @@ def stream_outcome_windows(events: DataFrame, outcome_col: str, ts_col: str = "t
     return ev.groupBy(F.window(ts_col, window).alias("w"), outcome_col).agg(F.count("*").alias("n"))
 
 
-def dedup_within_watermark(requests: DataFrame, key_cols: list, ts_col: str = "ts",
-                           watermark: str = "24 hours") -> DataFrame:
-    """K6 (approximate): drop repeats of a key while its state lives; the
-    state outlives the threshold by the watermark lag."""
-    return (requests.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark)
-            .dropDuplicatesWithinWatermark(key_cols))
-
-
 # --------------------------------------------------------------------- K3, K6, K8
 _PENDING = "t long, has_id boolean, id long, flag boolean"
 _OUT = "gk string, t long, has_id boolean, id long, flag boolean"
