@@ -167,11 +167,14 @@ def proofs(leaves: DataFrame, group: str = "lang", order: str = "doc_id", carry:
 
     Leaves of a group ascend by ``order``, nulls first, ties by digest; groups
     ascend by their key, null first, bytewise. An empty table gives no rows.
+    Carried columns may have any names but those four of the result.
     """
-    kept = [order, *[c for c in carry if c not in (group, order)]]
+    out_names = [order, *[c for c in carry if c not in (group, order)]]
+    kept = [f"_kept{i}" for i in range(len(out_names))]  # no clash with the names used in here
     # written first, as the range sort reads its input twice
-    rows = written(leaves.select(F.col(group).alias("grp"), *kept, F.col("leaf").alias("node")), "merkle-hashed")
-    rows = written(numbered(rows, ["grp", order, "node"], "merkle-rows", per="grp"), "merkle-leaves")
+    rows = written(leaves.select(F.col(group).alias("grp"), *[F.col(c).alias(k) for c, k in zip(out_names, kept, strict=True)],
+                                 F.col("leaf").alias("node")), "merkle-hashed")
+    rows = written(numbered(rows, ["grp", kept[0], "node"], "merkle-rows", per="grp"), "merkle-leaves")
     sizes = written(rows.groupBy("grp").agg(F.count("*").alias("leaves")), "merkle-sizes")
     groups = written(numbered(sizes, ["grp"], "merkle-order")
                      .select("grp", "leaves", F.col("nth").alias("tree"), _levels(F.col("leaves")).alias("height")),
@@ -195,7 +198,8 @@ def proofs(leaves: DataFrame, group: str = "lang", order: str = "doc_id", carry:
         F.col("nth").alias("tree"), "leaves", F.col("node").alias("subroot"), F.col("segs").alias("_more"),
         F.lit(bytes(root.node) if root else b"").alias("root"))
     out = _with_tree(tagged, written(top, "merkle-subroots"))
-    return out.select(*kept, F.col("node").alias("leaf"), "subroot", "root", F.concat("segs", "_more").alias("proof"))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(out_names, kept, strict=True)], F.col("node").alias("leaf"),
+                      "subroot", "root", F.concat("segs", "_more").alias("proof"))
 
 
 def folded(leaf: str, proof: str = "proof") -> Column:

@@ -230,7 +230,11 @@ def test_proofs_have_their_own_interface(spark):
     df = spark.createDataFrame(rows, "key long, part long, body string")
     leaves = df.select("key", "part", "body", merkle_manifest.leaf_digest("key", "body").alias("leaf"))
     got = merkle_manifest.proofs(leaves, "part", "key", ("body",))
-    assert set(got.columns) == {"key", "body", "leaf", "subroot", "root", "proof"}
+    assert got.columns == ["key", "body", "leaf", "subroot", "root", "proof"]
+    odd = leaves.withColumnsRenamed({"key": "node", "body": "tree"}).withColumn("nth", F.lit(1)).withColumn("segs", F.lit(2))
+    again = merkle_manifest.proofs(odd, "part", "node", ("tree", "nth", "segs"))
+    assert again.columns == ["node", "tree", "nth", "segs", "leaf", "subroot", "root", "proof"]
+    assert {r.root for r in again.collect()} == {r.root for r in got.collect()}
     assert got.filter(merkle_manifest.folded("leaf") == F.lower(F.hex("root"))).count() == 30
     assert got.filter(F.size("proof") == 3).count() == 30  # 15 leaves: two levels, and one above
 
