@@ -54,9 +54,3 @@ def write_faq_csv(df: DataFrame, path: str) -> None:
     (df.select("question", "answer", "category").write.mode("overwrite").option("sep", ";")
      .option("header", True).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
-
-
-def events_ts(df: DataFrame) -> DataFrame:
-    """``events.ts`` is timestamp_ntz; watermarks and session windows need
-    a zoned timestamp (session time zone is UTC)."""
-    return df.withColumn("ts", F.col("ts").cast("timestamp"))
