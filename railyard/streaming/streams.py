@@ -187,7 +187,7 @@ class OrderedProcessor(StatefulProcessor):
                     "id": [r[2] for r in ready], **self.run(ready)}
             yield pd.DataFrame(cols)
         ends = self.ends()
-        if ends is not None and ends <= now and not rest:
+        if ends is not None and ends <= now:  # rows still waiting are later than that
             self.forget()
         times = [r[0] for r in rest] + ([ends] if ends is not None and ends > now else [])
         if times:
