@@ -19,17 +19,19 @@ from railyard.plans import sqlfrag as Q
 from railyard.plans.q_search import sql_topk, topk_all
 from railyard.plans.registry import register
 from railyard.policy import DEFAULT_POLICY, PII_PATTERNS
+from railyard.session import materialized
 from railyard.sources.tables import table
 
 STATUS = {1: "timeout", 2: "usage_limit_exceeded", 3: "ungrounded_after_retry", 4: "unexpected_error"}
 
 
 def retrieved(spark, sf):
+    """The chunks retrieved in each turn; written once, as callers read them several times."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("filename"))
     h = topk_all(spark, sf, 5)
-    return h.join(d, "id", "left").select(F.col("query_id").alias("turn_id"),
-                                          F.col("id").cast("string").alias("chunk_id"),
-                                          "filename", "distance", "rank")
+    return materialized(h.join(d, "id", "left").select(F.col("query_id").alias("turn_id"),
+                                                       F.col("id").cast("string").alias("chunk_id"),
+                                                       "filename", "distance", "rank"), "retrieved")
 
 
 def answers(spark, sf, ret=None):
