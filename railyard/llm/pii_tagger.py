@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-#: Window length and step in characters, and how far around a digit or @ windows reach.
+#: Window length and step in characters of the training sample, and how far around a
+#: digit or @ it reaches.
 WINDOW, STEP, REACH = 64, 32, 32
+#: Longest stretch that is decoded at once, and how much two stretches of a text share.
+SPAN, SHARED = 512, 64
 
 # The patterns of the base rules. Starts are pinned to the start of a run, which
 # finds the same leftmost matches without trying every character of long runs.
@@ -87,8 +90,9 @@ def char_codes(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     out = np.where((points >= 32) & (points < 127), points.astype(np.int64) - 28, 3)
     rest = np.flatnonzero(out == 3)
-    for i in rest:
-        out[i] = 1 if text[i].isalpha() else 2 if text[i].isspace() else 3
+    if len(rest):
+        signs, which = np.unique(points[rest], return_inverse=True)
+        out[rest] = np.array([1 if chr(p).isalpha() else 2 if chr(p).isspace() else 3 for p in signs.tolist()])[which]
     return out
 
 
@@ -144,18 +148,70 @@ class Tagger:
         both = np.concatenate([fwd, bwd[::-1]], 2)
         return both @ self.p["out"] + self.p["bias"], (x, both, keep_f, keep_b)
 
-    def decode(self, codes: np.ndarray) -> np.ndarray:
-        """Best tags (batch, time) by Viterbi."""
-        e, _ = self.emissions(codes)
-        score, back = e[0] + self.p["first"], []
-        for t in range(1, len(e)):
-            ways = score[:, :, None] + self.p["trans"]
-            back.append(ways.argmax(1))
-            score = ways.max(1) + e[t]
-        tags = [score.argmax(1)]
-        for b in reversed(back):
-            tags.append(b[np.arange(len(b)), tags[-1]])
-        return np.stack(tags[::-1], 1)
+    def _states(self, d: str, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Hidden states (time, hidden, batch) of one direction in single precision,
+        from embeddings (time, embed, batch); zero past the end of a line."""
+        size, (steps, embed, n) = self.hidden, x.shape
+        half = np.repeat([0.5, 1.0], [3 * size, size])  # sigmoids by tanh
+        w = np.concatenate([self.p[d + "h"], self.p[d + "x"], self.p[d + "b"][None]]) * half
+        w = np.ascontiguousarray(w.T, np.float32)
+        feed = np.ones((size + embed + 1, n), np.float32)
+        feed[:size] = 0
+        out, z = np.empty((steps, size, n), np.float32), np.empty((4 * size, n), np.float32)
+        c, part = np.zeros((size, n), np.float32), np.empty((size, n), np.float32)
+        shortest = int(lengths.min())
+        for t in range(steps) if d == "f" else reversed(range(steps)):
+            feed[size:size + embed] = x[t]
+            np.matmul(w, feed, out=z)
+            np.tanh(z, out=z)
+            gates = z[:3 * size]
+            gates *= np.float32(0.5)
+            gates += np.float32(0.5)
+            c *= gates[size:2 * size]
+            np.multiply(gates[:size], z[3 * size:], out=part)
+            c += part
+            np.tanh(c, out=part)
+            np.multiply(part, gates[2 * size:], out=out[t])
+            if t >= shortest:
+                live = (t < lengths).astype(np.float32)
+                out[t] *= live
+                c *= live
+            feed[:size] = out[t]
+        return out
+
+    def decode(self, codes: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+        """Best tags (batch, time) by Viterbi; what lies past a line's length is not read."""
+        n, steps = codes.shape
+        lengths = np.full(n, steps) if lengths is None else lengths
+        x = np.ascontiguousarray(self.p["emb"].astype(np.float32)[codes.T].transpose(0, 2, 1))
+        fwd, bwd = (self._states(d, x, lengths) for d in "fb")
+        w = np.ascontiguousarray(self.p["out"].T, np.float32)
+        bias, trans = self.p["bias"].astype(np.float32)[:, None], self.p["trans"].astype(np.float32)
+        scores, way = np.empty((steps, TAGS, n), np.float32), np.empty((TAGS, n), np.float32)
+        for t in range(steps):
+            now = scores[t]
+            np.matmul(w[:, :self.hidden], fwd[t], out=now)
+            now += w[:, self.hidden:] @ bwd[t]
+            now += bias
+            if t == 0:
+                now += self.p["first"].astype(np.float32)[:, None]
+                continue
+            before = scores[t - 1]
+            best = before[0] + trans[0][:, None]
+            for k in range(1, TAGS):
+                np.add(before[k], trans[k][:, None], out=way)
+                np.maximum(best, way, out=best)
+            now += best
+            if t >= lengths.min():
+                np.copyto(now, before, where=t >= lengths)
+        tags = np.empty((steps, n), np.int8)
+        last = scores[-1].argmax(0)
+        tags[-1] = last
+        for t in range(steps - 2, -1, -1):
+            came = (scores[t] + trans[:, last]).argmax(0)
+            last = np.where(t + 1 < lengths, came, last)
+            tags[t] = last
+        return tags.T
 
     def _back_lstm(self, d: str, x: np.ndarray, kept, dout: np.ndarray, grad: dict) -> np.ndarray:
         dh, dc = np.zeros_like(kept[0][0]), np.zeros_like(kept[0][0])
@@ -228,12 +284,15 @@ class Tagger:
         return self
 
 
+def stretches(length: int) -> list[tuple[int, int]]:
+    """(start, end) of overlapping stretches that cover a whole text."""
+    last = max(1, length - SHARED)
+    return [(a, min(a + SPAN, length)) for a in range(0, last, SPAN - SHARED)] if length else []
+
+
 def window_starts(text: str) -> list[int]:
     """Starts of overlapping windows over every stretch near a digit, an @ or the
-    words of a spelt-out address.
-
-    A span that is accepted holds one of these, so the rest of a text, which is
-    searched for them as a whole, needs no window."""
+    words of a spelt-out address, from which the training sample is drawn."""
     out: list[int] = []
     stretch = None
     near = ((m.start(), m.end()) for m in _TRIGGER.finditer(text))
@@ -339,26 +398,25 @@ def labelled_windows(docs: DataFrame, id_col: str, text_col: str, max_docs: int,
     return np.stack(codes), np.stack(tags)
 
 
-def tag_texts(tagger: Tagger, texts: list[str], batch: int = 256) -> list[list[tuple[int, int, int]]]:
-    """Spans by the model alone. Each character takes its tag from the window in
-    which it stands farthest from an edge, over all windows of the text."""
-    starts = [window_starts(t) for t in texts]
-    flat = [(i, s) for i, ss in enumerate(starts) for s in ss]
-    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def tag_texts(tagger: Tagger, texts: list[str], batch: int = 512) -> list[list[tuple[int, int, int]]]:
+    """Spans by the model alone, decoded over every character of every text. A
+    character takes its tag from the stretch in which it stands farthest from an edge."""
+    codes = [char_codes(t) for t in texts]
+    flat = sorted(((b - a, i, a) for i, t in enumerate(texts) for a, b in stretches(len(t))), reverse=True)
+    best = {i: (np.zeros(len(t), np.int8), np.zeros(len(t), np.int32)) for i, t in enumerate(texts) if t}
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    margin = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1
     for at in range(0, len(flat), batch):
         part = flat[at:at + batch]
-        codes = np.zeros((len(part), WINDOW), np.int64)
-        for j, (i, s) in enumerate(part):
-            c = char_codes(texts[i][s:s + WINDOW])
-            codes[j, :len(c)] = c
-        for (i, s), row in zip(part, tagger.decode(codes), strict=True):
-            if i not in best:
-                best[i] = (np.zeros(len(texts[i]), np.int8), np.zeros(len(texts[i]), np.int8))
-            n = min(WINDOW, len(texts[i]) - s)
+        lengths = np.array([n for n, _, _ in part])
+        table = np.zeros((len(part), lengths[0]), np.int64)
+        for j, (n, i, s) in enumerate(part):
+            table[j, :n] = codes[i][s:s + n]
+        for (n, i, s), row in zip(part, tagger.decode(table, lengths), strict=True):
             tag, deep = best[i][0][s:s + n], best[i][1][s:s + n]
-            edge = margin[:n] if n == WINDOW else np.minimum(np.arange(n) + 1, WINDOW)
+            # the end of a text is no edge
+            left = np.arange(n) + (1 if s else SPAN)
+            right = np.arange(n, 0, -1) + (0 if s + n < len(texts[i]) else SPAN)
+            edge = np.minimum(left, right)
             better = edge > deep
             tag[better], deep[better] = row[:n][better], edge[better]
     for i, (tag, _) in best.items():
@@ -451,8 +509,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone (base rules),
     n_model, base_sha256 and spans (kind:start:end by start, then kind).
 
-    The tagger is trained on a bounded, hash-chosen sample; every whole text is
-    searched for digits, @ and spelt-out addresses, and decoded around them. Its
+    The tagger is trained on a bounded, hash-chosen sample and decodes every
+    character of every text. Its
     spans grow to whole words and are added where they overlap no base span and
     read as their kind. Null and empty texts have no spans; rows are independent of each
     other, so repeated ids and other columns do no harm.
