@@ -9,9 +9,10 @@
   number of cells that holds ``RECALL`` of the exact ``SAMPLE_K`` nearest rows of
   ``SAMPLE`` rows taken as queries (in the order of a hash of their ids).
 * Search (E6): each query picks its ``nprobe`` nearest centroids, then queries
-  and rows of a cell meet in blocks (:mod:`railyard.operators.block_topk`).
-  Both sides of a large cell are cut, from counts by cell that are joined on,
-  so a task's memory grows with neither rows nor queries.
+  and rows of a group of cells meet in blocks (:mod:`railyard.operators.block_topk`),
+  each query only with the rows of its own cells. Both sides of a large group are
+  cut, from counts by group that are joined on, so a task's memory grows with
+  neither rows nor queries.
 * Probing every cell makes the search exact (equal to E3).
 * :func:`ann_topk_pruned` is exact without that: a cell's radius is the widest
   angle between its centroid and its rows, so by the triangle inequality no row
@@ -189,12 +190,48 @@ def _probe_fn(bc, nprobe: int):
     return probe
 
 
-def _beating_fn(bc, bc_radii, first: int):
-    """(cell, query_id, vec) of the cells beyond a query's ``first`` nearest that
+def _grouped(part: pa.RecordBatch, at: np.ndarray, ok: np.ndarray, groups: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row per query and group of cells: (cell, query_id, vec, parts), where ``cell``
+    is the group and ``parts`` are the query's cells in it. ``ok`` (queries x cells)
+    says which cells a query searches; cells of group -1 have no rows."""
+    for g in np.unique(groups[groups >= 0]):
+        cells = np.flatnonzero(groups == g)
+        own = ok[:, cells]
+        sizes = own.sum(1)
+        who = np.flatnonzero(sizes)
+        if len(who):
+            offsets = np.concatenate([[0], np.cumsum(sizes[who])]).astype(np.int32)
+            parts = pa.ListArray.from_arrays(offsets, pa.array(cells[np.nonzero(own)[1]].astype(np.int32)))
+            rows = pa.array(at[who])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(who), g, np.int32)), part.column("query_id").take(rows), part.column("vec").take(rows),
+                 parts], ["cell", "query_id", "vec", "parts"])
+
+
+def _nearest_fn(bc, groups: np.ndarray, nprobe: int):
+    """The ``nprobe`` nearest cells of each query, by group."""
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cents = bc.value
+        p = min(nprobe, len(cents))
+        step = max(1, min(2_048, 4_000_000 // len(cents)))  # the matrix of a slice is bounded
+        for batch in batches:
+            for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
+                at, unit = vectors_by_size(part.column("vec")).get(cents.shape[1], (np.zeros(0, np.int64), None))
+                if not len(at):
+                    continue
+                ok = np.zeros((len(at), len(cents)), bool)
+                near = np.argsort(1.0 - unit @ cents.T, axis=1, kind="stable")[:, :p]
+                ok[np.arange(len(at))[:, None], near] = True
+                yield from _grouped(part, at, ok, groups)
+    return probe
+
+
+def _beating_fn(bc, bc_radii, first: int, groups: np.ndarray):
+    """(group, query_id, vec, parts) of the cells beyond a query's ``first`` nearest that
     may hold a row nearer than the query's ``bound``; all of them if it is null."""
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cents, radii = bc.value, bc_radii.value
-        step = max(1, min(2_048, 65_536 // len(cents)))
+        step = max(1, min(2_048, 4_000_000 // len(cents)))
         for batch in batches:
             for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
                 at, unit = vectors_by_size(part.column("vec")).get(cents.shape[1], (np.zeros(0, np.int64), None))
@@ -206,19 +243,28 @@ def _beating_fn(bc, bc_radii, first: int):
                 ok = (np.arccos(np.clip(cos, -1.0, 1.0)) - radii <= reach[:, None]) & (radii >= 0)
                 seen = np.argsort(1.0 - cos, axis=1, kind="stable")[:, :first]
                 ok[np.arange(len(at))[:, None], seen] = False
-                line, cell = np.nonzero(ok)
-                rows = pa.array(at[line])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), part.column("query_id").take(rows), part.column("vec").take(rows)],
-                    ["cell", "query_id", "vec"])
+                yield from _grouped(part, at, ok, groups)
     return probe
 
 
-def _met(index: IvfIndex, rows: DataFrame, probes: DataFrame, k: int, query_block: int, row_block: int) -> DataFrame:
-    """Top-k between the probing queries and the rows of each cell."""
+def _cell_groups(rows: DataFrame, ncells: int, row_block: int) -> np.ndarray:
+    """The group of each cell: runs of cells of about ``row_block`` rows, -1 for an
+    empty cell. A query is sent once to each group in which it has a cell, so what
+    is moved grows with the groups and not with the cells it searches."""
+    sizes = np.zeros(ncells, np.int64)
+    for r in rows.groupBy("cell").count().collect():  # a row per cell
+        sizes[r["cell"]] = r["count"]
+    return np.where(sizes > 0, (np.cumsum(sizes) - sizes) // row_block, -1)
+
+
+def _met(rows: DataFrame, probes: DataFrame, groups: np.ndarray, k: int, query_block: int, row_block: int) -> DataFrame:
+    """Top-k between the probing queries and the rows of each group of cells."""
+    spark = rows.sparkSession
+    of = spark.createDataFrame([(c, int(g)) for c, g in enumerate(groups)], "part int, cell int")
+    rows = rows.withColumnRenamed("cell", "part").join(F.broadcast(of), "part")  # a row per cell
     n_c = rows.groupBy("cell").agg(block_count(F.count(F.lit(1)), row_block).alias("n_c"))
     n_q = probes.groupBy("cell").agg(block_count(F.count(F.lit(1)), query_block).alias("n_q"))
-    blocks = F.broadcast(n_c.join(n_q, "cell"))  # a row per cell
+    blocks = F.broadcast(n_c.join(n_q, "cell"))  # a row per group
     q_side = dealt(probes.join(blocks, "cell"), ["query_id", "vec"], F.col("n_q"), F.col("n_c"))
     c_side = dealt(rows.join(blocks, "cell"), ["id", "vec"], F.col("n_c"), F.col("n_q"))
     return block_topk(q_side, c_side, k, query_block=query_block)
@@ -232,6 +278,11 @@ def _sides(index: IvfIndex, queries: DataFrame, query_id: str, query_vec: str) -
     return rows, asked
 
 
+def _probe_schema(asked: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("cell", T.IntegerType()), *asked.schema.fields,
+                         T.StructField("parts", T.ArrayType(T.IntegerType()))])
+
+
 def ann_topk_pruned(index: IvfIndex, queries: DataFrame, k: int = 5, first: int = 2, *, query_id: str = "query_id",
                     query_vec: str = "embedding", query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK,
                     report: bool = False) -> DataFrame:
@@ -247,18 +298,20 @@ def ann_topk_pruned(index: IvfIndex, queries: DataFrame, k: int = 5, first: int
                                  query_id=query_id, query_vec=query_vec)
     rows, asked = _sides(index, queries, query_id, query_vec)
     cents, radii = (spark.sparkContext.broadcast(x) for x in (index.centroids, index.radii))
-    schema = T.StructType([T.StructField("cell", T.IntegerType()), *asked.schema.fields])
-    near = asked.mapInArrow(_probe_fn(cents, first), schema)
-    hits = materialized(_met(index, rows, near, k, query_block, row_block), "ann-first")
+    schema = _probe_schema(asked)
+    groups = _cell_groups(rows, len(index.centroids), row_block)
+    near = asked.mapInArrow(_nearest_fn(cents, groups, first), schema)
+    hits = materialized(_met(rows, near, groups, k, query_block, row_block), "ann-first")
     bound = hits.filter(F.col("rank") == k).select(F.col("query_id").alias("__q"), F.col("distance").alias("bound"))
     bounded = asked.join(bound, asked["query_id"] == bound["__q"], "left").drop("__q")
-    far = materialized(bounded.mapInArrow(_beating_fn(cents, radii, first), schema), "ann-far")
+    far = materialized(bounded.mapInArrow(_beating_fn(cents, radii, first, groups), schema), "ann-far")
     if report:
         size = rows.groupBy("cell").agg(F.count("*").alias("n"))
         total = size.agg(F.sum("n")).first()[0] or 0
-        return (near.union(far).join(F.broadcast(size), "cell").groupBy("query_id")  # a row per cell
+        both = near.union(far).select("query_id", F.explode("parts").alias("cell"))
+        return (both.join(F.broadcast(size), "cell").groupBy("query_id")  # a row per cell
                 .agg(F.sum("n").alias("n_visited")).withColumn("n_rows", F.lit(total)))
-    both = hits.drop("rank").union(_met(index, rows, far, k, query_block, row_block).drop("rank"))
+    both = hits.drop("rank").union(_met(rows, far, groups, k, query_block, row_block).drop("rank"))
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("id").asc())
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -272,9 +325,10 @@ def ann_topk(index: IvfIndex, queries: DataFrame, k: int = 5, nprobe: Optional[i
         return vector_topk_batch(index.flat, queries, k, id_col=index.id_col, vec_col=index.vec_col,
                                  query_id=query_id, query_vec=query_vec)
     rows, asked = _sides(index, queries, query_id, query_vec)
-    probes = asked.mapInArrow(_probe_fn(spark.sparkContext.broadcast(index.centroids), nprobe or index.nprobe), T.StructType(
-        [T.StructField("cell", T.IntegerType()), *asked.schema.fields]))
-    return _met(index, rows, probes, k, query_block, row_block)
+    groups = _cell_groups(rows, len(index.centroids), row_block)
+    probes = asked.mapInArrow(_nearest_fn(spark.sparkContext.broadcast(index.centroids), groups, nprobe or index.nprobe),
+                              _probe_schema(asked))
+    return _met(rows, probes, groups, k, query_block, row_block)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
