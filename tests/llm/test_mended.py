@@ -111,3 +111,39 @@ def test_stages_of_odd_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.written(stage(spark, docs, sf), "test-stage")
         assert docs.count() >= n
+
+
+def test_token_store_codes_lanes_together():
+    """op2: the lanes of a block learn from one another, blocks decode by themselves, and a step costs
+    the same few calls whatever the number of lanes."""
+    rng = np.random.default_rng(8)
+    ids = rng.choice(rng.integers(0, 65536, 300), 400_000, p=rng.dirichlet(np.ones(300)))
+    frame = token_store.encode_ids(ids, block=32)  # several blocks, the last one short
+    assert token_store.decode_ids(frame).tolist() == ids.tolist()
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    assert len(token_store.encode_ids(ids)) * 8 / len(ids) < entropy + 1.5
+    for at in rng.integers(24, len(frame), 12).tolist():
+        bad = bytearray(frame)
+        bad[at] ^= 1 << int(rng.integers(8))
+        with pytest.raises(ValueError):
+            token_store.decode_ids(bytes(bad))
+
+
+def test_token_store_ids_are_those_of_the_library():
+    """op2: chunks cut by Arrow and encoded together give the library's ids, also once some are forgotten."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    tok, rng = Tokenizer.from_file(queries.TOKENIZER), random.Random(3)
+    parts = [" ", "\n", "  ", "a", "word", "Wort,", "y?", ".", "don't", "é", "ж", "1", "22", "\t", "\r", "\x85", "\xa0",
+             "　", "<|endoftext|>", "!!", "'s", "\x1c", "😀", "İ", "".join(rng.choices("abcdefgh", k=9))]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(6000)]
+    texts += [" ".join("".join(rng.choices("abcdé.", k=rng.randint(1, 7))) for _ in range(6)) for _ in range(2000)]
+    for limit in (600_000, 3_000):
+        cache = token_store._TextIds(queries.TOKENIZER, limit)
+        for i in range(0, len(texts), 500):
+            ids, count = cache.many(pa.array([*texts[i:i + 500], None]).slice(3))
+            want = tok.encode_batch([*texts[i + 3:i + 500], ""], add_special_tokens=False)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [e.ids for e in want]
