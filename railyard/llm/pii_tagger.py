@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from heapq import merge
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -148,68 +148,79 @@ class Tagger:
         both = np.concatenate([fwd, bwd[::-1]], 2)
         return both @ self.p["out"] + self.p["bias"], (x, both, keep_f, keep_b)
 
-    def _states(self, d: str, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Hidden states (time, hidden, batch) of one direction in single precision,
-        from embeddings (time, embed, batch); zero past the end of a line."""
+    def _scores(self, d: str, x: np.ndarray, live: list[int], scores: np.ndarray) -> None:
+        """What one direction adds to the scores of the tags (time, TAGS, batch), in single
+        precision, from embeddings (time, embed, batch). Of every step only the first
+        ``live`` lines are read, as longer lines come first."""
         size, (steps, embed, n) = self.hidden, x.shape
-        half = np.repeat([0.5, 1.0], [3 * size, size])  # sigmoids by tanh
-        w = np.concatenate([self.p[d + "h"], self.p[d + "x"], self.p[d + "b"][None]]) * half
+        # sigmoids by tanh; the gates and the states are held twice as large
+        half = np.repeat([0.5, 1.0], [3 * size, size])
+        w = np.concatenate([self.p[d + "h"] / 2, self.p[d + "x"], self.p[d + "b"][None]]) * half
         w = np.ascontiguousarray(w.T, np.float32)
+        to_tags = (self.p["out"].T[:, :size] if d == "f" else self.p["out"].T[:, size:]).astype(np.float32) / np.float32(2)
         feed = np.ones((size + embed + 1, n), np.float32)
         feed[:size] = 0
-        out, z = np.empty((steps, size, n), np.float32), np.empty((4 * size, n), np.float32)
-        c, part = np.zeros((size, n), np.float32), np.empty((size, n), np.float32)
-        shortest = int(lengths.min())
+        z, c, part = np.empty((4 * size, n), np.float32), np.zeros((size, n), np.float32), np.empty((size, n), np.float32)
+        add = np.empty((TAGS, n), np.float32)
         for t in range(steps) if d == "f" else reversed(range(steps)):
-            feed[size:size + embed] = x[t]
-            np.matmul(w, feed, out=z)
-            np.tanh(z, out=z)
-            gates = z[:3 * size]
-            gates *= np.float32(0.5)
-            gates += np.float32(0.5)
-            c *= gates[size:2 * size]
-            np.multiply(gates[:size], z[3 * size:], out=part)
-            c += part
-            np.tanh(c, out=part)
-            np.multiply(part, gates[2 * size:], out=out[t])
-            if t >= shortest:
-                live = (t < lengths).astype(np.float32)
-                out[t] *= live
-                c *= live
-            feed[:size] = out[t]
-        return out
+            k = live[t]
+            if k == n:
+                now, gates, cell, some = feed, z, c, part
+            else:
+                now, gates, cell, some = feed[:, :k], z[:, :k], c[:, :k], part[:, :k]
+            now[size:size + embed] = x[t, :, :k]
+            np.matmul(w, now, out=gates)
+            np.tanh(gates, out=gates)
+            gates[:3 * size] += np.float32(1)
+            cell *= gates[size:2 * size]
+            np.multiply(gates[:size], gates[3 * size:], out=some)
+            cell += some
+            cell *= np.float32(0.5)
+            np.tanh(cell, out=some)
+            np.multiply(some, gates[2 * size:3 * size], out=now[:size])
+            if d == "f":
+                np.matmul(to_tags, now[:size], out=scores[t, :, :k])
+            else:
+                scores[t, :, :k] += np.matmul(to_tags, now[:size], out=add[:, :k])
 
     def decode(self, codes: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
         """Best tags (batch, time) by Viterbi; what lies past a line's length is not read."""
         n, steps = codes.shape
         lengths = np.full(n, steps) if lengths is None else lengths
+        if (np.diff(lengths) > 0).any():  # longer lines first
+            order = np.argsort(-lengths, kind="stable")
+            tags = np.empty((n, steps), np.int8)
+            tags[order] = self.decode(codes[order], lengths[order])
+            return tags
+        live = (n - np.searchsorted(lengths[::-1], np.arange(steps), "right")).tolist()
         x = np.ascontiguousarray(self.p["emb"].astype(np.float32)[codes.T].transpose(0, 2, 1))
-        fwd, bwd = (self._states(d, x, lengths) for d in "fb")
-        w = np.ascontiguousarray(self.p["out"].T, np.float32)
+        scores, ways = np.empty((steps, TAGS, n), np.float32), np.empty((TAGS, TAGS, n), np.float32)
+        for d in "fb":
+            self._scores(d, x, live, scores)
         bias, trans = self.p["bias"].astype(np.float32)[:, None], self.p["trans"].astype(np.float32)
-        scores, way = np.empty((steps, TAGS, n), np.float32), np.empty((TAGS, n), np.float32)
+        stays = np.empty((steps, n), bool)  # the best way to O comes from O
+        best = np.empty((TAGS, n), np.float32)
         for t in range(steps):
             now = scores[t]
-            np.matmul(w[:, :self.hidden], fwd[t], out=now)
-            now += w[:, self.hidden:] @ bwd[t]
             now += bias
             if t == 0:
                 now += self.p["first"].astype(np.float32)[:, None]
                 continue
             before = scores[t - 1]
-            best = before[0] + trans[0][:, None]
-            for k in range(1, TAGS):
-                np.add(before[k], trans[k][:, None], out=way)
-                np.maximum(best, way, out=best)
+            np.add(before[:, None], trans[:, :, None], out=ways)
+            np.maximum.reduce(ways, 0, out=best)
+            np.equal(ways[0, 0], best[0], out=stays[t])
             now += best
-            if t >= lengths.min():
-                np.copyto(now, before, where=t >= lengths)
+            if live[t] < n:
+                now[:, live[t]:] = before[:, live[t]:]
         tags = np.empty((steps, n), np.int8)
         last = scores[-1].argmax(0)
         tags[-1] = last
         for t in range(steps - 2, -1, -1):
-            came = (scores[t] + trans[:, last]).argmax(0)
-            last = np.where(t + 1 < lengths, came, last)
+            k = live[t + 1]
+            turn = np.flatnonzero((last[:k] != 0) | ~stays[t + 1, :k])
+            if len(turn):
+                last[turn] = (scores[t][:, turn] + trans[:, last[turn]]).argmax(0)
             tags[t] = last
         return tags.T
 
@@ -403,8 +414,7 @@ def tag_texts(tagger: Tagger, texts: list[str], batch: int = 512) -> list[list[t
     character takes its tag from the stretch in which it stands farthest from an edge."""
     codes = [char_codes(t) for t in texts]
     flat = sorted(((b - a, i, a) for i, t in enumerate(texts) for a, b in stretches(len(t))), reverse=True)
-    best = {i: (np.zeros(len(t), np.int8), np.zeros(len(t), np.int32)) for i, t in enumerate(texts) if t}
-    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    best = [np.zeros(len(t), np.int8) for t in texts]
     for at in range(0, len(flat), batch):
         part = flat[at:at + batch]
         lengths = np.array([n for n, _, _ in part])
@@ -412,21 +422,18 @@ def tag_texts(tagger: Tagger, texts: list[str], batch: int = 512) -> list[list[t
         for j, (n, i, s) in enumerate(part):
             table[j, :n] = codes[i][s:s + n]
         for (n, i, s), row in zip(part, tagger.decode(table, lengths), strict=True):
-            tag, deep = best[i][0][s:s + n], best[i][1][s:s + n]
-            # the end of a text is no edge
-            left = np.arange(n) + (1 if s else SPAN)
-            right = np.arange(n, 0, -1) + (0 if s + n < len(texts[i]) else SPAN)
-            edge = np.minimum(left, right)
-            better = edge > deep
-            tag[better], deep[better] = row[:n][better], edge[better]
-    for i, (tag, _) in best.items():
+            # two stretches share SHARED characters, half of them nearer to the edge of
+            # either; the begin and the end of a text are no edges
+            lo, hi = SHARED // 2 if s else 0, n - SHARED // 2 if s + n < len(texts[i]) else n
+            best[i][s + lo:s + hi] = row[lo:hi]
+    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for i, tag in enumerate(best):
+        if not tag.any():
+            continue
         kind = (tag + 1) // 2 - 1  # -1 for O
-        new = np.flatnonzero((kind >= 0) & ((tag % 2 == 1) | (np.concatenate([[-1], kind[:-1]]) != kind)))
-        for a in new:
-            b = a + 1
-            while b < len(tag) and kind[b] == kind[a] and tag[b] % 2 == 0:
-                b += 1
-            found[i].append((int(a), int(kind[a]), int(b)))
+        starts = (tag % 2 == 1) | (np.concatenate([[-1], kind[:-1]]) != kind)  # of a span or of what lies between
+        edges = np.append(np.flatnonzero(starts), len(tag))
+        found[i] = [(int(a), int(kind[a]), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True) if kind[a] >= 0]
     return found
 
 
@@ -477,15 +484,84 @@ def snapped(text: str, a: int, kind: int, b: int) -> tuple[int, int, int] | None
         hi += 1
     edges = {a, b, lo, hi, *(lo + m.start() for m in _EDGE.finditer(text[lo:hi]))}
     starts = [x for x in edges if x < b and x < len(text) and text[x] not in " .,;:"]
-    ends = [y for y in edges if y > a and text[y - 1] not in " .,;:"]
-    pairs = sorted(((x, y) for x in starts for y in ends if x < y), key=lambda p: (p[0] - p[1], p))
-    for x, y in pairs:
-        for k in (kind, *((1, 2, 3) if kind else ())):
-            if accepted(text[x:y], k):
-                return x, k, y
+    ends = sorted(y for y in edges if y > a and text[y - 1] not in " .,;:")
+    pairs = [(x - y, x, y, i, k) for i, k in enumerate((kind, *((1, 2, 3) if kind else ())))
+             for x, y in _possible(text, lo, hi, starts, ends, k)]
+    for _, x, y, _, k in sorted(pairs):
+        if accepted(text[x:y], k):
+            return x, k, y
     return None
 
 
+#: What no accepted stretch of a kind holds: a sign that it cannot have, an end of a
+#: sentence. A blank stays out, too, unless it may go, as those at @, points and spelt signs.
+_BARS = (re.compile(r"[^A-Za-z0-9._%+@()\[\]{}\s\u0130\u0131\u017f\u212a-]|(?=[^\W_]\.\s)"), re.compile(r"[^0-9.\s]"),
+         re.compile(r"[^0-9.\s-]"), re.compile(r"[^0-9+().\s-]"))
+_SIGN = re.compile(rf"(?=({'|'.join(_AT_WORDS + _DOT_WORDS)}|[@.]))", re.I)
+#: What is counted in an accepted stretch, its least and its most: signs of an address (at
+#: most one, but a cut word may look like one more), points, digits.
+_COUNTED = ((re.compile(rf"(?=@|{'|'.join(_AT_WORDS)})", re.I), 1, float("inf")), (re.compile("[.]"), 3, 3), (_DIGITS, 12, 19), (_DIGITS, 9, 15))
+_ONE_SIGN = re.compile(rf"@|\b(?:{'|'.join(_AT_WORDS)})\b", re.I)
+
+
+def _may_go(part: str, spelt: bool) -> set[int]:
+    """Places of the blanks that ``accepted`` may leave out: next to @ or a point or, of
+    an address, to a spelt sign, which may have a bracket on either side."""
+    out: set[int] = set()
+
+    def run(i: int, step: int) -> int:
+        while 0 <= i < len(part) and part[i].isspace() and i not in out:
+            out.add(i)
+            i += step
+        while 0 <= i < len(part) and part[i].isspace():
+            i += step
+        return i
+
+    for m in _SIGN.finditer(part):
+        for i, step, brackets in ((m.start() - 1, -1, "([{"), (m.end(1), 1, ")]}")):
+            i = run(i, step)
+            if spelt and 0 <= i < len(part) and part[i] in brackets:
+                run(i + step, step)
+    return out
+
+
+def _possible(text: str, lo: int, hi: int, starts: list[int], ends: list[int], kind: int) -> Iterator[tuple[int, int]]:
+    """The stretches between the starts and the sorted ends that may be accepted as a kind:
+    all that hold no bar and a fitting number of the counted signs."""
+    part = text[lo:hi]
+    bars = [(m.start(), m.start() + (2 if m.end() == m.start() else 0)) for m in _BARS[kind].finditer(part)]
+    if kind < 2:
+        free = _may_go(part, kind == 0)
+        bars += [(i, i) for i, c in enumerate(part) if c.isspace() and i not in free]
+    if kind == 0:
+        found = list(_ONE_SIGN.finditer(part))
+        bars += [(m.start(), n.end() - 1) for m, n in pairwise(found)]  # from one sign to the next
+    bars.sort()
+    firsts = [a for a, _ in bars]
+    least_last = list(accumulate((b for _, b in reversed(bars)), min))[::-1]
+    sign, least, most = _COUNTED[kind]
+    is_sign = np.zeros(len(part) + 1, np.int64)
+    is_sign[[m.start() + 1 for m in sign.finditer(part)]] = 1
+    count = np.cumsum(is_sign).tolist()
+    inner = []  # the ends without blanks before them
+    for y in ends:
+        e = y - lo
+        while e > 0 and part[e - 1].isspace():
+            e -= 1
+        inner.append(e)
+    for x in starts:
+        s = x - lo
+        while s < len(part) and part[s].isspace():
+            s += 1
+        at = bisect_left(firsts, s)
+        limit = least_last[at] if at < len(bars) else len(part)
+        for j in range(bisect_right(ends, x), len(ends)):
+            if inner[j] > limit or count[inner[j]] - count[s] > most:
+                break
+            if inner[j] > s and count[inner[j]] - count[s] >= least:
+                yield x, ends[j]
+
+
 def added(text: str, own: list[tuple[int, int, int]], model: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The model's spans that are accepted, grown to whole words, and overlap
     neither a base span nor one another; the first of two that overlap stays."""
@@ -523,8 +599,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 base = [base_spans(t) for t in texts]
                 full = []

@@ -2,7 +2,9 @@
 and the base columns of the whole query against a plain version."""
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -114,3 +116,45 @@ def test_base_columns_of_the_query(spark, documents):
         assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
         every = r.spans.split(",") if r.spans else []
         assert set(spans) <= set(every) and len(every) == len(spans) + r.n_model
+
+
+def _snapped_plainly(text, a, kind, b):
+    """Every pair of edges, the widest first."""
+    lo, hi = a, b
+    while lo > 0 and a - lo < P.GROWTH and (P._RUNS[kind].match(text[lo - 1]) or text[lo - 1] == " "):
+        lo -= 1
+    while hi < len(text) and hi - b < P.GROWTH and (P._RUNS[kind].match(text[hi]) or text[hi] == " "):
+        hi += 1
+    edges = {a, b, lo, hi, *(lo + m.start() for m in P._EDGE.finditer(text[lo:hi]))}
+    pairs = [(x, y) for x in edges for y in edges if x < b and y > a and x < y
+             and text[x] not in " .,;:" and text[y - 1] not in " .,;:"]
+    for x, y in sorted(pairs, key=lambda p: (p[0] - p[1], p)):
+        for k in (kind, *((1, 2, 3) if kind else ())):
+            if P.accepted(text[x:y], k):
+                return x, k, y
+    return None
+
+
+def test_snapping_tries_all_pairs_that_can_be_accepted():
+    """op5: the pairs of edges that are left out are none that would be accepted."""
+    rng, hits = random.Random(5), 0
+    parts = [" ", " ", "\n", " at ", " dot ", "(at)", "at", "DOT", "punto", "arrobat", "@", ".", ". ", " .", "a", "bc", "Jane",
+             "mail", "org", "1", "22", "333", "4444", "4111 1111 1111 1111", "+", "(", ")", "-", "--", "00", ",", "é", "İ", "ı",
+             "[", "] ", "10.20.30.40", "\t", "\xa0", "K", "po", "ınt", "x.y", "_"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 14)))
+        a = rng.randrange(len(text))
+        b, kind = rng.randint(a + 1, len(text)), rng.randrange(4)
+        want = _snapped_plainly(text, a, kind, b)
+        assert P.snapped(text, a, kind, b) == want, (text, a, kind, b)
+        hits += want is not None
+    assert hits > 500
+
+
+@pytest.mark.parametrize("text", ["at " * 7000, "foo bar " * 2500, "at dot " * 3000, "+1 " * 7000, "7 " * 10000])
+def test_long_spans_are_snapped_in_time(text):
+    """op5: a span of the model over thousands of words took a try, as long as the span, per pair of its edges."""
+    begin = time.process_time()
+    for kind in range(4):
+        P.snapped(text, 0, kind, len(text))
+    assert time.process_time() - begin < 10
