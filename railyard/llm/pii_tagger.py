@@ -536,6 +536,8 @@ def _possible(text: str, lo: int, hi: int, starts: list[int], ends: list[int], k
     if kind == 0:
         found = list(_ONE_SIGN.finditer(part))
         bars += [(m.start(), n.end() - 1) for m, n in pairwise(found)]  # from one sign to the next
+    if kind == 3:
+        bars += [(i - 1, i) for i, c in enumerate(part) if c == "+" and i]  # stands in front only
     bars.sort()
     firsts = [a for a, _ in bars]
     least_last = list(accumulate((b for _, b in reversed(bars)), min))[::-1]
@@ -549,16 +551,17 @@ def _possible(text: str, lo: int, hi: int, starts: list[int], ends: list[int], k
         while e > 0 and part[e - 1].isspace():
             e -= 1
         inner.append(e)
+    counts = [count[e] for e in inner]
     for x in starts:
         s = x - lo
         while s < len(part) and part[s].isspace():
             s += 1
         at = bisect_left(firsts, s)
         limit = least_last[at] if at < len(bars) else len(part)
-        for j in range(bisect_right(ends, x), len(ends)):
-            if inner[j] > limit or count[inner[j]] - count[s] > most:
+        for j in range(max(bisect_right(ends, x), bisect_left(counts, count[s] + least)), len(ends)):
+            if inner[j] > limit or counts[j] - count[s] > most:
                 break
-            if inner[j] > s and count[inner[j]] - count[s] >= least:
+            if inner[j] > s:
                 yield x, ends[j]
 
 
