@@ -498,13 +498,23 @@ def snapped(text: str, a: int, kind: int, b: int) -> tuple[int, int, int] | None
 _BARS = (re.compile(r"[^A-Za-z0-9._%+@()\[\]{}\s\u0130\u0131\u017f\u212a-]|(?=[^\W_]\.\s)"), re.compile(r"[^0-9.\s]"),
          re.compile(r"[^0-9.\s-]"), re.compile(r"[^0-9+().\s-]"))
 _SIGN = re.compile(rf"(?=({'|'.join(_AT_WORDS + _DOT_WORDS)}|[@.]))", re.I)
+_AT = re.compile("|".join(_AT_WORDS), re.I)
 #: What is counted in an accepted stretch, its least and its most: signs of an address (at
 #: most one, but a cut word may look like one more), points, digits.
-_COUNTED = ((re.compile(rf"(?=@|{'|'.join(_AT_WORDS)})", re.I), 1, float("inf")), (re.compile("[.]"), 3, 3), (_DIGITS, 12, 19), (_DIGITS, 9, 15))
+_COUNTED = ((re.compile("@"), 1, float("inf")), (re.compile("[.]"), 3, 3), (_DIGITS, 12, 19), (_DIGITS, 9, 15))
 _ONE_SIGN = re.compile(rf"@|\b(?:{'|'.join(_AT_WORDS)})\b", re.I)
 
 
-def _may_go(part: str, spelt: bool) -> set[int]:
+def _signs(part: str, cuts: set[int]) -> list[tuple[int, int]]:
+    """(start, end) of @, points and spelt signs that are words or whose word a stretch may
+    cut to one, as it begins or ends at one of ``cuts``."""
+    def parted(i: int) -> bool:
+        return i in cuts or not 0 < i < len(part) or not all(c.isalnum() or c == "_" for c in part[i - 1:i + 1])
+
+    return [(m.start(), m.end(1)) for m in _SIGN.finditer(part) if m[1] in "@." or parted(m.start()) and parted(m.end(1))]
+
+
+def _may_go(part: str, signs: list[tuple[int, int]], spelt: bool) -> set[int]:
     """Places of the blanks that ``accepted`` may leave out: next to @ or a point or, of
     an address, to a spelt sign, which may have a bracket on either side."""
     out: set[int] = set()
@@ -517,8 +527,8 @@ def _may_go(part: str, spelt: bool) -> set[int]:
             i += step
         return i
 
-    for m in _SIGN.finditer(part):
-        for i, step, brackets in ((m.start() - 1, -1, "([{"), (m.end(1), 1, ")]}")):
+    for a, b in signs:
+        for i, step, brackets in ((a - 1, -1, "([{"), (b, 1, ")]}")):
             i = run(i, step)
             if spelt and 0 <= i < len(part) and part[i] in brackets:
                 run(i + step, step)
@@ -530,8 +540,9 @@ def _possible(text: str, lo: int, hi: int, starts: list[int], ends: list[int], k
     all that hold no bar and a fitting number of the counted signs."""
     part = text[lo:hi]
     bars = [(m.start(), m.start() + (2 if m.end() == m.start() else 0)) for m in _BARS[kind].finditer(part)]
+    signs = _signs(part, {i - lo for i in (*starts, *ends)}) if kind < 2 else []
     if kind < 2:
-        free = _may_go(part, kind == 0)
+        free = _may_go(part, signs, kind == 0)
         bars += [(i, i) for i, c in enumerate(part) if c.isspace() and i not in free]
     if kind == 0:
         found = list(_ONE_SIGN.finditer(part))
@@ -544,6 +555,8 @@ def _possible(text: str, lo: int, hi: int, starts: list[int], ends: list[int], k
     sign, least, most = _COUNTED[kind]
     is_sign = np.zeros(len(part) + 1, np.int64)
     is_sign[[m.start() + 1 for m in sign.finditer(part)]] = 1
+    if kind == 0:
+        is_sign[[a + 1 for a, _ in signs if _AT.match(part, a)]] = 1
     count = np.cumsum(is_sign).tolist()
     inner = []  # the ends without blanks before them
     for y in ends:
