@@ -10,10 +10,13 @@ from heapq import merge
 from itertools import accumulate, pairwise
 
 import numpy as np
+import onnxruntime as ort
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from railyard.llm import onnx
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 #: Window length and step in characters of the training sample, and how far around a
@@ -117,7 +120,7 @@ class Tagger:
         def matrix(*shape):
             return rng.normal(0, 1 / np.sqrt(shape[0]), shape)
 
-        self.hidden = hidden
+        self.hidden, self.session = hidden, None
         self.p = {"emb": rng.normal(0, 0.5, (CODES, embed)), "out": matrix(2 * hidden, TAGS), "bias": np.zeros(TAGS),
                   "trans": np.zeros((TAGS, TAGS)), "first": np.zeros(TAGS)}
         for d in "fb":
@@ -148,40 +151,44 @@ class Tagger:
         both = np.concatenate([fwd, bwd[::-1]], 2)
         return both @ self.p["out"] + self.p["bias"], (x, both, keep_f, keep_b)
 
-    def _scores(self, d: str, x: np.ndarray, live: list[int], scores: np.ndarray) -> None:
-        """What one direction adds to the scores of the tags (time, TAGS, batch), in single
-        precision, from embeddings (time, embed, batch). Of every step only the first
-        ``live`` lines are read, as longer lines come first."""
-        size, (steps, embed, n) = self.hidden, x.shape
-        # sigmoids by tanh; the gates and the states are held twice as large
-        half = np.repeat([0.5, 1.0], [3 * size, size])
-        w = np.concatenate([self.p[d + "h"] / 2, self.p[d + "x"], self.p[d + "b"][None]]) * half
-        w = np.ascontiguousarray(w.T, np.float32)
-        to_tags = (self.p["out"].T[:, :size] if d == "f" else self.p["out"].T[:, size:]).astype(np.float32) / np.float32(2)
-        feed = np.ones((size + embed + 1, n), np.float32)
-        feed[:size] = 0
-        z, c, part = np.empty((4 * size, n), np.float32), np.zeros((size, n), np.float32), np.empty((size, n), np.float32)
-        add = np.empty((TAGS, n), np.float32)
-        for t in range(steps) if d == "f" else reversed(range(steps)):
-            k = live[t]
-            if k == n:
-                now, gates, cell, some = feed, z, c, part
-            else:
-                now, gates, cell, some = feed[:, :k], z[:, :k], c[:, :k], part[:, :k]
-            now[size:size + embed] = x[t, :, :k]
-            np.matmul(w, now, out=gates)
-            np.tanh(gates, out=gates)
-            gates[:3 * size] += np.float32(1)
-            cell *= gates[size:2 * size]
-            np.multiply(gates[:size], gates[3 * size:], out=some)
-            cell += some
-            cell *= np.float32(0.5)
-            np.tanh(cell, out=some)
-            np.multiply(some, gates[2 * size:3 * size], out=now[:size])
-            if d == "f":
-                np.matmul(to_tags, now[:size], out=scores[t, :, :k])
-            else:
-                scores[t, :, :k] += np.matmul(to_tags, now[:size], out=add[:, :k])
+    def graph(self) -> bytes:
+        """An ONNX model: the scores of the tags (time, TAGS, batch) of codes (time, batch), without
+        bias, in single precision. A step of either direction is the body of a Scan. What a code
+        feeds to the gates is looked up; code CODES closes all gates, so that past a line's end the
+        state stays zero. tanh(x) of the input is 2 sigmoid(2x) - 1, and half the cell is held."""
+        size, table = self.hidden, np.float32
+        twice = np.repeat([1.0, 2.0], [3 * size, size])
+        nodes, weights = [], {"half": np.array([0.5], table)}
+        for k, d in enumerate("fb"):
+            fed = (self.p["emb"] @ self.p[d + "x"] + self.p[d + "b"]) * twice
+            weights |= {d + "x": np.vstack([fed, np.full((1, 4 * size), -100.0)]).astype(table), d + "h": (self.p[d + "h"] * twice).astype(table),
+                        d + "out": self.p["out"][k * size:(k + 1) * size].astype(table)}
+            step = onnx.graph([
+                onnx.node("Gather", [d + "x", "code"], ["fed"]), onnx.node("Gemm", ["h", d + "h", "fed"], ["z"]),
+                onnx.node("Sigmoid", ["z"], ["gates"]), onnx.node("Split", ["gates"], ["i", "f", "o", "g"], axis=1, num_outputs=4),
+                onnx.node("Sub", ["g", "half"], ["new"]), onnx.node("Mul", ["i", "new"], ["more"]), onnx.node("Mul", ["f", "c"], ["kept"]),
+                onnx.node("Add", ["kept", "more"], ["cell"]), onnx.node("Add", ["cell", "cell"], ["whole"]), onnx.node("Tanh", ["whole"], ["shown"]),
+                onnx.node("Mul", ["o", "shown"], ["state"]), onnx.node("Gemm", [d + "out", "state"], ["score"], transA=1, transB=1)],
+                {}, [("h", "float", ["n", size]), ("c", "float", ["n", size]), ("code", "int32", ["n"])],
+                [("state", "float", ["n", size]), ("cell", "float", ["n", size]), ("score", "float", [TAGS, "n"])])
+            nodes.append(onnx.node("Scan", ["zero", "zero", "codes"], [d + "_h", d + "_c", d + "_score"], body=step, num_scan_inputs=1,
+                                   scan_input_directions=[k], scan_output_directions=[k]))
+        nodes.append(onnx.node("Add", ["f_score", "b_score"], ["scores"]))
+        return onnx.model(onnx.graph(nodes, weights, [("codes", "int32", ["t", "n"]), ("zero", "float", ["n", size])],
+                                     [("scores", "float", ["t", TAGS, "n"])]))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"session": None}
+
+    def scores(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(time, TAGS, batch), without bias, from codes (batch, time); what lies past a line's length is not read."""
+        if self.session is None:
+            options = ort.SessionOptions()
+            options.intra_op_num_threads = options.inter_op_num_threads = 1  # a Spark task has one core
+            self.session = ort.InferenceSession(self.graph(), options, providers=["CPUExecutionProvider"])
+        n, steps = codes.shape
+        read = np.where(np.arange(steps)[:, None] < lengths, codes.T, CODES).astype(np.int32)
+        return self.session.run(None, {"codes": read, "zero": np.zeros((n, self.hidden), np.float32)})[0]
 
     def decode(self, codes: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
         """Best tags (batch, time) by Viterbi; what lies past a line's length is not read."""
@@ -193,23 +200,25 @@ class Tagger:
             tags[order] = self.decode(codes[order], lengths[order])
             return tags
         live = (n - np.searchsorted(lengths[::-1], np.arange(steps), "right")).tolist()
-        x = np.ascontiguousarray(self.p["emb"].astype(np.float32)[codes.T].transpose(0, 2, 1))
-        scores, ways = np.empty((steps, TAGS, n), np.float32), np.empty((TAGS, TAGS, n), np.float32)
-        for d in "fb":
-            self._scores(d, x, live, scores)
-        bias, trans = self.p["bias"].astype(np.float32)[:, None], self.p["trans"].astype(np.float32)
-        stays = np.empty((steps, n), bool)  # the best way to O comes from O
-        best = np.empty((TAGS, n), np.float32)
-        for t in range(steps):
-            now = scores[t]
-            now += bias
-            if t == 0:
-                now += self.p["first"].astype(np.float32)[:, None]
-                continue
-            before = scores[t - 1]
-            np.add(before[:, None], trans[:, :, None], out=ways)
-            np.maximum.reduce(ways, 0, out=best)
-            np.equal(ways[0, 0], best[0], out=stays[t])
+        scores = self.scores(codes, lengths)
+        scores += self.p["bias"].astype(np.float32)[:, None]
+        scores[0] += self.p["first"].astype(np.float32)[:, None]
+        trans = self.p["trans"].astype(np.float32)
+        # with O ahead of each other tag by this, the best way to any tag comes from O
+        ahead = (trans[1:] - trans[0]).max(1)[:, None] + np.float32(1e-3)
+        from_o, over = trans[0][:, None], np.empty((TAGS - 1, n), np.float32)
+        stays = np.ones((steps, n), bool)  # the best way to O comes from O
+        best, behind = np.empty((TAGS, n), np.float32), np.empty((TAGS - 1, n), bool)
+        for t in range(1, steps):
+            now, before = scores[t], scores[t - 1]
+            np.add(before[0], from_o, out=best)
+            np.add(before[1:], ahead, out=over)
+            np.greater(over, before[0], out=behind)
+            others = np.flatnonzero(np.logical_or.reduce(behind, 0))
+            if len(others):
+                ways = before[:, None, others] + trans[:, :, None]
+                best[:, others] = top = ways.max(0)
+                stays[t, others] = ways[0, 0] == top[0]
             now += best
             if live[t] < n:
                 now[:, live[t]:] = before[:, live[t]:]
@@ -276,7 +285,7 @@ class Tagger:
 
     def fit(self, codes: np.ndarray, tags: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01,
             seed: int = 5) -> Tagger:
-        rng = np.random.default_rng(seed)
+        rng, self.session = np.random.default_rng(seed), None
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
         step = 0
@@ -409,7 +418,7 @@ def labelled_windows(docs: DataFrame, id_col: str, text_col: str, max_docs: int,
     return np.stack(codes), np.stack(tags)
 
 
-def tag_texts(tagger: Tagger, texts: list[str], batch: int = 512) -> list[list[tuple[int, int, int]]]:
+def tag_texts(tagger: Tagger, texts: list[str], batch: int = 1024) -> list[list[tuple[int, int, int]]]:
     """Spans by the model alone, decoded over every character of every text. A
     character takes its tag from the stretch in which it stands farthest from an edge."""
     codes = [char_codes(t) for t in texts]
@@ -487,9 +496,13 @@ def snapped(text: str, a: int, kind: int, b: int) -> tuple[int, int, int] | None
     ends = sorted(y for y in edges if y > a and text[y - 1] not in " .,;:")
     pairs = [(x - y, x, y, i, k) for i, k in enumerate((kind, *((1, 2, 3) if kind else ())))
              for x, y in _possible(text, lo, hi, starts, ends, k)]
+    refused = set()
     for _, x, y, _, k in sorted(pairs):
-        if accepted(text[x:y], k):
+        if (what := (text[x:y], k)) in refused:
+            continue
+        if accepted(*what):
             return x, k, y
+        refused.add(what)
     return None
 
 

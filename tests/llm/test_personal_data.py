@@ -2,6 +2,7 @@
 and the base columns of the whole query against a plain version."""
 
 import hashlib
+import pickle
 import random
 import re
 import time
@@ -169,3 +170,38 @@ def test_long_spans_of_words_that_hold_a_sign_are_snapped_in_time(text):
     # a cut word may still look like a sign
     assert P.snapped("xat b.org", 1, 0, 9) == _snapped_plainly("xat b.org", 1, 0, 9)
     assert P.snapped("That That a at b dot org That", 10, 0, 24) == (10, 0, 24)
+
+
+def test_scores_of_the_model_are_its_emissions():
+    """op5: decoding runs the LSTM as one ONNX model; lines end where they end, and a trained or sent tagger builds its own."""
+    rng = np.random.default_rng(4)
+    tagger, lengths = P.Tagger(), np.array([40, 40, 17, 1])
+    codes = rng.integers(0, P.CODES, (4, 40))
+    for model in (tagger, pickle.loads(pickle.dumps(tagger)), tagger.fit(codes, rng.integers(0, P.TAGS, (4, 40)), epochs=2)):
+        got = model.scores(codes, lengths)
+        for j, n in enumerate(lengths):
+            want = model.emissions(codes[j:j + 1, :n])[0][:, 0] - model.p["bias"]
+            assert np.abs(got[:n, :, j] - want).max() < 1e-4
+
+
+def test_decoding_is_viterbi():
+    """op5: ways that do not come from O are tried only where one may be the best."""
+    rng = np.random.default_rng(6)
+    tagger = P.Tagger()
+    tagger.p["trans"], tagger.p["first"], tagger.p["bias"] = rng.normal(0, 2, (P.TAGS, P.TAGS)), rng.normal(0, 2, P.TAGS), rng.normal(0, 2, P.TAGS)
+    for lead in (0, 2, 6):
+        tagger.p["bias"][0] = lead
+        lengths = rng.integers(1, 60, 50)
+        codes = rng.integers(0, P.CODES, (50, 60))
+        got = tagger.decode(codes, lengths)
+        for j, n in enumerate(lengths):
+            e = tagger.emissions(codes[j:j + 1, :n])[0][:, 0]
+            best, ways = e[0] + tagger.p["first"], []
+            for x in e[1:]:
+                every = best[:, None] + tagger.p["trans"]
+                ways.append(every.argmax(0))
+                best = every.max(0) + x
+            path = [int(best.argmax())]
+            for way in reversed(ways):
+                path.append(int(way[path[-1]]))
+            assert got[j, :n].tolist() == path[::-1]
