@@ -496,13 +496,14 @@ def snapped(text: str, a: int, kind: int, b: int) -> tuple[int, int, int] | None
     ends = sorted(y for y in edges if y > a and text[y - 1] not in " .,;:")
     pairs = [(x - y, x, y, i, k) for i, k in enumerate((kind, *((1, 2, 3) if kind else ())))
              for x, y in _possible(text, lo, hi, starts, ends, k)]
-    refused = set()
+    refused = set()  # numbers, which are short
     for _, x, y, _, k in sorted(pairs):
         if (what := (text[x:y], k)) in refused:
             continue
         if accepted(*what):
             return x, k, y
-        refused.add(what)
+        if k:
+            refused.add(what)
     return None
 
 
